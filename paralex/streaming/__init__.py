@@ -1,0 +1,4 @@
+"""Row-wise operators of this package (projections, prompts, response parsing) are
+plain column expressions and apply to streaming DataFrames as they are; corpus
+statistics and metrics need bounded input.
+"""
