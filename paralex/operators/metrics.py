@@ -18,32 +18,31 @@ DIGITS = 4
 
 
 def _grams(rows: DataFrame, by: list[str], orders: range, make) -> DataFrame:
-    """``by, _row, side, n, gram`` of both sides."""
-    one = rows.select(
-        *by, "_row",
-        F.explode(F.array(*(
-            F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), make(F.col(side), n).alias("grams"))
-            for side in ("_p", "_r") for n in orders
-        ))).alias("g"),
-    )
-    return one.select(*by, "_row", "g.side", "g.n", F.explode("g.grams").alias("gram"))
+    """``by, _row, _side, _n, _gram`` of both sides."""
+    sides = [
+        F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), make(F.col(side), n).alias("grams")) for side in ("_p", "_r") for n in orders
+    ]
+    one = rows.select(*by, "_row", F.explode(F.array(*sides)).alias("_x"))
+    return one.select(*by, "_row", F.col("_x.side").alias("_side"), F.col("_x.n").alias("_n"), F.explode("_x.grams").alias("_gram"))
 
 
 def _counts(grams: DataFrame, by: list[str], match_only_where_reference: bool = False) -> DataFrame:
-    """``by, n, match, hyp, ref``: sums over rows of clipped matches and of n-grams."""
-    side = lambda name: F.sum((F.col("side") == name).cast("long"))
-    each = grams.groupBy(*by, "_row", "n", "gram").agg(side("_p").alias("p"), side("_r").alias("r"))
-    row = each.groupBy(*by, "_row", "n").agg(
-        F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("hyp"), F.sum("r").alias("ref")
+    """``by, _n, _match, _hyp, _ref``: sums over rows of clipped matches and of n-grams."""
+    side = lambda name: F.sum((F.col("_side") == name).cast("long"))
+    each = grams.groupBy(*by, "_row", "_n", "_gram").agg(side("_p").alias("_hyp"), side("_r").alias("_ref"))
+    row = each.groupBy(*by, "_row", "_n").agg(
+        F.sum(F.least("_hyp", "_ref")).alias("_match"), F.sum("_hyp").alias("_hyp"), F.sum("_ref").alias("_ref")
     )
-    hyp = F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0) if match_only_where_reference else F.col("hyp")
-    return row.groupBy(*by, "n").agg(F.sum("match").alias("match"), F.sum(hyp).alias("hyp"), F.sum("ref").alias("ref"))
+    hyp = F.when(F.col("_ref") > 0, F.col("_hyp")).otherwise(0) if match_only_where_reference else F.col("_hyp")
+    return row.groupBy(*by, "_n").agg(F.sum("_match").alias("_match"), F.sum(hyp).alias("_hyp"), F.sum("_ref").alias("_ref"))
 
 
 def _wide(counts: DataFrame, by: list[str], orders: range) -> DataFrame:
     """One row a group: ``match_n, hyp_n, ref_n`` for each order."""
     cols = [
-        F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}") for n in orders for c in ("match", "hyp", "ref")
+        F.coalesce(F.sum(F.when(F.col("_n") == n, F.col(f"_{c}"))), F.lit(0)).alias(f"{c}_{n}")
+        for n in orders
+        for c in ("match", "hyp", "ref")
     ]
     return counts.groupBy(*by).agg(*cols) if by else counts.agg(*cols)
 
