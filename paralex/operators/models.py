@@ -70,5 +70,10 @@ def generate(rows: DataFrame, make: Callable[[], Translator], prompt: str = "pro
 
 
 def missing_tokens(wanted: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
-    """Wanted tokens that the vocabulary lacks."""
-    return wanted.join(vocabulary.select(token), token, "left_anti")
+    """Wanted tokens that the vocabulary lacks.
+
+    The vocabulary may be a whole corpus: it is cut to the wanted tokens first, so
+    that only these are moved.
+    """
+    met = vocabulary.select(token).join(wanted.select(token), token, "left_semi").distinct()
+    return wanted.join(met, token, "left_anti")
