@@ -1,55 +1,79 @@
 """Corpus BLEU and chrF, over all rows or by a column.
 
-Sentences give counts only; these are summed before anything is divided.
+Sentences give counts only, without a shuffle of n-grams; these are summed before
+anything is divided.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paralex.functions.text import char_grams, strip, tokens_13a, without_space, word_grams
+from paralex.functions.text import strip, tokens_13a, without_space
 
 #: Fixed values of the metrics.
 BLEU_ORDER, CHRF_ORDER, BETA = 4, 6, 2
 DIGITS = 4
 
 
-def _grams(rows: DataFrame, by: list[str], orders: range, make) -> DataFrame:
-    """``by, _row, _side, _n, _gram`` of both sides."""
-    sides = [
-        F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), make(F.col(side), n).alias("grams")) for side in ("_p", "_r") for n in orders
-    ]
-    one = rows.select(*by, "_row", F.explode(F.array(*sides)).alias("_x"))
-    return one.select(*by, "_row", F.col("_x.side").alias("_side"), F.col("_x.n").alias("_n"), F.explode("_x.grams").alias("_gram"))
-
-
-def _counts(grams: DataFrame, by: list[str], match_only_where_reference: bool = False) -> DataFrame:
-    """``by, _n, _match, _hyp, _ref``: sums over rows of clipped matches and of n-grams."""
-    side = lambda name: F.sum((F.col("_side") == name).cast("long"))
-    each = grams.groupBy(*by, "_row", "_n", "_gram").agg(side("_p").alias("_hyp"), side("_r").alias("_ref"))
-    row = each.groupBy(*by, "_row", "_n").agg(
-        F.sum(F.least("_hyp", "_ref")).alias("_match"), F.sum("_hyp").alias("_hyp"), F.sum("_ref").alias("_ref")
-    )
-    hyp = F.when(F.col("_ref") > 0, F.col("_hyp")).otherwise(0) if match_only_where_reference else F.col("_hyp")
-    return row.groupBy(*by, "_n").agg(F.sum("_match").alias("_match"), F.sum(hyp).alias("_hyp"), F.sum("_ref").alias("_ref"))
-
-
-def _wide(counts: DataFrame, by: list[str], orders: range) -> DataFrame:
-    """One row a group: ``match_n, hyp_n, ref_n`` for each order."""
-    cols = [
-        F.coalesce(F.sum(F.when(F.col("_n") == n, F.col(f"_{c}"))), F.lit(0)).alias(f"{c}_{n}")
-        for n in orders
-        for c in ("match", "hyp", "ref")
-    ]
-    return counts.groupBy(*by).agg(*cols) if by else counts.agg(*cols)
+def clipped_counts(hyp: np.ndarray, ref: np.ndarray, orders: int, only_where_reference: bool = False) -> list[int]:
+    """For each order: clipped matches, n-grams of the prediction, of the reference.
+
+    Units are numbers.  An n-gram is the number of its first n - 1 units' n-gram and
+    its last unit, numbered anew, so equal numbers are equal n-grams.
+    ``only_where_reference`` leaves out a prediction's n-grams of an order that its
+    reference lacks.
+    """
+    units = np.unique(np.concatenate([hyp, ref]), return_inverse=True)[1]
+    h1, r1 = units[: len(hyp)], units[len(hyp) :]
+    kinds = int(units.max(initial=-1)) + 1
+    h, r, out = h1, r1, []
+    for n in range(1, orders + 1):
+        if n > 1:
+            h = h[: max(0, len(h1) - n + 1)] * kinds + h1[n - 1 :]
+            r = r[: max(0, len(r1) - n + 1)] * kinds + r1[n - 1 :]
+            both = np.unique(np.concatenate([h, r]), return_inverse=True)[1]
+            h, r = both[: len(h)], both[len(h) :]
+        match = 0
+        if len(h) and len(r):
+            size = int(max(h.max(), r.max())) + 1
+            match = int(np.minimum(np.bincount(h, minlength=size), np.bincount(r, minlength=size)).sum())
+        out += [match, len(h) if len(r) or not only_where_reference else 0, len(r)]
+    return out
+
+
+def _word_counts(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+    rows = []
+    for hyp, ref in zip(hyps, refs):
+        number: dict[str, int] = {}
+        a, b = ([number.setdefault(t, len(number)) for t in side] for side in (hyp, ref))
+        rows.append(clipped_counts(np.array(a, np.int64), np.array(b, np.int64), BLEU_ORDER))
+    return pd.Series(rows)
+
+
+def _char_counts(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return pd.Series([clipped_counts(points(h), points(r), CHRF_ORDER, True) for h, r in zip(hyps, refs)])
+
+
+def _counts(rows: DataFrame, by: list[str], orders: range, counter) -> DataFrame:
+    """One row a group: ``match_n, hyp_n, ref_n`` for each order.
+
+    A row's n-grams are counted where the row is; only partial sums are shuffled.
+    """
+    count = F.pandas_udf(counter, "array<long>")
+    names = [f"{c}_{n}" for n in orders for c in ("match", "hyp", "ref")]
+    sums = [F.coalesce(F.sum(F.get("_c", F.lit(i))), F.lit(0)).alias(name) for i, name in enumerate(names)]
+    return rows.select(*by, count("_p", "_r").alias("_c")).groupBy(*by).agg(*sums)
 
 
 def _prepared(rows: DataFrame, by: list[str], prediction: str, target: str, cut) -> DataFrame:
     clean = lambda c: cut(strip(F.coalesce(F.col(c), F.lit(""))))
-    return rows.select(*by, clean(prediction).alias("_p"), clean(target).alias("_r")).withColumn("_row", F.monotonically_increasing_id())
+    return rows.select(*by, clean(prediction).alias("_p"), clean(target).alias("_r"))
 
 
 def bleu_score(match: list[Column], total: list[Column], hyp: Column, ref: Column) -> Column:
@@ -69,8 +93,7 @@ def bleu_score(match: list[Column], total: list[Column], hyp: Column, ref: Colum
 def corpus_bleu(rows: DataFrame, by: list[str] | None = None, prediction: str = "prediction", target: str = "target") -> DataFrame:
     """``by, bleu`` (0 to 100, four digits)."""
     by, orders = by or [], range(1, BLEU_ORDER + 1)
-    counts = _counts(_grams(_prepared(rows, by, prediction, target, tokens_13a), by, orders, word_grams), by)
-    wide = _wide(counts, by, orders)
+    wide = _counts(_prepared(rows, by, prediction, target, tokens_13a), by, orders, _word_counts)
     get = lambda c: [F.col(f"{c}_{n}") for n in orders]
     score = bleu_score(get("match"), get("hyp"), F.col("hyp_1"), F.col("ref_1"))
     return wide.select(*by, F.round(score, DIGITS).alias("bleu"))
@@ -79,8 +102,7 @@ def corpus_bleu(rows: DataFrame, by: list[str] | None = None, prediction: str =
 def corpus_chrf(rows: DataFrame, by: list[str] | None = None, prediction: str = "prediction", target: str = "target") -> DataFrame:
     """``by, chrf`` (0 to 100, four digits)."""
     by, orders = by or [], range(1, CHRF_ORDER + 1)
-    counts = _counts(_grams(_prepared(rows, by, prediction, target, without_space), by, orders, char_grams), by, True)
-    wide = _wide(counts, by, orders)
+    wide = _counts(_prepared(rows, by, prediction, target, without_space), by, orders, _char_counts)
     total = lambda cs: reduce(lambda a, b: a + b, cs)
     both = [(F.col(f"hyp_{n}") > 0) & (F.col(f"ref_{n}") > 0) for n in orders]
     ratio = lambda n, c: F.when(both[n - 1], F.col(f"match_{n}") / F.nullif(F.col(f"{c}_{n}"), F.lit(0))).otherwise(0.0)

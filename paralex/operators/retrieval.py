@@ -56,7 +56,7 @@ def bm25_raw_idf(posts: DataFrame, n_docs: int) -> DataFrame:
 
 def bm25_idf(posts: DataFrame, n_docs: int) -> DataFrame:
     """``term, df, idf``; negative ones become a share of the mean over all terms."""
-    raw = bm25_raw_idf(posts, n_docs)
+    raw = written(bm25_raw_idf(posts, n_docs))  # read for the mean and for the terms
     mean = raw.agg(F.avg("raw").alias("_mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("raw"))
     return raw.join(mean, F.lit(True)).select("term", "df", idf.alias("idf"))

@@ -91,7 +91,7 @@ def test_a_failed_call_is_a_value(spark):
 
 
 def test_few_shot_flow(spark):
-    train = spark.createDataFrame([("t1", "a b", "A B"), ("t2", "c", "C")], "verse_id string, text_source string, text_target string")
+    train = spark.createDataFrame([("t1", "a b", "A B"), ("t2", "c", "C"), ("t3", "d", "D")], "verse_id string, text_source string, text_target string")
     test = spark.createDataFrame([("q", "a x", "a x y z")], "verse_id string, text_source string, text_target string")
     rows, scores = flows.few_shot(train, test)
     assert rows.select("prediction").first()[0] == "a x"
