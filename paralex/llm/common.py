@@ -1,16 +1,18 @@
-"""What the operators share: reading a table, the shared folder, durable cuts of
-lineage and Arrow batches of bounded size."""
+"""What the operators share: reading a table, durable cuts of lineage in the shared
+folder, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from paralex.session import shared_folder, written as durable
+
+__all__ = ["bounded_batches", "durable", "map_batches", "shared_folder", "table", "tokenizer_file"]
+
 #: Rows of one Arrow batch sent to a Python worker.  Texts vary from bytes to
 #: megabytes, so batches are kept short: memory in a worker is bounded by the
 #: longest few hundred neighbouring texts instead of the default 10,000.
@@ -27,34 +29,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset (a
-    local test) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get())
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
-    context.setCheckpointDir(named)
-    return str(context._jsc.sc().getCheckpointDir().get())
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage.
-
-    A written Parquet table keeps column pruning and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame,
     work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
