@@ -12,9 +12,10 @@ Learning takes at most about ``LEARN_ROWS`` labelled documents (by hash, never o
 the held-out fold) of at most ``LEARN_BYTES`` each, and reads no more than
 ``LEARN_TOTAL`` bytes; scoring takes all documents and whole texts.
 
-Defined results: null and empty texts are scored as no words; an id labelled more
-than once has its mean label; without labels the score is 0.5, with one class
-only it is that class; repeated rows repeat; other columns are not read.
+Defined results: texts without words score the share of good ones among the
+learned; an id labelled more than once has its mean label; without labels the
+score is 0.5, with one class only it is that class; repeated rows repeat; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from paralex.llm.common import map_batches
 from paralex.llm.folds import held_out, sampled
 
-LEARN_ROWS, LEARN_BYTES, LEARN_TOTAL = 6_000, 1 << 17, 32 << 20
+LEARN_ROWS, LEARN_BYTES, LEARN_TOTAL = 4_000, 1 << 17, 24 << 20
 DIMS, NONZERO, BUCKETS = 48, 6, 4_096
 WINDOW, LEAST_COUNT, MOST_WORDS = 2, 5, 20_000
 HIDDEN, EPOCHS, SEED = 24, 250, 6
 RATES = 4
+#: Standard deviations that an input may be off.
+FAR = 8.0
 #: A document counts as good from this probability on.
 CUT = 0.3
 MOST_SHAPE = 24
@@ -76,28 +79,35 @@ class WordSpace:
         self.word_vectors = self.shape_vectors = index_vectors()
 
     @staticmethod
-    def _learn(docs: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-        counts = Counter(t for d in docs for t in d)
+    def _learn(texts: list[str], cut) -> tuple[dict[str, int], np.ndarray]:
+        """Places and vectors of the tokens that ``cut`` gives; one text's tokens are held at a time."""
+        counts: Counter[str] = Counter()
+        for text in texts:
+            counts.update(cut(text))
         kept = sorted((t for t, n in counts.items() if n >= LEAST_COUNT), key=lambda t: (-counts[t], t))[:MOST_WORDS]
         place = {t: i for i, t in enumerate(kept)}
+        del counts
         base = index_vectors()
-        spot: dict[str, int] = {}
+        spot = {t: bucket(t) for t in kept}
         context = np.zeros((len(kept), DIMS), np.float32)
-        for d in docs:
-            own = np.array([place.get(t, -1) for t in d])
-            near = base[[spot[t] if t in spot else spot.setdefault(t, bucket(t)) for t in d]] if d else base[:0]
+        for text in texts:
+            tokens = cut(text)
+            own = np.array([place.get(t, -1) for t in tokens])
+            near = base[[spot[t] if t in spot else bucket(t) for t in tokens]] if tokens else base[:0]
+            around = np.zeros_like(near)
             for step in range(1, WINDOW + 1):
-                for a, b in ((own[step:], near[:-step]), (own[:-step], near[step:])):
-                    known = a >= 0
-                    np.add.at(context, a[known], b[known])
+                around[step:] += near[:-step]
+                around[:-step] += near[step:]
+            known = own >= 0
+            np.add.at(context, own[known], around[known])
         size = np.sqrt((context**2).sum(axis=1, keepdims=True))
         context *= np.sqrt(NONZERO) / np.maximum(size, 1e-6)
         return {t: BUCKETS + i for t, i in place.items()}, np.vstack([base, context])
 
     def learn(self, texts: list[str]) -> None:
-        docs = [t.split() for t in texts]
-        self.words, self.word_vectors = self._learn([[w.lower() for w in d] for d in docs])
-        self.shapes, self.shape_vectors = self._learn([[shape(w) for w in d] for d in docs])
+        self.words, self.word_vectors = self._learn(texts, lambda t: t.lower().split())
+        folded = functools.lru_cache(1 << 16)(shape)
+        self.shapes, self.shape_vectors = self._learn(texts, lambda t: [folded(w) for w in t.split()])
 
 
 class Pooler:
@@ -143,8 +153,9 @@ class Network:
 
     def __init__(self, inputs: np.ndarray, labels: np.ndarray, back: np.ndarray):
         x, y = inputs[~back], labels[~back]
+        self.share = float(labels.mean())
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x = (x - self.mean) / self.scale
+        x = self._scaled(x)
         rng = np.random.default_rng(SEED)
         self.w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
         first, second = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
@@ -165,11 +176,15 @@ class Network:
             loss = [np.logaddexp(0, np.where(y > 0.5, -z, z) / t).mean() for t in trial]
             self.temperature = float(trial[int(np.argmin(loss))])
 
+    def _scaled(self, inputs: np.ndarray) -> np.ndarray:
+        return np.clip((inputs - self.mean) / self.scale, -FAR, FAR)
+
     def logits(self, inputs: np.ndarray) -> np.ndarray:
-        return np.tanh((inputs - self.mean) / self.scale @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
+        return np.tanh(self._scaled(inputs) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
 
     def scores(self, inputs: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(inputs) / self.temperature, -60, 60)))
+        out = 1 / (1 + np.exp(-np.clip(self.logits(inputs) / self.temperature, -60, 60)))
+        return np.where(inputs[:, -1] > 0, self.share, out)  # no words: nothing but the share of good ones
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[WordSpace, Network] | float:
