@@ -1,7 +1,8 @@
 """Ids of whole texts by the ``tokenizers`` library.
 
 A byte-level tokenizer treats each match of its pattern alone, so each distinct
-match is encoded by the library once and texts are put together from these ids.
+match is given to the library's model once, in the alphabet that the format
+writes bytes in, and texts are put together from these ids.
 Strings of special tokens in a text are ordinary text, as the vocabulary's
 README sets it.
 """
@@ -18,6 +19,17 @@ from paralex.llm.pretokens import PieceCache, encode_texts
 FILE = "byte_bpe_50k.json"
 
 
+def byte_alphabet() -> dict[str, str]:
+    """The character that stands for each byte: itself if it is printable Latin-1,
+    else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = {}, 256
+    for b in range(256):
+        out[chr(b)] = chr(b if b in plain else spare)
+        spare += b not in plain
+    return out
+
+
 class LibraryEncoder:
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
@@ -36,12 +48,17 @@ class LibraryEncoder:
             and spec.get("normalizer") is None
             and spec["model"]["type"] == "BPE"
         )
-        self.cache = PieceCache(self._many)
+        self.alphabet = str.maketrans(byte_alphabet())
+        self.cache = PieceCache(self._matches)
 
     def _many(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
+    def _matches(self, words: list[str]) -> list[bytes]:
+        tokenize, alphabet = self.library.model.tokenize, self.alphabet
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in words]
+
     def encode(self, texts: list[str]):
         """Yield the little-endian 32-bit ids of each text, as bytes."""
         if not self.apart:
