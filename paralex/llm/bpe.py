@@ -29,56 +29,18 @@ from paralex.llm.pretokens import PATTERN, PieceCache, encode_texts
 FILE = "byte_bpe_50k.tiktoken"
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first, positions ascending.
-
-    Three levels of 64-bit words mark which ranks have entries.
-    """
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def first(self) -> int:
-        """Lowest rank present; -1 if none is."""
-        if not self.top:
-            return -1
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        return a << 6 | (word & -word).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return position
+#: Bits of one word of the queue's bitmap.
+WORD = 8
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match: merge the pair of lowest rank, leftmost first."""
-    whole = ranks.get(piece)
+    """Ids of one match: merge the pair of lowest rank, leftmost first.
+
+    The queue has a bucket of positions for each rank present; ``low`` has a word
+    of 2^WORD ranks each and ``top`` says which words aren't empty.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
@@ -86,34 +48,61 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     before = list(range(-1, n - 1))
     #: Rank of the pair that begins at a part; -1 for none or a dead part.
     pair = [-1] * n
-    queue = RankQueue()
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top, inside = 0, (1 << WORD) - 1
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = get(piece[i : i + 2])
         if r is not None:
             pair[i] = r
-            queue.push(r, i)
-    while (rank := queue.first()) >= 0:
-        i = queue.pop(rank)
+            if r in buckets:
+                buckets[r].append(i)  # ascending, so a heap
+            else:
+                buckets[r] = [i]
+                a = r >> WORD
+                low[a] = low.get(a, 0) | 1 << (r & inside)
+                top |= 1 << a
+    while top:
+        a = (top & -top).bit_length() - 1
+        word = low[a]
+        bit = word & -word
+        rank = a << WORD | bit.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            low[a] = word ^ bit
+            if word == bit:
+                top ^= 1 << a
         if pair[i] != rank:
             continue  # stale
         j = after[i]
         end = after[j]
         pair[j] = -1
         after[i] = end
+        changed = [(i, after[end])] if end < n else []
         if end < n:
             before[end] = i
-            r = ranks.get(piece[i : after[end]])
-            pair[i] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, i)
         else:
             pair[i] = -1
         h = before[i]
         if h >= 0:
-            r = ranks.get(piece[h:end])
-            pair[h] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, h)
+            changed.append((h, end))
+        for k, stop in changed:
+            r = get(piece[k:stop])
+            if r is None:
+                pair[k] = -1
+                continue
+            pair[k] = r
+            if r in buckets:
+                heappush(buckets[r], k)
+            else:
+                buckets[r] = [k]
+                a = r >> WORD
+                low[a] = low.get(a, 0) | 1 << (r & inside)
+                top |= 1 << a
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
