@@ -294,8 +294,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
     Rows are told apart by their id and a hash of all their columns; of rows
     equal in everything one stays.
     """
-    names = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(*names))
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
 
     def work(batches):
         for batch in batches:
@@ -304,13 +303,30 @@ def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), fp], names=["doc_id", "_row", "fp"])
 
     prints = durable(map_batches(marked.select("doc_id", "_row", "text"), work, "doc_id long, _row long, fp long"))
-    nodes = durable(
-        prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_row")).alias("least"))
-    )
-    roots = components(near_links(nodes.select("fp"), distance))
+    nodes = prints.select("fp").distinct()
+    return first_of_each(marked, prints, components(near_links(durable(nodes), distance)))
+
+
+def first_of_each(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The row of the smallest id (null last) of each component of ``roots``.
+
+    ``marked`` has a hash ``_row`` of all its other columns, ``prints`` (a written
+    table) has ``doc_id, _row, fp`` of every row.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_row")
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    # Rows equal in everything are told apart only where there are any.
+    often = prints.groupBy("_row", "doc_id").agg((F.count("*") > 1).alias("_often"))
     keys = kept.select(F.col("least.doc_id").alias("_id"), F.col("least._row").alias("_row"))
-    joined = marked.join(keys, ["_row"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    keys = keys.join(often, (keys["_row"] == often["_row"]) & keys["_id"].eqNullSafe(often["doc_id"])).select("_id", keys["_row"], "_often")
+    keys = durable(keys)
+    names = [n for n in marked.columns if n != "_row"]
+
+    def joined(often: bool) -> DataFrame:
+        return marked.join(keys.filter(F.col("_often") == often), "_row").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+
     once = Window.partitionBy("_row", "doc_id").orderBy(F.lit(0))
-    return joined.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*names)
+    repeated = joined(True).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return joined(False).select(*names).unionByName(repeated.select(*names))
