@@ -11,8 +11,10 @@ of all they hold, until the chi-square test says that a vector nearer than the
 k-th best would have been met already with probability ``CONFIDENCE``.  It first
 searches its own cell, then the cells that the test leaves open.
 
-Equal vectors are one entry with their k + 1 smallest ids, which is all that can
-be among k nearest, so a very common vector costs no more than any other.
+Equal vectors are one entry with their k + 1 smallest different ids, each at most k
+times, which is all that can be among k nearest once a query's own id is left out,
+so a very common vector costs no more than any other.  Where an id stands with m
+different vectors, searches keep k + m entries, so that k others remain.
 Queries of a cell are dealt in blocks.
 
 Defined results: rows without id, and vectors null, empty, zero or with null or
@@ -193,16 +195,17 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     spark = rows.sparkSession
     valid = _valid(rows)
     first = Window.partitionBy("vec").orderBy("vec_id")
-    few = valid.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1)
-    base = few.groupBy("vec", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    base = durable(base.withColumn("uid", F.element_at("ids", 1)))
+    each = valid.groupBy("vec", "dim", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_times"))
+    few = each.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1)
+    base = few.groupBy("vec", "dim").agg(F.flatten(F.sort_array(F.collect_list(F.array_repeat("vec_id", F.col("_times"))))).alias("ids"))
+    base = durable(base.withColumn("least", F.element_at("ids", 1)).withColumn("uid", F.xxhash64("vec")))
     sizes = {r[0]: r[1] for r in base.groupBy("dim").count().collect()}
     total = sum(sizes.values())
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
     share = min(1.0, SAMPLE_ROWS / total)
-    part = F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    part = F.pmod(F.xxhash64("least"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
     taken: dict[int, list] = {}
     for r in base.filter(part).select("dim", "vec").toLocalIterator():
         taken.setdefault(r[0], []).append(r[1])
@@ -222,8 +225,10 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
                 out[here] = tree.value[int(d)].of(project(_stack(f.iloc[here])))
             yield f.assign(cell=out)
 
-    indexed = durable(base.mapInPandas(deal, "vec array<double>, dim int, ids array<long>, uid long, cell long"))
+    indexed = durable(base.mapInPandas(deal, "vec array<double>, dim int, ids array<long>, least long, uid long, cell long"))
     asked = valid.filter(is_query).select("vec_id", "vec", "dim")
+    own = asked.groupBy("vec_id", "dim").agg(F.countDistinct("vec").alias("n")).agg(F.max("n")).first()[0]
+    depth = k + (own or 1)
     wanted = asked.select("vec", "dim").distinct()
     queries = durable(wanted.join(indexed, ["vec", "dim"]).select("uid", "vec", "dim", "cell"))
 
@@ -232,9 +237,9 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     def answer(key, left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"uid": [], "score": [], "least": [], "ids": []})
-        q, c, least = _stack(left), _stack(right), right["uid"].to_numpy()
+        q, c, least = _stack(left), _stack(right), right["least"].to_numpy()
         bound = left["bound"].to_numpy() if "bound" in left else np.full(len(q), np.inf)
-        score, row = search(q, c, least, k + 1, bound, limit)
+        score, row = search(q, c, least, depth, bound, limit)
         i, j = np.nonzero(row >= 0)
         r = row[i, j]
         return pd.DataFrame({"uid": left["uid"].to_numpy()[i], "score": score[i, j], "least": least[r], "ids": right["ids"].to_numpy()[r]})
@@ -252,7 +257,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
 
     near = durable(run(queries))
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "least")
-    kth = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == k + 1)
+    kth = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == depth)
     reach = queries.join(kth.select("uid", F.greatest(F.lit(0.0), 2 - 2 * F.col("score")).alias("bound")), "uid", "left")
     reach = reach.withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
 
@@ -269,7 +274,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
             yield f.iloc[np.concatenate(i_all)].assign(cell=np.concatenate(cell_all)) if i_all else f.iloc[:0]
 
     more = run(durable(reach.mapInPandas(further, "uid long, vec array<double>, dim int, cell long, bound double")))
-    best = near.unionByName(more).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    best = near.unionByName(more).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth)
     lists = best.groupBy("uid").agg(F.collect_list(F.struct("score", "ids")).alias("best"))
     each = asked.join(queries.select("uid", "vec", "dim"), ["vec", "dim"]).select(F.col("vec_id").alias("query_id"), "uid").join(lists, "uid")
     flat = F.flatten(F.transform("best", lambda b: F.transform(b["ids"], lambda i: F.struct((-b["score"]).alias("s"), i.alias("i")))))

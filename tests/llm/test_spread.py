@@ -161,6 +161,22 @@ def test_neighbours_of_odd_rows(spark):
     assert found(df.limit(0)) == {}
 
 
+def test_neighbours_of_repeated_ids(spark):
+    same, near, far = [1.0, 2.0, 0.0, 1.0], [1.0, 2.0, 0.1, 1.0], [0.0, 1.0, 0.0, 0.0]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def ranked(rows):
+        return sorted({(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df(rows), F.col("vec_id") % 50 == 0).collect()})
+
+    assert ranked([(50, same)] * 6 + [(60, same)]) == [(50, 1, 60)]
+    twice = [(i, same) for i in (1, 2, 3, 50)] * 2 + [(70, near)]
+    assert ranked(twice) == [(50, i + 1, x) for i, x in enumerate([1, 1, 2, 2, 3])]
+    often = [(50, same)] * 9 + [(60, same)] * 9 + [(61, near)]
+    assert ranked(often) == [(50, i + 1, 60) for i in range(5)]
+    unlike = [(50, [1.0, 2.0, 0.01 * i, 1.0]) for i in range(9)] + [(60, far)]
+    assert ranked(unlike) == [(50, 1, 60)]
+
+
 def test_recall_over_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 256)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
