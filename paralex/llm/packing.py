@@ -174,6 +174,13 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID,
     return place(pieces(docs, length, end_id, path, with_ids), length)
 
 
+def _joined(parts, length: int, pad_id: int) -> np.ndarray:
+    data = b"".join(parts)
+    n = len(data) // 4
+    ids = np.frombuffer(data, np.uint32).astype(np.int32)
+    return np.concatenate([ids, np.full(length - n, pad_id, np.int32)]) if n & (n - 1) else ids
+
+
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
     """``sequence_id, ids array<int>``: whole sequences, padded to ``length``
     unless their size is a power of two.  A sequence has at most ``length`` ids.
@@ -182,11 +189,21 @@ def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataF
     def join(key, frame):
         import pandas as pd
 
-        data = b"".join(frame.sort_values("offset")["ids"])
-        n = len(data) // 4
-        ids = np.frombuffer(data, np.uint32).astype(np.int32)
-        if n & (n - 1):
-            ids = np.concatenate([ids, np.full(length - n, pad_id, np.int32)])
-        return pd.DataFrame({"sequence_id": [key[0]], "ids": [ids]})
+        return pd.DataFrame({"sequence_id": [key[0]], "ids": [_joined(frame.sort_values("offset")["ids"], length, pad_id)]})
 
     return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(join, "sequence_id long, ids array<int>")
+
+
+def in_sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
+    """``packed`` read back from whole sequences: ``ids`` and ``ids_crc32`` of each piece
+    as the sequence holds them, with the sequence's ``sequence_length`` and ``sequence_crc32``.
+    """
+
+    def cut(frame):
+        frame = frame.sort_values("offset")
+        whole = _joined(frame["ids"], length, pad_id).astype("<i4").tobytes()
+        parts = [whole[4 * at : 4 * (at + n)] for at, n in zip(frame["offset"], frame["length"])]
+        return frame.assign(ids=parts, ids_crc32=[zlib.crc32(p) for p in parts], sequence_length=len(whole) // 4, sequence_crc32=zlib.crc32(whole))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
+    return packed.groupBy("sequence_id").applyInPandas(cut, f"{fields}, sequence_length long, sequence_crc32 long")

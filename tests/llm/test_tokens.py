@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
+import corpus_pipeline  # noqa: E402
 from paralex.llm import bpe, hf, packing, pretokens, queries, sstable  # noqa: E402
 
 ALPHABET = ["a", "b", " ", "'", "s", "ll", "'re", "\n", "\t", "\x1c", "\x85", "é", "1", "²", "Ⅷ", ".", "中", "\U0001f600", " 's", "  ", "́"]
@@ -168,3 +169,20 @@ def test_lookup_and_damage():
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert F is not None
+
+
+def test_pipeline_packs_ids(spark):
+    texts = ["one two three " * n for n in (1, 5, 40, 900, 2500)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    want = {(r["doc_id"], r["start"]): r["ids"] for r in packing.pieces(docs).collect()}
+    assert {(r["doc_id"], r["start"]): r["ids"] for r in rows} == want
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in rows)
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        whole[r["sequence_id"]] = whole.get(r["sequence_id"], b"") + r["ids"]
+    for r in rows:
+        data = whole[r["sequence_id"]]
+        n = len(data) // 4
+        data += bytes(4 * (2048 - n)) if n & (n - 1) else b""
+        assert (r["sequence_length"], r["sequence_crc32"]) == (len(data) // 4, zlib.crc32(data))
