@@ -133,6 +133,16 @@ def test_markov_ratio_tells_classes_apart():
     assert abs(sum(m.probability("http:", c) for c in m.letters) + m.probability("http:", "\x7f") - 1) < 1e-9
 
 
+def test_repeated_urls_are_learned_once(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LEARN_ROWS", 60)
+    once = [(i, f"http://a.org/es/{i}" if i % 2 else f"http://b.net/fr/{i}") for i in range(100)]
+    df = spark.createDataFrame(once, "page_id long, url string")
+    many = df.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("_")
+    models = [urls.learn(urls.with_rule(d)) for d in (df, many)]
+    assert all(models) and models[0].threshold == models[1].threshold
+    assert models[0].accepted.totals == models[1].accepted.totals and models[0].rejected.totals == models[1].rejected.totals
+
+
 def brute(rows, k=5):
     out = {}
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
