@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made by ``fresh_path`` since the session began or ``clear_written`` ran.
+_made: list[str] = []
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution; ``master`` and sizes are the cluster's if not given."""
@@ -25,16 +28,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is set."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder of this machine in
+    a local session and an error on a cluster, whose machines share no such folder."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(named)
     return str(context.getCheckpointDir().get())
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -43,3 +54,28 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def clear_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written below the shared folder, from the ``since``-th path of
+    this session on; the files that ``keep`` reads stay.
+
+    Results that still read the rest must have been stored before.
+    """
+    held = " ".join(keep.inputFiles()) if keep is not None else ""
+    gone = [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in held]
+    _remove(spark, gone)
+    _made[:] = [p for p in _made if p not in gone]
+
+
+def written_so_far() -> int:
+    """How many paths this session has written and not deleted."""
+    return len(_made)
