@@ -1,5 +1,5 @@
 """What the operators share: reading a table, durable cuts of lineage in the shared
-folder, and Arrow batches of bounded size."""
+folder, Arrow batches of bounded size, safe column names, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -7,16 +7,22 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paralex.session import shared_folder, written as durable
 
-__all__ = ["bounded_batches", "durable", "map_batches", "shared_folder", "table", "tokenizer_file"]
+__all__ = ["durable", "join_spread", "map_batches", "quoted", "rebatched", "shared_folder", "table", "tokenizer_file", "unused"]
 
-#: Rows of one Arrow batch sent to a Python worker.  Texts vary from bytes to
-#: megabytes, so batches are kept short: memory in a worker is bounded by the
-#: longest few hundred neighbouring texts instead of the default 10,000.
-BATCH_ROWS = 256
+#: Most rows and bytes of one batch that an operator's worker code is given.  Texts vary
+#: from bytes to megabytes, so memory in a worker is bounded by bytes; one longer text is
+#: a batch of its own.  What crosses to the worker is bounded by the session's
+#: ``spark.sql.execution.arrow.maxBytesPerBatch``, which is left alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: A key with more than this share of all rows is hot.
+HOT_SHARE = 1 / 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +30,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Limit Arrow batches of this session to ``rows`` rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _sizes(batch: pa.RecordBatch) -> list[int]:
+    """Bytes of the texts and binaries of each row."""
+    total = None
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            size = pc.fill_null(pc.cast(pc.binary_length(column), pa.int64()), 0)
+            total = size if total is None else pc.add(total, size)
+    return [0] * batch.num_rows if total is None else total.to_pylist()
+
+
+def rebatched(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``size`` bytes of text (one row at least)."""
+    for batch in batches:
+        if batch.num_rows <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        start = held = 0
+        for at, n in enumerate(_sizes(batch)):
+            if at > start and (at - start >= rows or held + n > size):
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
 
 
 def map_batches(
     df: DataFrame,
     work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     rows: int = BATCH_ROWS,
+    size: int = BATCH_BYTES,
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows."""
-    bounded_batches(df.sparkSession, rows)
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` whose ``work`` gets batches of at most ``rows`` rows and ``size``
+    bytes of text; they are cut in the worker, so no setting of the session changes."""
+    return df.mapInArrow(lambda batches: work(rebatched(batches, rows, size)), schema)
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted`` names, lengthened until none equals another or one of ``taken`` in any case."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` and ``facts`` (one row a key, without nulls) on ``key``.
+
+    ``count`` is the column of ``facts`` with the rows of each key in ``rows``, of which
+    there are ``total``; it is dropped.  At most 1 / HOT_SHARE keys are hot.  Their rows
+    are dealt over as many parts as they need, and their facts copied to each part, so
+    no key fills a task.  ``facts`` is read twice and should be a written table.
+    """
+    share = max(64, int(total * HOT_SHARE))
+    copies, salt = unused([*rows.columns, *facts.columns], "copies", "salt")
+    facts = facts.withColumn(copies, F.ceil(F.col(count) / F.lit(share)).cast("int"))
+    hot = facts.filter(F.col(copies) > 1).select(key, copies)
+    part = F.pmod(F.xxhash64(*map(quoted, rows.columns)), F.col(copies)).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.coalesce(part, F.lit(0))).drop(copies)
+    spread = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.col(copies), F.lit(1)) - 1))).drop(copies, count)
+    return dealt.join(spread, [key, salt]).drop(salt)
 
 
 def tokenizer_file(name: str, path: str | None = None) -> str:

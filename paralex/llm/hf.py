@@ -51,6 +51,10 @@ class LibraryEncoder:
         self.alphabet = str.maketrans(byte_alphabet())
         self.cache = PieceCache(self._matches)
 
+    def width(self, *more: int) -> int:
+        """Bytes that hold any id of the vocabulary and the ids ``more``: 2 or 4."""
+        return 2 if max(*more, *self.library.get_vocab(with_added_tokens=True).values(), 0) < 1 << 16 else 4
+
     def _many(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]

@@ -4,21 +4,26 @@ Each learned language has a codeword; for every bit a binary classifier over
 hashed byte n-grams (orders 1 to 4) sums log-ratios of smoothed frequencies over
 the whole text.  Decoding weighs each bit's logistic loss by how well its
 classifier did on a part held back and takes the codeword of least loss; a
-softmax over losses is the score.  Where two codewords are nearly as close, the
-result is marked ambiguous.
+softmax over losses is the score.  Where the second best codeword is nearly as
+likely (the odds of the best against it are under ``CLEAR``), the result is marked
+ambiguous.
 
 Up to seven languages use exhaustive codes, more use random codes chosen for
-their distance.  Learning takes at most about ``LEARN_ROWS`` documents, equal
-shares of each language (by hash, never of the held-out fold), of at most
-``LEARN_BYTES`` each.
+their distance.  Learning takes about ``LEARN_ROWS`` different passages of at most
+``PASSAGE`` characters, equal shares of each language and ``LEAST`` of each at
+least, never of the held-out fold.  A document is as many passages as its length
+asks for and each is drawn by a hash of id, text and place, so that long documents
+are learned from like short ones.  One task counts their n-grams; only the finished
+model reaches the driver.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0;
 with no language to learn all are ``und``; repeated rows repeat; other columns
-are not read.
+are not read, or pass through unchanged whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from itertools import product
 
@@ -26,17 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from paralex.llm.common import map_batches
+from paralex.llm.common import map_batches, quoted, unused
 from paralex.llm.folds import held_out, sampled
 
-LEARN_ROWS, LEARN_BYTES, SEED = 3_000, 1 << 15, 7
+LEARN_ROWS, LEAST, PASSAGE, SEED = 3_000, 20, 1 << 13, 7
 ORDERS, BITS = (1, 2, 3, 4), 15
 SMOOTH, SHARPNESS = 0.5, 0.25
 PART = 1 << 17
 UNKNOWN = "und"
-#: Below this score two codewords are too close to tell.
-AMBIGUOUS = 0.5
+#: Odds of the best codeword against the second best, below which they are too close to tell.
+CLEAR = 1.5
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -122,58 +128,74 @@ class LanguageModel:
             out += self.weights[part].sum(axis=0, dtype=np.float64)
         return out
 
-    def decode(self, margins: np.ndarray) -> tuple[str, float]:
+    def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
+        """Language, score, and whether the second best is too near."""
         loss = (self.trust * np.logaddexp(0, -SHARPNESS * self.code * margins)).sum(axis=1)
         weight = np.exp(loss.min() - loss)
         best = int(np.argmin(loss))
-        return self.langs[best], float(weight[best] / weight.sum())
+        second = np.delete(weight, best).max(initial=0.0)
+        return self.langs[best], float(weight[best] / weight.sum()), bool(CLEAR * second > weight[best])
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, True
         return self.decode(self.margins(text))
 
 
-def learn(docs: DataFrame) -> LanguageModel | None:
+def sample(docs: DataFrame) -> DataFrame:
+    """``text, lang`` of the passages to learn from, each once."""
     usable = docs.select("doc_id", "text", "lang").filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+        F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))
     )
-    usable = usable.filter(F.octet_length("text") <= LEARN_BYTES)
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    usable = usable.withColumn("mark", F.xxhash64("text")).withColumn("parts", F.ceil(F.length("text") / F.lit(PASSAGE)).cast("int"))
+    # Counted once each, known by a hash, so that narrow rows move.
+    each = usable.select("doc_id", "mark", "parts", "lang").distinct()
+    counts = {r[0]: r[1] for r in each.groupBy("lang").agg(F.sum("parts")).collect()}  # one row a language
     if not counts:
-        return None
-    each = max(20, LEARN_ROWS // len(counts))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & sampled(F.col("doc_id"), each / n, SEED))
-    rows = [r for r in usable.filter(keep).toLocalIterator() if has_letter(r["text"])]
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return LanguageModel([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
-
-
-def predicted(docs: DataFrame, model: LanguageModel | None, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred, lang_score, lang_ambiguous``."""
+        return usable.limit(0).select("doc_id", F.lit(0).alias("part"), "lang", "text")
+    most = max(LEAST, LEARN_ROWS // len(counts))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    drawn = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        drawn = drawn | ((F.col("lang") == lang) & sampled(F.struct("doc_id", "mark", "part"), most / n, SEED))
+    parts = usable.select("doc_id", "mark", "lang", "text", part).filter(drawn)
+    passages = parts.select("doc_id", "part", "lang", F.substring("text", F.col("part") * PASSAGE + 1, F.lit(PASSAGE)).alias("text"))
+    return passages.distinct()
+
+
+def learn(docs: DataFrame) -> LanguageModel | None:
+    """The model of the sample; one task reads it, in an order that only its rows decide."""
+    drawn = sample(docs).repartition(1).sortWithinPartitions("doc_id", "part", "lang", "text")
+
+    def work(batches):
+        texts, langs = [], []
+        for batch in batches:
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                if has_letter(text):
+                    texts.append(text)
+                    langs.append(lang)
+        model = LanguageModel(texts, langs) if texts else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = map_batches(drawn.select("text", "lang"), work, "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else None
+
+
+def predicted(docs: DataFrame, model: LanguageModel | None, columns: list[str], names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
+    """``columns`` of ``docs`` with language, score and ambiguity in columns of these ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a bit
-    names = [*columns, "lang_pred", "lang_score", "lang_ambiguous"]
+    (text,) = unused(columns, "text_")
 
     def work(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) if model else (UNKNOWN, 0.0) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in columns),
-                    pa.array([f[0] for f in found], pa.string()),
-                    pa.array([f[1] for f in found], pa.float64()),
-                    pa.array([f[1] < AMBIGUOUS for f in found], pa.bool_()),
-                ],
-                names=names,
-            )
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    needed = docs.select(*dict.fromkeys([*columns, "text"]))
-    fields = [*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "lang_score double", "lang_ambiguous boolean"]
-    return map_batches(needed, work, ", ".join(fields))
+            found = [model.predict(t) if model else (UNKNOWN, 0.0, True) for t in batch.column(len(columns)).to_pylist()]
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*columns, *names])
+
+    needed = docs.select(*map(quoted, columns), F.col("text").alias(text))
+    more = [StructField(n, kind) for n, kind in zip(names, (StringType(), DoubleType(), BooleanType()))]
+    return map_batches(needed, work, StructType([*needed.schema.fields[:-1], *more]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -190,6 +212,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is told without ambiguity, with the same columns."""
-    names = docs.columns
-    out = predicted(docs, learn(docs), names)
-    return out.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("lang_ambiguous")).select(*names)
+    names = unused(docs.columns, "lang_pred", "lang_score", "lang_ambiguous")
+    out = predicted(docs, learn(docs), docs.columns, tuple(names))
+    return out.filter((F.col(names[0]) != UNKNOWN) & ~F.col(names[2])).select(*map(quoted, docs.columns))

@@ -6,7 +6,9 @@ A payload is the bytes followed by bytes 255 up to a positive multiple of
 after another.  The reader handles the five row filters of 8-bit images.
 
 Defined results: null and empty texts are one row of 255; equal texts give equal
-values; repeated rows repeat; other columns are not read.
+values; a null image has null features; an image that breaks the format is a
+``DamagedImage``, found before more than its header's number of bytes is unpacked;
+repeated rows repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,6 +112,8 @@ def read_png(data: bytes) -> np.ndarray:
         if at + 12 + n > len(data) or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
             raise DamagedImage(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if n != 13 or head is not None:
+                raise DamagedImage("header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -117,13 +121,19 @@ def read_png(data: bytes) -> np.ndarray:
         at += 12 + n
     if head is None or not ended:
         raise DamagedImage("no header or no end")
-    width, height, depth, colour, _, _, interlace = head
+    width, height, depth, colour, method, filters, interlace = head
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)  # fixed by the format
-    if depth != 8 or channels is None or interlace:
+    if depth != 8 or channels is None or interlace or method or filters or not width or not height:
         raise DamagedImage("only 8-bit images without palette and interlace")
-    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
-    if raw.size != height * (width * channels + 1):
+    size = height * (width * channels + 1)
+    packed = zlib.decompressobj()
+    try:
+        data = packed.decompress(b"".join(parts), size + 1)
+    except zlib.error as e:
+        raise DamagedImage(str(e)) from e
+    if len(data) != size or not packed.eof:
         raise DamagedImage("wrong number of samples")
+    raw = np.frombuffer(data, np.uint8)
     return _unfilter(raw.reshape(height, width * channels + 1), channels)
 
 
@@ -187,6 +197,9 @@ def features(stored: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for image in batch.column("image").to_pylist():
+                if image is None:
+                    rows.append((None,) * 6)
+                    continue
                 samples = read_png(image)
                 payload = samples.tobytes()
                 rows.append((

@@ -6,16 +6,20 @@ directions: a projected squared distance is the true one times a chi-square
 variable of ``DIMS`` degrees.  A kd-tree over projections, fitted on a bounded
 sample, deals all vectors into cells; each cell holds a kd-tree of its own.
 
-A query visits leaves by growing projected distance and verifies the true cosine
-of all they hold, until the chi-square test says that a vector nearer than the
-k-th best would have been met already with probability ``CONFIDENCE``.  It first
-searches its own cell, then the cells that the test leaves open.
+A query visits leaves by growing projected distance.  The chi-square test says from
+which projected distance on a vector nearer than the k-th best would have been met
+already with probability ``CONFIDENCE``: leaves beyond it are left out, and of the
+others only the vectors that are themselves within it have their true cosine
+verified.  The column ``verified`` counts these.  A query first searches its own
+cell, then the cells that the test leaves open.
 
 Equal vectors are one entry with their k + 1 smallest different ids, each at most k
 times, which is all that can be among k nearest once a query's own id is left out,
 so a very common vector costs no more than any other.  Where an id stands with m
 different vectors, searches keep k + m entries, so that k others remain.
-Queries of a cell are dealt in blocks.
+Queries and vectors of a cell are dealt in blocks of bounded size, so a task holds one
+of each however many a cell has; the number of cells follows the number of vectors up
+to a bound that the sample sets.
 
 Defined results: rows without id, and vectors null, empty, zero or with null or
 non-finite components, take no part; vectors of different lengths are never
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paralex.llm.common import durable
+from paralex.llm.folds import sampled
 
-DIMS, SEED = 8, 20_14
-CONFIDENCE = 0.98
+DIMS, SEED = 32, 20_14
+CONFIDENCE = 0.95
 #: Vectors of the sample that cells are fitted on, and vectors a cell should hold.
 SAMPLE_ROWS, CELL_ROWS = 16_384, 8_192
-LEAF_ROWS, BLOCK_ROWS, STEP_ROWS = 64, 2_048, 256
+#: Queries of one block and bytes of its vectors.
+LEAF_ROWS, BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 64, 2_048, 16 << 20, 256
 
 
 def chi_square_quantile(p: float, degrees: int = DIMS) -> float:
@@ -137,18 +143,21 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bo
     """The k best rows of ``vectors`` for each query, as far as the test goes on.
 
     ``bound`` is a squared distance that the k-th best is known not to exceed.
-    Returns arrays (query x k) of scores and rows; row -1 where there is none.
+    Returns arrays (query x k) of scores and rows (-1 where there is none), and how many
+    vectors each query verified.
     """
     spots = project(vectors)
     tree = Leaves(spots)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     scores, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-    for at in range(0, len(queries), STEP_ROWS):
-        q = queries[at : at + STEP_ROWS]
-        own = np.sqrt((q * q).sum(axis=1))
-        gaps = box_gaps(project(q), tree.low, tree.high)
+    verified = np.zeros(len(queries), np.int64)
+    at_once = max(1, min(STEP_ROWS, BLOCK_BYTES // (8 * LEAF_ROWS * vectors.shape[1])))
+    for at in range(0, len(queries), at_once):
+        q = queries[at : at + at_once]
+        own, place = np.sqrt((q * q).sum(axis=1)), project(q)
+        gaps = box_gaps(place, tree.low, tree.high)
         order = np.argsort(gaps, axis=1, kind="stable")
-        worst = bound[at : at + STEP_ROWS].copy()
+        worst = bound[at : at + at_once].copy()
         live = np.arange(len(q))
         for step in range(order.shape[1]):
             leaf = order[live, step]
@@ -157,16 +166,24 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bo
             if not len(live):
                 break
             rows = tree.rows[leaf]
-            score = np.einsum("ijk,ik->ij", vectors[rows], q[live]) / (norms[rows] * own[live, None])
-            score[rows < 0] = -np.inf
-            score = np.concatenate([scores[at + live], score], axis=1)
-            rows = np.concatenate([found[at + live], rows], axis=1)
-            best = np.lexsort((np.where(rows < 0, np.iinfo(np.int64).max, ids[rows]), -score), axis=1)[:, :k]
-            scores[at + live] = np.take_along_axis(score, best, 1)
-            found[at + live] = np.where(np.isneginf(scores[at + live]), -1, np.take_along_axis(rows, best, 1))
-            last = scores[at + live, k - 1]
-            worst[live] = np.minimum(worst[live], np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
-    return scores, found
+            apart = spots[rows] - place[live, None, :]
+            open_ = (rows >= 0) & (np.einsum("ijk,ijk->ij", apart, apart) <= limit * worst[live, None])
+            some = np.flatnonzero(open_.any(axis=1))
+            if not len(some):
+                continue
+            i, j = np.nonzero(open_[some])
+            who, row = live[some], rows[some]
+            np.add.at(verified, at + who[i], 1)
+            score = np.full(row.shape, -np.inf)
+            score[i, j] = np.einsum("ij,ij->i", vectors[row[i, j]], q[who[i]]) / (norms[row[i, j]] * own[who[i]])
+            score = np.concatenate([scores[at + who], score], axis=1)
+            row = np.concatenate([found[at + who], row], axis=1)
+            best = np.lexsort((np.where(row < 0, np.iinfo(np.int64).max, ids[row]), -score), axis=1)[:, :k]
+            scores[at + who] = np.take_along_axis(score, best, 1)
+            found[at + who] = np.where(np.isneginf(scores[at + who]), -1, np.take_along_axis(row, best, 1))
+            last = scores[at + who, k - 1]
+            worst[who] = np.minimum(worst[who], np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
+    return scores, found, verified
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -188,7 +205,8 @@ def _stack(frame: pd.DataFrame) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENCE) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest of each query row.
+    """``query_id, rank, vec_id, score, verified``: the k nearest of each query row, and how
+    many different vectors had their cosine verified for it.
 
     ``is_query`` is a condition on ``vec_id``.
     """
@@ -201,11 +219,11 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     base = durable(base.withColumn("least", F.element_at("ids", 1)).withColumn("uid", F.xxhash64("vec")))
     sizes = {r[0]: r[1] for r in base.groupBy("dim").count().collect()}
     total = sum(sizes.values())
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, verified long"
     if not total:
         return spark.createDataFrame([], schema)
     share = min(1.0, SAMPLE_ROWS / total)
-    part = F.pmod(F.xxhash64("least"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    part = sampled(F.col("least"), share, SEED)
     taken: dict[int, list] = {}
     for r in base.filter(part).select("dim", "vec").toLocalIterator():
         taken.setdefault(r[0], []).append(r[1])
@@ -232,28 +250,37 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     wanted = asked.select("vec", "dim").distinct()
     queries = durable(wanted.join(indexed, ["vec", "dim"]).select("uid", "vec", "dim", "cell"))
 
-    found_schema = "uid long, score double, least long, ids array<long>"
+    found_schema = "uid long, score double, least long, ids array<long>, verified long"
 
     def answer(key, left, right):
         if not len(left) or not len(right):
-            return pd.DataFrame({"uid": [], "score": [], "least": [], "ids": []})
+            return pd.DataFrame({"uid": [], "score": [], "least": [], "ids": [], "verified": []})
         q, c, least = _stack(left), _stack(right), right["least"].to_numpy()
         bound = left["bound"].to_numpy() if "bound" in left else np.full(len(q), np.inf)
-        score, row = search(q, c, least, depth, bound, limit)
+        score, row, verified = search(q, c, least, depth, bound, limit)
         i, j = np.nonzero(row >= 0)
         r = row[i, j]
-        return pd.DataFrame({"uid": left["uid"].to_numpy()[i], "score": score[i, j], "least": least[r], "ids": right["ids"].to_numpy()[r]})
+        return pd.DataFrame({
+            "uid": left["uid"].to_numpy()[i], "score": score[i, j], "least": least[r], "ids": right["ids"].to_numpy()[r],
+            "verified": np.where(j == 0, verified[i], 0),
+        })
+
+    #: Rows of each cell, and the blocks that they are dealt in.
+    rows_of = F.greatest(F.lit(LEAF_ROWS), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))
+    held_blocks = durable(indexed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.first(rows_of)).cast("int").alias("held")))  # one row a cell
 
     def run(asking: DataFrame) -> DataFrame:
-        """Search each query in its column ``cell``, in blocks of queries."""
-        load = asking.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-        load = durable(load)  # one row a cell
-        again = load.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("blocks").alias("b"))
-        parts = asking.join(load, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).drop("blocks")
-        held = indexed.join(again, (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")))
-        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).drop("d", "c", "b")
-        keys = ["dim", "cell", "block"]
-        return parts.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(answer, found_schema)
+        """Search each query in its column ``cell``: every block of queries meets every block of its vectors."""
+        load = asking.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("asked"))
+        load = F.broadcast(durable(load.join(held_blocks, ["dim", "cell"])))  # one row a cell: at most SAMPLE_ROWS / 32 a dimension
+
+        def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+            block = F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col(own)).cast("int").alias(f"{own}_block")
+            each = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
+            return rows.join(load, ["dim", "cell"]).select(*rows.columns, block, each)
+
+        keys = ["dim", "cell", "asked_block", "held_block"]
+        return dealt(asking, "asked", "held").groupBy(*keys).cogroup(dealt(indexed, "held", "asked").groupBy(*keys)).applyInPandas(answer, found_schema)
 
     near = durable(run(queries))
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "least")
@@ -273,12 +300,15 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
                 cell_all.append(c)
             yield f.iloc[np.concatenate(i_all)].assign(cell=np.concatenate(cell_all)) if i_all else f.iloc[:0]
 
-    more = run(durable(reach.mapInPandas(further, "uid long, vec array<double>, dim int, cell long, bound double")))
+    reach = durable(reach.mapInPandas(further, "uid long, vec array<double>, dim int, cell long, bound double"))
+    more = durable(run(reach))
     best = near.unionByName(more).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth)
     lists = best.groupBy("uid").agg(F.collect_list(F.struct("score", "ids")).alias("best"))
+    spent = near.unionByName(more).groupBy("uid").agg(F.sum("verified").alias("verified"))
+    lists = lists.join(spent, "uid")
     each = asked.join(queries.select("uid", "vec", "dim"), ["vec", "dim"]).select(F.col("vec_id").alias("query_id"), "uid").join(lists, "uid")
     flat = F.flatten(F.transform("best", lambda b: F.transform(b["ids"], lambda i: F.struct((-b["score"]).alias("s"), i.alias("i")))))
     ranked = F.slice(F.array_sort(F.filter(flat, lambda x: x["i"] != F.col("query_id"))), 1, k)
-    return each.select("query_id", F.posexplode(ranked).alias("p", "x")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")
+    return each.select("query_id", "verified", F.posexplode(ranked).alias("p", "x")).select(
+        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"), "verified"
     )

@@ -94,15 +94,19 @@ def intervals(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pieces(
+    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False
+) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, ids`` of every piece, in place.
 
-    ``ids`` (little-endian 32-bit) is left out if ``with_ids`` is false.
+    ``ids`` (little-endian 32-bit; 16-bit if ``narrow`` and the vocabulary and the end id
+    allow) is left out if ``with_ids`` is false.
     """
     end = np.uint32(end_id).tobytes()
 
     def work(batches):
         coder = hf.encoder(path)
+        short = narrow and coder.width(end_id) == 2
         for batch in batches:
             ids_of = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             doc, start, size, crc, total, kept = [], [], [], [], [], []
@@ -117,7 +121,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: st
                     crc.append(zlib.crc32(part))
                     total.append(n)
                     if with_ids:
-                        kept.append(part.tobytes())
+                        kept.append(np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part.tobytes())
             longs = [pa.array(x, pa.int64()) for x in (doc, start, size, crc, total)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
@@ -169,16 +173,22 @@ def place(cut: DataFrame, capacity: int = LENGTH) -> DataFrame:
     return map_batches(ranked.select(*names, "_salt", "_rank"), work, f"{fields}, sequence_id long, offset long", rows=4096)
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False
+) -> DataFrame:
     """Pieces of every document with the sequence and the offset of each."""
-    return place(pieces(docs, length, end_id, path, with_ids), length)
+    return place(pieces(docs, length, end_id, path, with_ids, narrow), length)
 
 
-def _joined(parts, length: int, pad_id: int) -> np.ndarray:
-    data = b"".join(parts)
-    n = len(data) // 4
-    ids = np.frombuffer(data, np.uint32).astype(np.int32)
-    return np.concatenate([ids, np.full(length - n, pad_id, np.int32)]) if n & (n - 1) else ids
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids that ``data`` holds in 2 or 4 bytes each."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+
+
+def _joined(frame, length: int, pad_id: int) -> np.ndarray:
+    """Ids of one sequence, from its pieces in order."""
+    ids = np.concatenate([_wide(d, n) for d, n in zip(frame["ids"], frame["length"])])
+    return np.concatenate([ids, np.full(length - len(ids), pad_id, "<u4")]) if len(ids) & (len(ids) - 1) else ids
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
@@ -189,19 +199,21 @@ def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataF
     def join(key, frame):
         import pandas as pd
 
-        return pd.DataFrame({"sequence_id": [key[0]], "ids": [_joined(frame.sort_values("offset")["ids"], length, pad_id)]})
+        return pd.DataFrame({"sequence_id": [key[0]], "ids": [_joined(frame.sort_values("offset"), length, pad_id).astype(np.int32)]})
 
-    return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(join, "sequence_id long, ids array<int>")
+    kept = packed.select("sequence_id", "offset", "length", "ids")
+    return kept.groupBy("sequence_id").applyInPandas(join, "sequence_id long, ids array<int>")
 
 
 def in_sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
-    """``packed`` read back from whole sequences: ``ids`` and ``ids_crc32`` of each piece
-    as the sequence holds them, with the sequence's ``sequence_length`` and ``sequence_crc32``.
+    """``packed`` read back from whole sequences: ``ids`` (little-endian 32-bit) and ``ids_crc32``
+    of each piece as the sequence holds them, with the sequence's ``sequence_length`` and
+    ``sequence_crc32``.
     """
 
     def cut(frame):
         frame = frame.sort_values("offset")
-        whole = _joined(frame["ids"], length, pad_id).astype("<i4").tobytes()
+        whole = _joined(frame, length, pad_id).tobytes()
         parts = [whole[4 * at : 4 * (at + n)] for at, n in zip(frame["offset"], frame["length"])]
         return frame.assign(ids=parts, ids_crc32=[zlib.crc32(p) for p in parts], sequence_length=len(whole) // 4, sequence_crc32=zlib.crc32(whole))
 

@@ -6,33 +6,42 @@ index vectors around them.  The same is done for the shapes of words (letters
 folded to case, digits to 9, other characters kept).  A document is the mean of
 its words' vectors next to the mean of its shapes', with a few rates; a network
 of two layers, in numpy, gives a logit, and one temperature, fitted on a part
-held back, makes it a probability.
+held back, makes it a probability.  Words of over ``LONG_WORD`` characters are cut
+into pieces of that length, every one of which counts.
 
-Learning takes at most about ``LEARN_ROWS`` labelled documents (by hash, never of
-the held-out fold) of at most ``LEARN_BYTES`` each, and reads no more than
-``LEARN_TOTAL`` bytes; scoring takes all documents and whole texts.
+Learning takes about ``LEARN_ROWS`` different labelled texts, fewer where they would
+hold more than ``LEARN_TOTAL`` bytes in expectation, never of the held-out fold.  They
+are drawn by a hash of id and text whose share follows from the numbers and sizes of
+all different labelled texts, so the sample is the same however rows are ordered,
+dealt or repeated, and a text of any length can be in it, whole.  One task learns from
+it, part by part, and only the finished model (bounded by ``MOST_WORDS``) reaches the
+driver.  Scoring takes all documents and whole texts.
 
 Defined results: texts without words score the share of good ones among the
 learned; an id labelled more than once has its mean label; without labels the
 score is 0.5, with one class only it is that class; repeated rows repeat; other
-columns are not read.
+columns are not read, or pass through unchanged whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
+import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paralex.llm.common import map_batches
+from paralex.llm.common import map_batches, quoted, unused
 from paralex.llm.folds import held_out, sampled
 
-LEARN_ROWS, LEARN_BYTES, LEARN_TOTAL = 4_000, 1 << 17, 24 << 20
+LEARN_ROWS, LEARN_TOTAL = 6_000, 32 << 20
 DIMS, NONZERO, BUCKETS = 48, 6, 4_096
 WINDOW, LEAST_COUNT, MOST_WORDS = 2, 5, 20_000
 HIDDEN, EPOCHS, SEED = 24, 250, 6
@@ -41,18 +50,43 @@ RATES = 4
 FAR = 8.0
 #: A document counts as good from this probability on.
 CUT = 0.3
-MOST_SHAPE = 24
+LONG_WORD = 64
+#: Characters of a text that are handled at a time.
+PART = 1 << 16
 _CASE = {i: ("A" if chr(i).isupper() else "a" if chr(i).isalpha() else "9" if chr(i).isdigit() else chr(i)) for i in range(0x250)}
 
 
+_SPACE = re.compile(r"\s")
+
+
 def shape(word: str) -> str:
     """Folded characters, each run of one kept once: ``Word,`` is ``Aa,``."""
     out, last = [], ""
-    for c in word.translate(_CASE)[: 4 * MOST_SHAPE]:
+    for c in word.translate(_CASE):
         if c != last:
             out.append(c)
             last = c
-    return "".join(out[:MOST_SHAPE])
+    return "".join(out)
+
+
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """All words of a text, in lists of bounded length.
+
+    Parts end at white space, but for text without any, where they end anywhere.
+    """
+    text = text or ""
+    at = 0
+    while at < len(text):
+        end = at + PART
+        if end < len(text):
+            gap = _SPACE.search(text, end, end + PART)
+            end = gap.start() if gap else end + PART
+        found = text[at:end].split()
+        if max(map(len, found), default=0) > LONG_WORD:
+            found = [w[i : i + LONG_WORD] for w in found for i in range(0, len(w), LONG_WORD)]
+        if found:
+            yield found
+        at = end
 
 
 @functools.cache
@@ -80,10 +114,11 @@ class WordSpace:
 
     @staticmethod
     def _learn(texts: list[str], cut) -> tuple[dict[str, int], np.ndarray]:
-        """Places and vectors of the tokens that ``cut`` gives; one text's tokens are held at a time."""
+        """Places and vectors of the tokens that ``cut`` makes of words; one part's tokens are held at a time."""
         counts: Counter[str] = Counter()
         for text in texts:
-            counts.update(cut(text))
+            for words in words_of(text):
+                counts.update(cut(words))
         kept = sorted((t for t, n in counts.items() if n >= LEAST_COUNT), key=lambda t: (-counts[t], t))[:MOST_WORDS]
         place = {t: i for i, t in enumerate(kept)}
         del counts
@@ -91,23 +126,24 @@ class WordSpace:
         spot = {t: bucket(t) for t in kept}
         context = np.zeros((len(kept), DIMS), np.float32)
         for text in texts:
-            tokens = cut(text)
-            own = np.array([place.get(t, -1) for t in tokens])
-            near = base[[spot[t] if t in spot else bucket(t) for t in tokens]] if tokens else base[:0]
-            around = np.zeros_like(near)
-            for step in range(1, WINDOW + 1):
-                around[step:] += near[:-step]
-                around[:-step] += near[step:]
-            known = own >= 0
-            np.add.at(context, own[known], around[known])
+            for words in words_of(text):
+                tokens = cut(words)
+                own = np.array([place.get(t, -1) for t in tokens])
+                near = base[[spot[t] if t in spot else bucket(t) for t in tokens]]
+                around = np.zeros_like(near)
+                for step in range(1, WINDOW + 1):
+                    around[step:] += near[:-step]
+                    around[:-step] += near[step:]
+                known = own >= 0
+                np.add.at(context, own[known], around[known])
         size = np.sqrt((context**2).sum(axis=1, keepdims=True))
         context *= np.sqrt(NONZERO) / np.maximum(size, 1e-6)
         return {t: BUCKETS + i for t, i in place.items()}, np.vstack([base, context])
 
     def learn(self, texts: list[str]) -> None:
-        self.words, self.word_vectors = self._learn(texts, lambda t: t.lower().split())
+        self.words, self.word_vectors = self._learn(texts, lambda words: [w.lower() for w in words])
         folded = functools.lru_cache(1 << 16)(shape)
-        self.shapes, self.shape_vectors = self._learn(texts, lambda t: [folded(w) for w in t.split()])
+        self.shapes, self.shape_vectors = self._learn(texts, lambda words: [folded(w) for w in words])
 
 
 class Pooler:
@@ -123,28 +159,31 @@ class Pooler:
         low, form = word.lower(), shape(word)
         i, j = self.space.words.get(low), self.space.shapes.get(form)
         place = (bucket(low) if i is None else i) << 32 | (bucket(form) if j is None else j)
-        if len(word) <= 64:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
-            self.known[word] = place
+        if len(self.known) >= self.LIMIT:
+            self.known.clear()
+        self.known[word] = place
         return place
 
     def vector(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        out = np.zeros(2 * DIMS + RATES, np.float32)
-        if not words:
+        out = np.zeros(2 * DIMS + RATES, np.float64)
+        known, find = self.known, self._find
+        n = same = 0
+        last = -1
+        for words in words_of(text):
+            both = np.array([known.get(w) or find(w) for w in words], np.int64)
+            for at in range(0, len(both), 16_384):
+                part = both[at : at + 16_384]
+                out[:DIMS] += self.space.word_vectors[part >> 32].sum(axis=0)
+                out[DIMS : 2 * DIMS] += self.space.shape_vectors[part & 0xFFFFFFFF].sum(axis=0)
+            same += int((both[1:] == both[:-1]).sum()) + int(both[0] == last)
+            n, last = n + len(both), int(both[-1])
+        if not n:
             out[-1] = 1
             return out
-        known, find = self.known, self._find
-        both = np.array([known.get(w) or find(w) for w in words], np.int64)
-        for at in range(0, len(both), 16_384):
-            part = both[at : at + 16_384]
-            out[:DIMS] += self.space.word_vectors[part >> 32].sum(axis=0)
-            out[DIMS : 2 * DIMS] += self.space.shape_vectors[part & 0xFFFFFFFF].sum(axis=0)
-        out /= len(words)
-        out[-4] = (both[1:] == both[:-1]).mean() if len(words) > 1 else 0
-        out[-3] = np.log1p(len(words)) / 10
-        out[-2] = len(text) / len(words) / 20
+        out /= n
+        out[-4] = same / (n - 1) if n > 1 else 0
+        out[-3] = np.log1p(n) / 10
+        out[-2] = len(text) / n / 20
         return out
 
 
@@ -187,53 +226,67 @@ class Network:
         return np.where(inputs[:, -1] > 0, self.share, out)  # no words: nothing but the share of good ones
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[WordSpace, Network] | float:
+def fit(texts: list[str], good: list[bool]) -> tuple[WordSpace, Network] | float:
     """The word space and network, or a constant score if there is nothing to tell apart."""
-    usable = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    n = rows.count()
-    chosen = rows.filter(sampled(F.col("doc_id"), LEARN_ROWS / max(1, n), SEED))
-    # about LEARN_ROWS short rows, whatever the input
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= LEARN_BYTES)
-    picked, total = [], 0
-    for r in texts.join(F.broadcast(chosen), "doc_id").toLocalIterator():
-        picked.append((r["doc_id"], r["text"], float(r["good"])))
-        total += len(r["text"])
-        if total > LEARN_TOTAL:
-            break
-    picked.sort()
-    y = np.array([p[2] for p in picked])
+    y = np.array(good, np.float64)
     if len(y) < 10 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
     space = WordSpace()
-    space.learn([p[1] for p in picked])
+    space.learn(texts)
     pool = Pooler(space)
-    x = np.array([pool.vector(p[1]) for p in picked], np.float64)
+    x = np.array([pool.vector(t) for t in texts])
     back = np.random.default_rng(SEED).random(len(y)) < 0.2
     if not 0 < y[~back].mean() < 1:
         back[:] = False
     return space, Network(x, y, back)
 
 
-def scored(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``quality_score``."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, good`` of the labelled texts to learn from, each once."""
+    usable = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+    rated = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
+    # Texts are known by a hash here, so that narrow rows move.
+    each = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sums = each.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(rated, "doc_id", "left_semi")
+    n, total = (x or 0 for x in sums.agg(F.sum("n"), F.sum("size")).first())
+    share = min(1.0, LEARN_ROWS / max(1, n), LEARN_TOTAL / max(1, total))
+    drawn = docs.select("doc_id", "text").filter(sampled(F.struct("doc_id", F.xxhash64("text")), share, SEED) & ~held_out(F.col("doc_id")))
+    return drawn.distinct().join(rated, "doc_id")
+
+
+def learn(docs: DataFrame, labels: DataFrame):
+    """What ``fit`` makes of the sample; one task reads it, in an order that only its rows decide."""
+    drawn = sample(docs, labels).repartition(1).sortWithinPartitions("doc_id", "text")
+
+    def work(batches):
+        texts, good = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            good += batch.column("good").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, good))], pa.binary())], names=["model"])
+
+    made = map_batches(drawn.select("text", "good"), work, "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else 0.5
+
+
+def scored(docs: DataFrame, model, columns: list[str], name: str = "quality_score") -> DataFrame:
+    """``columns`` of ``docs`` with the score, in a column that is called ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS
-    names = [*columns, "quality_score"]
+    (text,) = unused(columns, "text_")
 
     def work(batches):
         model = shared.value
         pool = Pooler(model[0]) if isinstance(model, tuple) else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(len(columns)).to_pylist()
             if pool is None:
                 values = np.full(len(texts), model)
             else:
                 values = model[1].scores(np.array([pool.vector(t) for t in texts], np.float64).reshape(len(texts), -1)) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(values, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*columns, name])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    needed = docs.select(*dict.fromkeys([*columns, "text"]))
-    return map_batches(needed, work, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "quality_score double"]))
+    needed = docs.select(*map(quoted, columns), F.col("text").alias(text))
+    return map_batches(needed, work, StructType([*needed.schema.fields[:-1], StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -249,5 +302,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with the same columns."""
-    names = docs.columns
-    return scored(docs, learn(docs, labels), names).filter(F.col("quality_score") >= CUT).select(*names)
+    (score,) = unused(docs.columns, "quality_score")
+    out = scored(docs, learn(docs, labels), docs.columns, score)
+    return out.filter(F.col(score) >= CUT).select(*map(quoted, docs.columns))

@@ -16,9 +16,13 @@ A group over ``GROUP_ROWS`` fingerprints is dealt anew by five blocks of the
 bits that its key leaves open; pairs within the distance still meet in one of
 them.  Nothing is capped or dropped.
 
+``one_of_similar`` links by the similarity of the texts' sets of shingles instead of
+by a few bits; see there.
+
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; null ids take part in links, and a component of null ids alone has a
-null id; repeated rows repeat; other columns are not read.
+null id; repeated rows repeat; other columns are not read, or pass through
+unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +33,21 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paralex.llm.common import durable, map_batches
+from paralex.llm import shingles
+from paralex.llm.common import durable, join_spread, map_batches, quoted, unused
 from paralex.llm.components import components
+from paralex.llm.gray import GrayIndex, forest, gray_rank, majority
 
 WORDS, DISTANCE, SEED = 4, 4, 42
-GROUP_ROWS = 50_000
+GROUP_ROWS = 16_384
 #: Groups up to this size are compared pair by pair, many groups at a time.
 SMALL = 24
-FAN = 16
-#: Fingerprints that search the index at once, to bound the frontier.
-SEARCH = 1024
+#: Fingerprints that search the index at once, and what their number times the group's
+#: size may be: both bound the frontier.
+SEARCH, FRONTIER = 1024, 1 << 23
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -56,11 +62,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     width = min(words, len(found))
     spans = zip(starts, ends[width - 1 :])
     values = np.fromiter((_hash(joined[i : j - 1]) for i, j in spans), np.uint64, len(found) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(values), 16_384):
-        bits = np.unpackbits(values[at : at + 16_384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
+    return majority(values)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -75,82 +77,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), work, "doc_id long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each code word in the reflected Gray sequence."""
-    out = x.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        out ^= out >> np.uint64(shift)
-    return out
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over links ``a``-``b``."""
-    label = np.arange(n)
-    while len(a):
-        x, y = label[a], label[b]
-        keep = x != y
-        if not keep.any():
-            break
-        a, b, x, y = a[keep], b[keep], x[keep], y[keep]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
-class GrayIndex:
-    """Hierarchy over fingerprints in Gray order; level 0 has the leaves."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # residual mask, pattern
-        every, some = fps, fps
-        spans = []
-        while len(every) > 1 or not spans:
-            cut = np.arange(0, len(every), FAN)
-            every, some = np.bitwise_and.reduceat(every, cut), np.bitwise_or.reduceat(some, cut)
-            spans.append((~(every ^ some), every))
-        for k, (mask, pattern) in enumerate(spans):
-            if k + 1 < len(spans):
-                above = np.repeat(spans[k + 1][0], FAN)[: len(mask)]
-                mask = mask & ~above
-            self.levels.append((mask, pattern))
-
-    def uniform(self, label: np.ndarray) -> list[np.ndarray]:
-        """Of each level, the label that all of a node's leaves have, else -1."""
-        low, high, out = label, label, []
-        for mask, _ in self.levels:
-            cut = np.arange(0, len(low), FAN)
-            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            out.append(np.where(low == high, low, -1))
-        return out
-
-    def search(self, who: np.ndarray, distance: int, label: np.ndarray, same: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (searcher, later fingerprint) within the distance, of different labels."""
-        fps = self.fps
-        top = len(self.levels) - 1
-        q, node = who, np.zeros(len(who), np.int64)
-        gap = np.bitwise_count((fps[q] ^ self.levels[top][1][0]) & self.levels[top][0][0]).astype(np.int16)
-        size = FAN ** (top + 1)
-        for k in range(top, -1, -1):
-            keep = (gap <= distance) & ((node + 1) * size > q + 1) & (same[k][node] != label[q])
-            q, node, gap = q[keep], node[keep], gap[keep]
-            below = len(fps) if k == 0 else len(self.levels[k - 1][0])
-            child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-            q, gap = np.repeat(q, FAN), np.repeat(gap, FAN)
-            real = child < below
-            q, node, gap = q[real], child[real], gap[real]
-            if k:
-                mask, pattern = self.levels[k - 1]
-                gap = gap + np.bitwise_count((fps[q] ^ pattern[node]) & mask[node])
-                size //= FAN
-        near = (node > q) & (np.bitwise_count(fps[q] ^ fps[node]) <= distance)
-        return q[near], node[near]
-
-
 def group_forest(fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Label of each fingerprint of one group: the smallest index linked to it."""
     order = np.argsort(gray_rank(fps), kind="stable")
@@ -161,8 +87,9 @@ def group_forest(fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     at = np.flatnonzero(np.bitwise_count(index.fps[1:] ^ index.fps[:-1]) <= distance)
     label = forest(n, at, at + 1)
     a, b = [], []
-    for i in range(0, n, SEARCH):
-        x, y = index.search(np.arange(i, min(n, i + SEARCH)), distance, label, index.uniform(label))
+    at_once = max(16, min(SEARCH, FRONTIER // n))
+    for i in range(0, n, at_once):
+        x, y = index.search(np.arange(i, min(n, i + at_once)), distance, label, index.uniform(label))
         if len(x):
             a, b = label[x], label[y]
             root = forest(n, a, b)
@@ -270,16 +197,17 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``prints`` (``doc_id, fp`` and more) with ``component_id``.
+    """``prints`` (``doc_id, fp``) with ``component_id``.
 
     ``prints`` is read several times and should be a written table.
     """
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = components(near_links(nodes, distance))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(known, "fp")
+    rooted = durable(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
+    total, every = rooted.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    known = durable(join_spread(rooted.select("root", "fp", "rows"), ids, "root", "nodes", total).select("fp", "component_id", "rows"))
+    return join_spread(prints, known, "fp", "rows", every)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -288,45 +216,73 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*(quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with the row of the smallest id (null last) of each component only.
 
     Rows are told apart by their id and a hash of all their columns; of rows
     equal in everything one stays.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
 
     def work(batches):
         for batch in batches:
             values = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
             fp = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), fp], names=["doc_id", "_row", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), fp], names=["doc_id", "row", "fp"])
+
+    prints = durable(map_batches(docs.select("doc_id", _row_hash(docs).alias("row"), "text"), work, "doc_id long, row long, fp long"))
+    return first_of_each(docs, prints, components(near_links(durable(prints.select("fp").distinct()), distance)))
 
-    prints = durable(map_batches(marked.select("doc_id", "_row", "text"), work, "doc_id long, _row long, fp long"))
-    nodes = prints.select("fp").distinct()
-    return first_of_each(marked, prints, components(near_links(durable(nodes), distance)))
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """As ``one_of_each``, where texts are linked if their sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more.
+
+    Fingerprints of two sets at 0.8 differ in 9.7 bits of 64 in the mean and in up to 28,
+    far beyond what blocks of equal bits can find, so groups are dealt by MinHash bands
+    instead.  Inside a group the Gray index finds those within ``shingles.RADIUS`` bits,
+    and each of these is verified on the whole sets.
+    """
+    prints = durable(shingles.prints_of(docs.select("doc_id", _row_hash(docs).alias("row"), "text")))
+    return first_of_each(docs, prints.select("doc_id", "row", "fp"), components(shingles.similar_links(prints)))
 
 
-def first_of_each(marked: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     """The row of the smallest id (null last) of each component of ``roots``.
 
-    ``marked`` has a hash ``_row`` of all its other columns, ``prints`` (a written
-    table) has ``doc_id, _row, fp`` of every row.
+    ``prints`` (a written table) has ``doc_id, row, fp`` of every row.  All is decided on
+    narrow rows; then the rows that go, usually far fewer than those that stay, are taken
+    from ``docs``, whose texts move only where the list of those is too long to broadcast.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")
     nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    # Rows equal in everything are told apart only where there are any.
-    often = prints.groupBy("_row", "doc_id").agg((F.count("*") > 1).alias("_often"))
-    keys = kept.select(F.col("least.doc_id").alias("_id"), F.col("least._row").alias("_row"))
-    keys = keys.join(often, (keys["_row"] == often["_row"]) & keys["_id"].eqNullSafe(often["doc_id"])).select("_id", keys["_row"], "_often")
-    keys = durable(keys)
-    names = [n for n in marked.columns if n != "_row"]
-
-    def joined(often: bool) -> DataFrame:
-        return marked.join(keys.filter(F.col("_often") == often), "_row").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-
-    once = Window.partitionBy("_row", "doc_id").orderBy(F.lit(0))
-    repeated = joined(True).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return joined(False).select(*names).unionByName(repeated.select(*names))
+    kept = kept.select(F.col("least.doc_id").alias("id"), F.col("least.row").alias("row"), F.lit(True).alias("stays"))
+    each = prints.groupBy(F.col("doc_id").alias("id"), "row").agg(F.count("*").alias("n"))
+    each = each.alias("e").join(kept.alias("k"), (F.col("e.row") == F.col("k.row")) & F.col("e.id").eqNullSafe(F.col("k.id")), "left")
+    # Rows that go, and rows equal in everything of which one stays.
+    out = durable(each.select("e.id", "e.row", "n", F.col("stays").isNotNull().alias("stays")).filter("not stays or n > 1"))
+    total, again = out.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("stays"), 1))).first()
+    key, number = unused([*docs.columns, "id", "row", "n", "stays"], "key", "number")
+    marked = docs.withColumn(key, _row_hash(docs))
+    hot = F.col("n") > max(64, total // 1024)  # true of at most 1,024 keys
+
+    def same(keys: DataFrame):
+        return (marked[key] == keys["row"]) & marked["doc_id"].eqNullSafe(keys["id"])
+
+    few, rest = F.broadcast(out.filter(hot)), out.filter(~hot)
+    left = marked.join(few, same(few), "left_anti")
+    stay = left.join(rest, (left[key] == rest["row"]) & left["doc_id"].eqNullSafe(rest["id"]), "left_anti").drop(key)
+    if not again:
+        return stay
+    # The number of equal rows is limited to one in each task before they meet.
+    once = Window.partitionBy(key, "doc_id").orderBy(F.lit(0))
+    for part in (F.broadcast(out.filter(hot & F.col("stays"))), out.filter(~hot & F.col("stays"))):
+        copies = marked.join(part, same(part), "left_semi")
+        stay = stay.unionByName(copies.withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).drop(key, number))
+    return stay

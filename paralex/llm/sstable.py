@@ -8,7 +8,8 @@ A shard holds documents in ascending order of their identifier.  Its file is
     Bloom filter  of the keys
     footer        fixed size, with the places of index and filter
 
-all numbers little-endian.  Ids take 2 bytes if the vocabulary allows, else 4.
+all numbers little-endian.  Ids take 2 bytes if the vocabulary and the end id allow, else
+4; an id that doesn't fit is an error.
 A lookup tests the filter, searches the index by halves and reads one block.
 
 Shards are dealt by range, so the order of shards is the order of documents.
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.llm import hf
-from paralex.llm.common import map_batches, shared_folder
+from paralex.llm.common import map_batches
+from paralex.session import fresh_path
 
 END_ID = 2
 BLOCK_BYTES = 64 * 1024
@@ -109,6 +111,8 @@ class ShardWriter:
             most = min(len(key), len(self.last))
             while shared < most and key[shared] == self.last[shared]:
                 shared += 1
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise OverflowError(f"id {int(ids.max())} needs more than {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         record = b"".join((_varint(shared), _varint(len(key) - shared), _varint(len(ids)), key[shared:], value))
         self.block.append(record)
@@ -223,7 +227,7 @@ class Shard:
 
 
 def write_shards(
-    docs: DataFrame, folder: str | None = None, shards: int | None = None, end_id: int = END_ID, path: str | None = None, width: int = 2
+    docs: DataFrame, folder: str | None = None, shards: int | None = None, end_id: int = END_ID, path: str | None = None, width: int | None = None
 ) -> list[Shard]:
     """Tokenise every whole text and write the shards; the manifest, in order.
 
@@ -231,7 +235,7 @@ def write_shards(
     finding the ranges doesn't tokenise anything.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/sstable-{uuid.uuid4().hex}"
+    folder = folder or fresh_path(spark, "sstable")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -246,7 +250,7 @@ def write_shards(
         name = f"shard-{number:06d}-{uuid.uuid4().hex}.sst"
         fs, root = filesystem(folder)
         with fs.open_output_stream(f"{root}/{name}.tmp") as sink:
-            writer = ShardWriter(sink, width)
+            writer = ShardWriter(sink, width or coder.width(end_id))
             for batch in batches:
                 ids_of = coder.encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of):

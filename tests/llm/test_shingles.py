@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from paralex.llm import shingles
+from paralex.llm import gray, shingles, simhash
 
 
 def plain_set(text):
@@ -54,9 +54,9 @@ def test_pipeline_stage_as_over_all_pairs(spark, monkeypatch, block_rows):
 def test_null_and_repeated_rows(spark):
     rows = [(None, "a b c d e"), (9, "a b c d e"), (None, "other words here now"), (5, "five five"), (5, "five five"), (5, "not so five at all"), (5, "five five")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((str(r["doc_id"]), r["text"]) for r in shingles.one_of_similar(df).collect())
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_similar(df).collect())
     assert kept == [("5", "five five"), ("5", "not so five at all"), ("9", "a b c d e"), ("None", "other words here now")]
-    assert shingles.one_of_similar(df.limit(0)).count() == 0
+    assert simhash.one_of_similar(df.limit(0)).count() == 0
 
 
 def test_set_links_join_all_near_pairs():
@@ -64,7 +64,8 @@ def test_set_links_join_all_near_pairs():
     base = rng.integers(0, 2**48, 60, dtype=np.uint64)
     sets = [np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 2**48, rng.integers(0, 8), dtype=np.uint64)]) for _ in range(150)]
     near = np.array([[shingles.similar(len(np.intersect1d(x, y)), len(x), len(y)) for y in sets] for x in sets])
-    want = shingles.forest(150, *np.nonzero(np.triu(near, 1)))
-    a, b = shingles.set_links(sets, np.arange(150))
-    assert near[a, b].all() and (shingles.forest(150, a, b) == want).all() and len(set(want.tolist())) > 1
+    want = gray.forest(150, *np.nonzero(np.triu(near, 1)))
+    sims = np.array([gray.majority(s * np.uint64(0x9E3779B97F4A7C15)) for s in sets], np.uint64)
+    a, b = shingles.set_links(sets, np.arange(150), sims, np.ones(150, bool))
+    assert near[a, b].all() and (gray.forest(150, a, b) == want).all() and len(set(want.tolist())) > 1
     assert all((shingles.unpack(shingles.pack(s)) == s).all() for s in sets)
