@@ -6,12 +6,12 @@ directions: a projected squared distance is the true one times a chi-square
 variable of ``DIMS`` degrees.  A kd-tree over projections, fitted on a bounded
 sample, deals all vectors into cells; each cell holds a kd-tree of its own.
 
-A query visits leaves by growing projected distance.  The chi-square test says from
-which projected distance on a vector nearer than the k-th best would have been met
-already with probability ``CONFIDENCE``: leaves beyond it are left out, and of the
-others only the vectors that are themselves within it have their true cosine
-verified.  The column ``verified`` counts these.  A query first searches its own
-cell, then the cells that the test leaves open.
+A query verifies the true cosine of vectors by growing projected distance, first of
+the ``SEEDS`` nearest, then of the others.  The chi-square test says from which
+projected distance on a vector nearer than the k-th best would have been met already
+with probability ``CONFIDENCE``: leaves beyond it are left out, and so are, one by one,
+the vectors beyond it in other leaves.  The column ``verified`` counts the rest.  A
+query first searches its own cell, then the cells that the test leaves open.
 
 Equal vectors are one entry with their k + 1 smallest different ids, each at most k
 times, which is all that can be among k nearest once a query's own id is left out,
@@ -40,11 +40,13 @@ from paralex.llm.common import durable
 from paralex.llm.folds import sampled
 
 DIMS, SEED = 32, 20_14
-CONFIDENCE = 0.95
+CONFIDENCE = 0.93
 #: Vectors of the sample that cells are fitted on, and vectors a cell should hold.
 SAMPLE_ROWS, CELL_ROWS = 16_384, 8_192
 #: Queries of one block and bytes of its vectors.
 LEAF_ROWS, BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 64, 2_048, 16 << 20, 256
+#: Nearest projections that a query verifies before the rest are tested.
+SEEDS = 128
 
 
 def chi_square_quantile(p: float, degrees: int = DIMS) -> float:
@@ -139,6 +141,18 @@ class Leaves:
         self.high = np.array([rows[x].max(axis=0) for x in leaves])
 
 
+def _best(who: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of each of ``n`` queries, as arrays of scores and rows (-1: none)."""
+    order = np.lexsort((ids[row], -score, who))
+    who, row, score = who[order], row[order], score[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    first = rank < k
+    scores, rows = np.full((n, k), -np.inf), np.full((n, k), -1)
+    scores[who[first], rank[first]] = score[first]
+    rows[who[first], rank[first]] = row[first]
+    return scores, rows
+
+
 def search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray, limit: float):
     """The k best rows of ``vectors`` for each query, as far as the test goes on.
 
@@ -148,41 +162,42 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bo
     """
     spots = project(vectors)
     tree = Leaves(spots)
+    size = (spots * spots).sum(axis=1)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     scores, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
     verified = np.zeros(len(queries), np.int64)
-    at_once = max(1, min(STEP_ROWS, BLOCK_BYTES // (8 * LEAF_ROWS * vectors.shape[1])))
+    pairs = max(1, BLOCK_BYTES // (8 * vectors.shape[1]))
+    at_once = max(1, min(STEP_ROWS, BLOCK_BYTES // (8 * len(vectors))))
     for at in range(0, len(queries), at_once):
         q = queries[at : at + at_once]
         own, place = np.sqrt((q * q).sum(axis=1)), project(q)
-        gaps = box_gaps(place, tree.low, tree.high)
-        order = np.argsort(gaps, axis=1, kind="stable")
         worst = bound[at : at + at_once].copy()
-        live = np.arange(len(q))
-        for step in range(order.shape[1]):
-            leaf = order[live, step]
-            go = gaps[live, leaf] <= limit * worst[live]
-            live, leaf = live[go], leaf[go]
-            if not len(live):
-                break
-            rows = tree.rows[leaf]
-            apart = spots[rows] - place[live, None, :]
-            open_ = (rows >= 0) & (np.einsum("ijk,ijk->ij", apart, apart) <= limit * worst[live, None])
-            some = np.flatnonzero(open_.any(axis=1))
-            if not len(some):
-                continue
-            i, j = np.nonzero(open_[some])
-            who, row = live[some], rows[some]
-            np.add.at(verified, at + who[i], 1)
-            score = np.full(row.shape, -np.inf)
-            score[i, j] = np.einsum("ij,ij->i", vectors[row[i, j]], q[who[i]]) / (norms[row[i, j]] * own[who[i]])
-            score = np.concatenate([scores[at + who], score], axis=1)
-            row = np.concatenate([found[at + who], row], axis=1)
-            best = np.lexsort((np.where(row < 0, np.iinfo(np.int64).max, ids[row]), -score), axis=1)[:, :k]
-            scores[at + who] = np.take_along_axis(score, best, 1)
-            found[at + who] = np.where(np.isneginf(scores[at + who]), -1, np.take_along_axis(row, best, 1))
-            last = scores[at + who, k - 1]
-            worst[who] = np.minimum(worst[who], np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
+        leaf_open = box_gaps(place, tree.low, tree.high) <= limit * worst[:, None]
+        here = tree.rows[leaf_open.any(axis=0)].ravel()
+        here = np.sort(here[here >= 0])
+        if not len(here):
+            continue
+        apart = (place * place).sum(axis=1)[:, None] + size[here] - 2 * place @ spots[here].T
+
+        def verify(i: np.ndarray, r: np.ndarray) -> np.ndarray:
+            parts = [np.einsum("ij,ij->i", vectors[r[x : x + pairs]], q[i[x : x + pairs]]) for x in range(0, len(i), pairs)]
+            np.add.at(verified, at + i, 1)
+            return np.concatenate([np.zeros(0), *parts]) / (norms[r] * own[i])
+
+        # The nearest projections of each query first; what they leave open then.
+        near = np.argpartition(apart, SEEDS - 1, axis=1)[:, :SEEDS] if len(here) > SEEDS else np.tile(np.arange(len(here)), (len(q), 1))
+        i, c = np.nonzero(np.take_along_axis(apart, near, 1) <= limit * worst[:, None])
+        c = near[i, c]
+        apart[i, c] = np.inf
+        score = verify(i, here[c])
+        top, _ = _best(i, here[c], score, ids, k, len(q))
+        last = top[:, k - 1]
+        worst = np.minimum(worst, np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
+        j, d = np.nonzero(apart <= np.minimum(limit * worst, np.finfo(float).max)[:, None])
+        more = verify(j, here[d])
+        good = more >= last[j]
+        who, row, both = np.r_[i, j[good]], here[np.r_[c, d[good]]], np.r_[score, more[good]]
+        scores[at : at + len(q)], found[at : at + len(q)] = _best(who, row, both, ids, k, len(q))
     return scores, found, verified
 
 
