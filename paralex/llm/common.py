@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from paralex.session import shared_folder, written as durable
 
-__all__ = ["durable", "join_spread", "map_batches", "quoted", "rebatched", "shared_folder", "table", "tokenizer_file", "unused"]
+__all__ = ["apart", "durable", "join_spread", "map_batches", "quoted", "rebatched", "shared_folder", "table", "tokenizer_file", "unused"]
 
 #: Most rows and bytes of one batch that an operator's worker code is given.  Texts vary
 #: from bytes to megabytes, so memory in a worker is bounded by bytes; one longer text is
@@ -68,6 +68,34 @@ def map_batches(
     return df.mapInArrow(lambda batches: work(rebatched(batches, rows, size)), schema)
 
 
+def apart(work: Callable[[], bytes]) -> bytes:
+    """What ``work`` returns, from a child process: the memory that it took is gone with it,
+    while a worker that is used again would keep it."""
+    import multiprocessing
+
+    here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
+
+    def child():
+        try:
+            there.send((True, work()))
+        except BaseException as e:  # noqa: BLE001
+            there.send((False, repr(e)))
+        finally:
+            os._exit(0)
+
+    process = multiprocessing.get_context("fork").Process(target=child, daemon=False)
+    process.start()
+    there.close()
+    try:
+        good, value = here.recv()
+    except EOFError:
+        good, value = False, "the child process died"
+    process.join()
+    if not good:
+        raise RuntimeError(value)
+    return value
+
+
 def quoted(name: str) -> Column:
     """The column of this very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

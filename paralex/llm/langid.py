@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from paralex.llm.common import map_batches, quoted, unused
+from paralex.llm.common import apart, map_batches, quoted, unused
 from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEAST, PASSAGE, SEED = 3_000, 20, 1 << 13, 7
@@ -174,8 +174,8 @@ def learn(docs: DataFrame) -> LanguageModel | None:
                 if has_letter(text):
                     texts.append(text)
                     langs.append(lang)
-        model = LanguageModel(texts, langs) if texts else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        made = apart(lambda: pickle.dumps(LanguageModel(texts, langs) if texts else None))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     made = map_batches(drawn.select("text", "lang"), work, "model binary").collect()  # one row
     return pickle.loads(made[0]["model"]) if made else None

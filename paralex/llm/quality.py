@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paralex.llm.common import map_batches, quoted, unused
+from paralex.llm.common import apart, map_batches, quoted, unused
 from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEARN_TOTAL = 6_000, 32 << 20
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame):
         for batch in batches:
             texts += batch.column("text").to_pylist()
             good += batch.column("good").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, good))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([apart(lambda: pickle.dumps(fit(texts, good)))], pa.binary())], names=["model"])
 
     made = map_batches(drawn.select("text", "good"), work, "model binary").collect()  # one row
     return pickle.loads(made[0]["model"]) if made else 0.5
