@@ -3,6 +3,7 @@ folder, Arrow batches of bounded size, safe column names, and joins on hot keys.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,14 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paralex.session import shared_folder, written as durable
+from paralex.session import shared_folder, written
 
-__all__ = ["apart", "durable", "join_spread", "map_batches", "quoted", "rebatched", "shared_folder", "table", "tokenizer_file", "unused"]
+__all__ = ["apart", "durable", "from_text", "join_spread", "map_batches", "quoted", "rebatched", "shared_folder", "small_batches", "table", "tokenizer_file", "unused"]
 
 #: Most rows and bytes of one batch that an operator's worker code is given.  Texts vary
 #: from bytes to megabytes, so memory in a worker is bounded by bytes; one longer text is
 #: a batch of its own.  What crosses to the worker is bounded by the session's
-#: ``spark.sql.execution.arrow.maxBytesPerBatch``, which is left alone.
+#: ``spark.sql.execution.arrow.maxBytesPerBatch``, which is lowered to BATCH_BYTES while an
+#: operator runs a job of its own and is otherwise left alone.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: A key with more than this share of all rows is hot.
 HOT_SHARE = 1 / 1024
@@ -30,6 +32,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run in the block send batches of BATCH_BYTES; the session's setting is put back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    with small_batches(df.sparkSession):
+        return written(df)
+
+
+def from_text(df: DataFrame, name: str, work: Callable[[Iterator[list[str | None]]], Iterator[pa.Array]], kind: str) -> DataFrame:
+    """``df`` with a column ``name`` of ``kind``: what ``work`` makes of the texts.
+
+    ``work`` gets bounded lists of texts and yields an array for each; only the texts
+    cross to the worker and only its values come back.
+    """
+
+    @F.arrow_udf(kind)
+    def value(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes: list[int] = []
+
+        def lists():
+            for column in texts:
+                parts = list(rebatched([pa.RecordBatch.from_arrays([column], names=["text"])]))
+                sizes.append(len(parts))
+                for part in parts:
+                    yield part.column(0).to_pylist()
+
+        made, held = work(lists()), []
+        for array in made:
+            held.append(array)
+            if len(held) == sizes[0]:
+                sizes.pop(0)
+                yield pa.concat_arrays(held)
+                held = []
+            while sizes and not sizes[0]:
+                sizes.pop(0)
+                yield pa.array([], array.type)
+
+    return df.withColumn(name, value(F.col("text")))
+
+
 def _sizes(batch: pa.RecordBatch) -> list[int]:
     """Bytes of the texts and binaries of each row."""
     total = None

@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from paralex.llm.common import apart, map_batches, quoted, unused
+from paralex.llm.common import apart, from_text, map_batches, quoted, small_batches, unused
 from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEAST, PASSAGE, SEED = 3_000, 20, 1 << 13, 7
@@ -177,41 +176,39 @@ def learn(docs: DataFrame) -> LanguageModel | None:
         made = apart(lambda: pickle.dumps(LanguageModel(texts, langs) if texts else None))
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
-    made = map_batches(drawn.select("text", "lang"), work, "model binary").collect()  # one row
+    with small_batches(docs.sparkSession):
+        made = map_batches(drawn.select("text", "lang"), work, "model binary").collect()  # one row
     return pickle.loads(made[0]["model"]) if made else None
 
 
-def predicted(docs: DataFrame, model: LanguageModel | None, columns: list[str], names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
-    """``columns`` of ``docs`` with language, score and ambiguity in columns of these ``names``."""
+def predicted(docs: DataFrame, model: LanguageModel | None, name: str = "found") -> DataFrame:
+    """``docs`` with a struct ``name`` of ``lang, score, ambiguous``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a bit
-    (text,) = unused(columns, "text_")
 
-    def work(batches):
+    def work(lists):
         model = shared.value
-        for batch in batches:
-            found = [model.predict(t) if model else (UNKNOWN, 0.0, True) for t in batch.column(len(columns)).to_pylist()]
+        for texts in lists:
+            found = [model.predict(t) if model else (UNKNOWN, 0.0, True) for t in texts]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*columns, *names])
+            yield pa.StructArray.from_arrays(made, names=["lang", "score", "ambiguous"])
 
-    needed = docs.select(*map(quoted, columns), F.col("text").alias(text))
-    more = [StructField(n, kind) for n, kind in zip(names, (StringType(), DoubleType(), BooleanType()))]
-    return map_batches(needed, work, StructType([*needed.schema.fields[:-1], *more]))
+    return from_text(docs, name, work, "lang string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` of every document."""
-    out = predicted(docs, learn(docs), ["doc_id"])
+    out = predicted(docs.select("doc_id", "text"), learn(docs))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        "lang_pred",
-        F.col("lang_score").alias("score"),
-        F.col("lang_ambiguous").alias("ambiguous"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.col("found.ambiguous").alias("ambiguous"),
     )
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is told without ambiguity, with the same columns."""
-    names = unused(docs.columns, "lang_pred", "lang_score", "lang_ambiguous")
-    out = predicted(docs, learn(docs), docs.columns, tuple(names))
-    return out.filter((F.col(names[0]) != UNKNOWN) & ~F.col(names[2])).select(*map(quoted, docs.columns))
+    (found,) = unused(docs.columns, "found")
+    out = predicted(docs, learn(docs), found)
+    return out.filter((F.col(f"{found}.lang") != UNKNOWN) & ~F.col(f"{found}.ambiguous")).select(*map(quoted, docs.columns))

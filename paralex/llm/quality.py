@@ -36,9 +36,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paralex.llm.common import apart, map_batches, quoted, unused
+from paralex.llm.common import apart, from_text, map_batches, quoted, small_batches, unused
 from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEARN_TOTAL = 6_000, 32 << 20
@@ -265,33 +264,31 @@ def learn(docs: DataFrame, labels: DataFrame):
             good += batch.column("good").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([apart(lambda: pickle.dumps(fit(texts, good)))], pa.binary())], names=["model"])
 
-    made = map_batches(drawn.select("text", "good"), work, "model binary").collect()  # one row
+    with small_batches(docs.sparkSession):
+        made = map_batches(drawn.select("text", "good"), work, "model binary").collect()  # one row
     return pickle.loads(made[0]["model"]) if made else 0.5
 
 
-def scored(docs: DataFrame, model, columns: list[str], name: str = "quality_score") -> DataFrame:
-    """``columns`` of ``docs`` with the score, in a column that is called ``name``."""
+def scored(docs: DataFrame, model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the score, in a column that is called ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS
-    (text,) = unused(columns, "text_")
 
-    def work(batches):
+    def work(lists):
         model = shared.value
         pool = Pooler(model[0]) if isinstance(model, tuple) else None
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+        for texts in lists:
             if pool is None:
                 values = np.full(len(texts), model)
             else:
-                values = model[1].scores(np.array([pool.vector(t) for t in texts], np.float64).reshape(len(texts), -1)) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*columns, name])
+                values = model[1].scores(np.array([pool.vector(t) for t in texts]))
+            yield pa.array(values, pa.float64())
 
-    needed = docs.select(*map(quoted, columns), F.col("text").alias(text))
-    return map_batches(needed, work, StructType([*needed.schema.fields[:-1], StructField(name, DoubleType())]))
+    return from_text(docs, name, work, "double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    out = scored(docs, learn(docs, labels), ["doc_id"])
+    out = scored(docs.select("doc_id", "text"), learn(docs, labels))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -303,5 +300,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with the same columns."""
     (score,) = unused(docs.columns, "quality_score")
-    out = scored(docs, learn(docs, labels), docs.columns, score)
+    out = scored(docs, learn(docs, labels), score)
     return out.filter(F.col(score) >= CUT).select(*map(quoted, docs.columns))
