@@ -26,11 +26,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def decode_tokens(encoded: DataFrame, vocabulary: DataFrame, key: str, special_ids: tuple[int, ...] = ()) -> DataFrame:
-    """``key, text``: the tokens of ``ids``, without special ones, joined by spaces."""
-    flat = encoded.select(key, F.posexplode("ids").alias("pos", "token_id")).filter(~F.col("token_id").isin(*special_ids))
-    named = flat.join(vocabulary, "token_id")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return named.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("text"))
+    """``key, text``: the tokens of ``ids``, without special ones, joined by spaces.
+
+    Every row has a text: ids that are null, empty, all special or not in the vocabulary
+    give the empty string, and rows of the same key stay apart.
+    """
+    rows = encoded.select(key, "ids", F.monotonically_increasing_id().alias("_row"))
+    flat = rows.select(key, "_row", F.posexplode_outer("ids").alias("pos", "token_id"))
+    plain = F.when(~F.col("token_id").isin(*special_ids), F.col("token_id")) if special_ids else F.col("token_id")
+    named = flat.withColumn("token_id", plain).join(vocabulary.select("token_id", "token"), "token_id", "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token"))))
+    joined = F.array_join(F.transform(parts, lambda x: x["token"]), " ")
+    return named.groupBy("_row", key).agg(joined.alias("text")).select(key, "text")
 
 
 def mean_vector(vectors: DataFrame, column: str) -> DataFrame:

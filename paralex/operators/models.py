@@ -1,10 +1,20 @@
-"""The boundary to models: protocols, dispatch by name, and calls from executors."""
+"""The boundary to models: protocols, providers, and calls from executors.
+
+A model is made by a callable, once a task.  Remote chat models speak the public chat
+completion protocol over HTTP, with nothing but the standard library.
+"""
 
 from __future__ import annotations
 
 import json
+import os
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -17,11 +27,29 @@ class Translator(Protocol):
         """The answer to a prompt."""
 
 
+class BatchTranslator(Protocol):
+    def generate_many(self, prompts: list[str]) -> list[str]:
+        """The answers to a batch of prompts, in order."""
+
+
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]:
         """One vector a text."""
 
 
+@dataclass(frozen=True)
+class Decoding:
+    """How a local model makes its answers; a provider reads what it knows of these."""
+
+    max_length: int = 256
+    num_beams: int = 1
+    do_sample: bool = False
+    temperature: float = 1.0
+    top_k: int = 50
+    top_p: float = 1.0
+    batch_size: int = 16
+
+
 class EchoTranslator:
     """Offline stand-in: answers with the text asked for, as JSON."""
 
@@ -29,6 +57,68 @@ class EchoTranslator:
         question = prompt.rsplit("\n", 1)[0].rsplit("\n\n", 1)[-1]
         return json.dumps({"translation": question.split(": ", 1)[-1]}, ensure_ascii=False)
 
+    def generate_many(self, prompts: list[str]) -> list[str]:
+        return [self.generate(p) for p in prompts]
+
+
+#: Where each provider is reached and which variable holds its key.
+BASE_URLS = {"gpt": "https://api.openai.com/v1/", "gemini": "https://generativelanguage.googleapis.com/v1beta/openai/"}
+KEY_VARIABLES = {"gpt": "OPENAI_API_KEY", "gemini": "GEMINI_API_KEY"}
+#: A request's temperature and its most tokens.
+TEMPERATURE, MAX_TOKENS = 0.0, 1_000
+
+
+def credential(name: str, required: bool = True) -> str | None:
+    """The key of a provider from the environment; without it, an error if it is ``required``."""
+    value = os.environ.get(KEY_VARIABLES[name])
+    if required and not value:
+        raise KeyError(KEY_VARIABLES[name])
+    return value
+
+
+@dataclass
+class ChatTranslator:
+    """A remote chat model: one user message, an answer in JSON mode."""
+
+    model: str
+    base_url: str = BASE_URLS["gpt"]
+    key: str | None = field(default=None, repr=False)
+    timeout: float = 120.0
+    temperature: float = TEMPERATURE
+    max_tokens: int = MAX_TOKENS
+
+    def body(self, prompt: str) -> dict:
+        return {
+            "model": self.model,
+            "messages": [{"role": "user", "content": prompt}],
+            "response_format": {"type": "json_object"},
+            "temperature": self.temperature,
+            "max_tokens": self.max_tokens,
+        }
+
+    def generate(self, prompt: str) -> str:
+        head = {"Content-Type": "application/json"}
+        if self.key:
+            head["Authorization"] = f"Bearer {self.key}"
+        url = self.base_url.rstrip("/") + "/chat/completions"
+        request = urllib.request.Request(url, json.dumps(self.body(prompt)).encode(), head)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return answer_text(json.load(answer))
+
+
+def answer_text(response: dict) -> str:
+    """The first choice's text of a chat completion; an answer without text is the empty string."""
+    choices = response.get("choices") or [{}]
+    return (choices[0].get("message") or {}).get("content") or ""
+
+
+def translator(model: str, base_url: str | None = None) -> Callable[[], Translator]:
+    """What makes the translator for a model's name: one provider needs a key, the other may
+    do without; ``base_url`` names another place that speaks the same protocol."""
+    name = provider_of(model)
+    key = credential(name, required=name == "gpt" and base_url is None)
+    return partial(ChatTranslator, model, base_url or BASE_URLS[name], key)
+
 
 def provider(model: Column) -> Column:
     """``gemini`` is looked for before ``gpt``; any other name is null."""
@@ -42,31 +132,116 @@ def provider_of(model: str) -> str:
     raise ValueError(f"unsupported model: {model}")
 
 
-def generate(rows: DataFrame, make: Callable[[], Translator], prompt: str = "prompt", workers: int = 8, retries: int = 2) -> DataFrame:
+def _with_answers(rows: DataFrame, work) -> DataFrame:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    return rows.mapInPandas(work, ", ".join([*fields, "response string", "error string"]))
+
+
+def _tried(call: Callable, retries: int, wait: float):
+    """``(result, None)``, or ``(None, error)`` when every try failed; waits grow between tries."""
+    for left in range(retries, -1, -1):
+        try:
+            return call(), None
+        except Exception as e:  # noqa: BLE001
+            if not left:
+                return None, repr(e)
+            time.sleep(wait * 2 ** (retries - left))
+
+
+def generate(
+    rows: DataFrame, make: Callable[[], Translator], prompt: str = "prompt", workers: int = 8, retries: int = 2, wait: float = 0.0
+) -> DataFrame:
     """``rows`` with ``response`` and ``error``.
 
     ``make`` runs once a task; calls run on ``workers`` threads, since they wait.
     A row whose calls all fail has an error instead of stopping the job.
     """
-    names = rows.columns
-
-    def call(model: Translator, text: str):
-        for left in range(retries, -1, -1):
-            try:
-                return model.generate(text), None
-            except Exception as e:  # noqa: BLE001
-                if not left:
-                    return None, repr(e)
 
     def work(frames):
         model = make()
         with ThreadPoolExecutor(workers) as pool:
             for f in frames:
-                got = list(pool.map(lambda t: call(model, t), f[prompt]))
+                got = list(pool.map(lambda t: _tried(lambda: model.generate(t), retries, wait), f[prompt]))
                 yield f.assign(response=pd.Series([g[0] for g in got], f.index, dtype=object), error=pd.Series([g[1] for g in got], f.index, dtype=object))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInPandas(work, ", ".join([*fields, "response string", "error string"])).select(*names, "response", "error")
+    return _with_answers(rows, work)
+
+
+def generate_batches(
+    rows: DataFrame, make: Callable[[Decoding], BatchTranslator], prompt: str = "prompt", decoding: Decoding = Decoding(), retries: int = 0
+) -> DataFrame:
+    """As ``generate``, for local models that answer ``decoding.batch_size`` prompts at a time.
+
+    ``make`` gets the decoding options once a task.  Answers keep the order of the
+    prompts; a batch that fails has the same error in all its rows, and an answer too few
+    or too many is an error.
+    """
+
+    def work(frames):
+        model = make(decoding)
+
+        def answers(prompts: list[str]) -> list[str]:
+            out = model.generate_many(prompts)
+            if len(out) != len(prompts):
+                raise ValueError(f"{len(out)} answers to {len(prompts)} prompts")
+            return out
+
+        for f in frames:
+            asked, got = f[prompt].tolist(), []
+            for at in range(0, len(asked), decoding.batch_size):
+                part = asked[at : at + decoding.batch_size]
+                out, error = _tried(lambda: answers(part), retries, 0.0)
+                got += [(None, error)] * len(part) if out is None else [(x, None) for x in out]
+            yield f.assign(response=pd.Series([g[0] for g in got], f.index, dtype=object), error=pd.Series([g[1] for g in got], f.index, dtype=object))
+
+    return _with_answers(rows, work)
+
+
+def encode(rows: DataFrame, make: Callable[[], Encoder], text: str = "text_source", vector: str = "embedding", batch_size: int = 64) -> DataFrame:
+    """``rows`` with the vector of each text; a null text has a null vector.
+
+    ``make`` runs once a task, and the encoder gets ``batch_size`` texts at a time.
+    """
+
+    def work(series):
+        model = make()
+        for texts in series:
+            out: list = [None] * len(texts)
+            real = [i for i, t in enumerate(texts) if t is not None]
+            values = texts.tolist()
+            for at in range(0, len(real), batch_size):
+                here = real[at : at + batch_size]
+                for i, v in zip(here, model.encode([values[i] for i in here])):
+                    out[i] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
+
+    from collections.abc import Iterator
+
+    def typed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return work(series)
+
+    typed.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return rows.withColumn(vector, F.pandas_udf(typed, "array<double>")(F.col(text)))
+
+
+class HashEncoder:
+    """Offline stand-in for an encoder: words hashed to ``size`` components, scaled to length one."""
+
+    def __init__(self, size: int = 64):
+        self.size = size
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        import zlib
+
+        out = []
+        for text in texts:
+            row = [0.0] * self.size
+            for word in text.lower().split():
+                code = zlib.crc32(word.encode())
+                row[code % self.size] += 1.0 if code >> 16 & 1 else -1.0
+            norm = sum(x * x for x in row) ** 0.5
+            out.append([x / norm for x in row] if norm else row)
+        return out
 
 
 def missing_tokens(wanted: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:

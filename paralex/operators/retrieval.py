@@ -1,13 +1,16 @@
 """Top-k retrieval: TF-IDF cosine, BM25 and dense vectors.
 
-Lexical scores come from postings restricted to the queries' terms; a document
-that shares no term has score 0 and still competes, so those are added where they
-can reach the first k.  Ranks use scores rounded to six digits, then the larger
-document key.
+Lexical scores are summed where a document is: texts are dealt by key once, their terms
+meet those of a block of queries that is broadcast up to a checked size, and a task keeps
+k documents a query.  No table of (query, document) scores is written or shuffled.  A
+document that shares no term has score 0 and still competes.  Ranks use scores rounded to
+six digits, then the larger document key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,29 +22,55 @@ from paralex.session import written
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+#: Most rows of a table of terms that is broadcast: (query, term) rows of one block of
+#: queries, and (term, idf) rows, beyond which terms are joined through a shuffle.
+BLOCK_TERMS, BROADCAST_TERMS = 500_000, 1_000_000
+#: Documents of largest key that are offered to a query beside the k it needs.
+SPARE = 100
+
+
+def counted(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """``key, dl`` and an array ``_t`` of tokens, dealt by ``key``: what is grouped by key
+    and more after this isn't shuffled again."""
+    return texts.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t").cast("long")).repartition(key)
 
 
 def postings(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``key, term, tf, dl`` of each document and term (``dl``: its tokens)."""
-    listed = texts.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t").cast("long"))
+    """``key, term, tf, dl`` of each document and term (``dl``: its tokens), dealt by ``key``."""
+    listed = counted(texts, key, tokens)
     return listed.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+def frequencies(texts: DataFrame, tokens: Column) -> DataFrame:
+    """``term, df``: documents that hold each term; counts are summed up before they move."""
+    return texts.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 # --- TF-IDF
 
 
-def tfidf_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+def tfidf_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
     """``term, df, idf`` with smoothed counts."""
-    return frequencies(posts).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+    return frequencies(texts, tokens).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+
+
+def with_idf(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """``posts`` with the other columns of ``idf`` (a written table, one row a term).
+
+    A vocabulary of checked size is broadcast, so that postings stay dealt by key; a
+    larger one meets them by term, and they are dealt by key again.
+    """
+    if idf.count() <= BROADCAST_TERMS:
+        return posts.join(F.broadcast(idf), "term")
+    return posts.join(idf, "term").repartition(key)
 
 
 def tfidf_weights(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``key, term, weight``; the weights of a document have norm one."""
-    raw = posts.join(idf.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    """``key, term, weight``; the weights of a document have norm one.
+
+    ``posts`` are dealt by ``key``, so the norm is found where they are.
+    """
+    raw = with_idf(posts, idf.select("term", "idf"), key).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
@@ -49,17 +78,17 @@ def tfidf_weights(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 # --- BM25
 
 
-def bm25_raw_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+def bm25_raw_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
     df = F.col("df").cast("double")
-    return frequencies(posts).withColumn("raw", F.log(n_docs - df + 0.5) - F.log(df + 0.5))
+    return frequencies(texts, tokens).withColumn("raw", F.log(n_docs - df + 0.5) - F.log(df + 0.5))
 
 
-def bm25_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+def bm25_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
     """``term, df, idf``; negative ones become a share of the mean over all terms."""
-    raw = written(bm25_raw_idf(posts, n_docs))  # read for the mean and for the terms
-    mean = raw.agg(F.avg("raw").alias("_mean"))  # one row
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("raw"))
-    return raw.join(mean, F.lit(True)).select("term", "df", idf.alias("idf"))
+    raw = written(bm25_raw_idf(texts, tokens, n_docs))  # read for the mean and for the terms
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
+    return raw.select("term", "df", idf.alias("idf"))
 
 
 def corpus_size(texts: DataFrame, tokens: Column) -> tuple[int, int]:
@@ -68,12 +97,11 @@ def corpus_size(texts: DataFrame, tokens: Column) -> tuple[int, int]:
     return row["n"], row["t"] or 0
 
 
-def bm25_stats(texts: DataFrame, key: str, tokens: Column | None = None) -> DataFrame:
+def bm25_stats(texts: DataFrame, tokens: Column | None = None) -> DataFrame:
     """One row: ``n_docs, n_tokens, avgdl, vocabulary, avg_idf``."""
     tokens = tokens_ws(F.col("text")) if tokens is None else tokens
     n, total = corpus_size(texts, tokens)
-    raw = bm25_raw_idf(postings(texts, key, tokens), n)
-    return raw.agg(
+    return bm25_raw_idf(texts, tokens, n).agg(
         F.lit(n).cast("long").alias("n_docs"),
         F.lit(total).cast("long").alias("n_tokens"),
         F.lit(total / max(n, 1)).alias("avgdl"),
@@ -85,36 +113,71 @@ def bm25_stats(texts: DataFrame, key: str, tokens: Column | None = None) -> Data
 # --- ranking
 
 
-def _top(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+def first_k(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The first k of each query; a task sends on no more than k rows a query."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(key))
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(query, "rank", key, "score")
 
 
-def _with_unmatched(scored: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """``scored`` and, for queries with fewer than k positive scores, documents that
-    match nothing.
+def _scores(listed: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
+    """``query, key, score`` of ``listed`` (``key, _terms``: an array of (term, impact), one
+    row a document, dealt by key) and ``asked`` (``query, term, times``, to be broadcast)."""
+    posts = listed.select(key, F.explode("_terms").alias("_p")).select(key, F.col("_p.term").alias("term"), F.col("_p.impact").alias("impact"))
+    parts = posts.join(F.broadcast(asked), "term").select(key, query, (F.col("impact") * F.col("times")).alias("_part"))
+    return parts.groupBy(key, query).agg(F.round(F.sum("_part"), DIGITS).alias("score"))
 
-    A query with m matches needs at most the k + m documents of largest key, so
-    only those of the corpus are paired, with the queries in need alone.
-    """
-    positive = F.count(F.when(F.col("score") > 0, 1))
-    hits = scored.groupBy(query).agg(positive.alias("p"), F.count("*").alias("m"))
-    needy = queries.select(query).join(hits, query, "left").fillna(0, ["p", "m"]).filter(F.col("p") < k)
-    needy = written(needy.select(query, "m"))
-    most = needy.agg(F.max("m")).first()[0]
-    if most is None:
-        return scored
-    last = corpus.select(key).orderBy(F.desc(key)).limit(k + most)
-    pairs = needy.select(query).join(last, F.lit(True)).join(scored.select(query, key), [query, key], "left_anti")
-    return scored.unionByName(pairs.withColumn("score", F.lit(0.0)))
 
+def top_k_lexical(listed: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """``query, rank, key, score`` of ``listed`` and ``asked`` as in ``_scores``.
 
-def top_k_lexical(parts: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """Rank from ``parts``: rows (query, key, part of a score)."""
-    summed = parts.groupBy(query, key).agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    scored = written(summed)
-    return _top(_with_unmatched(scored, queries, corpus, query, key, k), query, key, k)
+    Queries are taken in blocks, by hash, whose terms are few enough to broadcast.
+    """
+    asked = written(asked)
+    blocks = max(1, -(-asked.count() // BLOCK_TERMS))
+    parts = []
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64(query), F.lit(blocks)) == b
+        parts.append(first_k(_scores(listed, asked.filter(mine), query, key), query, key, k))
+    found = written(reduce(DataFrame.unionByName, parts))
+    return _with_unmatched(found, listed, asked, queries, corpus, query, key, k)
+
+
+def _with_unmatched(found: DataFrame, listed: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """``found`` (the first k that match) with documents that match nothing, of score 0, where
+    a query has fewer than k positive scores.
+
+    Of these only the ones of largest key count.  Nearly always they are among the
+    k + SPARE largest keys of the corpus, whose matches alone are looked up.  A query that
+    matches more of those (its scores must be negative or vanish for that) is scored once
+    more, with a term of no weight that every document holds.
+    """
+    hits = found.groupBy(query).agg(F.count(F.when(F.col("score") > 0, 1)).alias("_p"))
+    needy = queries.select(query).distinct().join(hits, query, "left").filter(F.coalesce("_p", F.lit(0)) < k).select(query)
+    needy = written(needy)
+    if needy.isEmpty():
+        return found
+    last = written(corpus.select(key).orderBy(F.desc(key)).limit(k + SPARE))
+    everything = last.count() < k + SPARE
+    near = listed.join(F.broadcast(last), key, "left_semi")
+    matched = _scores(near, asked.join(needy, query, "left_semi"), query, key).select(query, key)
+    offered = needy.join(F.broadcast(last), F.lit(True)).join(matched, [query, key], "left_anti")
+    offered = written(first_k(offered.withColumn("score", F.lit(0.0)), query, key, k))
+    plain = first_k(found.unionByName(offered).select(query, key, "score"), query, key, k)
+    if everything:
+        return plain
+    enough = offered.groupBy(query).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
+    short = written(needy.join(enough, query, "left_anti"))
+    if short.isEmpty():
+        return plain
+    mark = "\0"
+    every = listed.withColumn("_terms", F.concat("_terms", F.array(F.struct(F.lit(mark).alias("term"), F.lit(0.0).alias("impact")))))
+    whole = asked.join(short, query, "left_semi").unionByName(short.select(query, F.lit(mark).alias("term"), F.lit(0.0).alias("times")))
+    whole = written(whole)
+    blocks = max(1, -(-whole.count() // BLOCK_TERMS))
+    mine = [F.pmod(F.xxhash64(query), F.lit(blocks)) == b for b in range(blocks)]
+    again = reduce(DataFrame.unionByName, (first_k(_scores(every, whole.filter(m), query, key), query, key, k) for m in mine))
+    return plain.join(short, query, "left_anti").unionByName(again)
 
 
 def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> DataFrame:
@@ -123,55 +186,90 @@ def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> Dat
     )
 
 
+def _listed(posts: DataFrame, key: str) -> Column:
+    return F.collect_list(F.struct("term", F.col("impact").cast("double").alias("impact"))).alias("_terms")
+
+
 def top_k_bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
     """``query, rank, key, score``: min(k, n) documents of each query; k of 0 gives none."""
     if k <= 0:
         return _nothing(queries, corpus, query, key)
     tokens = tokens_ws(F.col(text))
-    posts = written(postings(corpus, key, tokens))
     n, total = corpus_size(corpus, tokens)
-    asked = queries.select(query, F.explode(tokens_ws(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
+    asked = queries.select(query, F.explode(tokens_ws(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
     terms = asked.select("term").distinct()
-    idf = bm25_idf(posts, n).join(terms, "term", "left_semi")
-    weighed = posts.join(idf, "term")
+    idf = written(bm25_idf(corpus, tokens, n).join(terms, "term", "left_semi").select("term", "idf"))
     tf, dl = F.col("tf").cast("double"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(total / max(n, 1))))
-    impact = weighed.select(key, "term", part.alias("impact"))
-    parts = impact.join(asked, "term").select(query, key, (F.col("times") * F.col("impact")).alias("part"))
-    return top_k_lexical(parts, queries, corpus, query, key, k)
+    impact = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(total / max(n, 1))))
+    posts = with_idf(postings(corpus, key, tokens), idf, key).withColumn("impact", impact)
+    # A document without any of the terms has a row too: it competes with score 0.
+    listed = posts.groupBy(key).agg(_listed(posts, key))
+    listed = written(corpus.select(key).join(listed, key, "left").withColumn("_terms", F.coalesce("_terms", F.array().cast("array<struct<term:string,impact:double>>"))))
+    return top_k_lexical(listed.repartition(key), asked, queries, corpus, query, key, k)
 
 
 def top_k_tfidf(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
     """As ``top_k_bm25``, by cosine of TF-IDF weights; unknown query terms vanish first."""
     if k <= 0:
         return _nothing(queries, corpus, query, key)
-    posts = written(postings(corpus, key, tokens_words(F.col(text))))
+    tokens, asking = tokens_words(F.col(text)), tokens_words(F.col(query_text))
     n = corpus.count()
-    idf = written(tfidf_idf(posts, n))
-    weights = tfidf_weights(posts, idf, key)
-    asked = postings(queries, query, tokens_words(F.col(query_text)))
-    wanted = tfidf_weights(asked, idf, query).withColumnRenamed("weight", "_q")
-    parts = weights.join(wanted, "term").select(query, key, (F.col("weight") * F.col("_q")).alias("part"))
-    return top_k_lexical(parts, queries, corpus, query, key, k)
-
-
-#: Rows of one block of queries and of one block of the corpus.
-QUERY_BLOCK, CORPUS_BLOCK = 2_048, 65_536
+    idf = written(tfidf_idf(corpus, tokens, n).select("term", "idf"))
+    asked = written(tfidf_weights(postings(queries, query, asking), idf, query).withColumnRenamed("weight", "times"))
+    marked = written(idf.join(asked.select("term").distinct().withColumn("_asked", F.lit(True)), "term", "left"))
+    posts = with_idf(postings(corpus, key, tokens), marked, key).withColumn("_w", F.col("tf") * F.col("idf"))
+    held = F.collect_list(F.when(F.col("_asked"), F.struct("term", F.col("_w").alias("impact"))))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
+    listed = posts.groupBy(key).agg(held.alias("_h"), norm.alias("_n"))
+    scaled = F.transform("_h", lambda x: F.struct(x["term"].alias("term"), (x["impact"] / F.col("_n")).alias("impact")))
+    listed = corpus.select(key).join(listed, key, "left").select(key, F.coalesce(scaled, F.array().cast("array<struct<term:string,impact:double>>")).alias("_terms"))
+    return top_k_lexical(written(listed).repartition(key), asked, queries, corpus, query, key, k)
+
+
+#: Rows of one block of queries, bytes of one block of the corpus, and cells of the
+#: matrix of products that a task holds at a time.
+QUERY_BLOCK, CORPUS_BYTES, CELLS = 1_024, 16 << 20, 1 << 20
+
+
+def _k_best(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and rows of ``c`` (in descending order of key) of the k best of each of ``q``."""
+    scores, rows = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+    step = max(1, CELLS // max(1, len(q)))
+    for at in range(0, len(c), step):
+        part = np.round(q @ c[at : at + step].T, DIGITS)
+        scores = np.concatenate([scores, part], axis=1)
+        rows = np.concatenate([rows, np.broadcast_to(np.arange(at, at + part.shape[1]), part.shape)], axis=1)
+        if scores.shape[1] > k:
+            # All above the k-th score, then equal ones by larger key, that is by smaller row.
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+            spare = k - (scores > least).sum(axis=1, keepdims=True)
+            equal = scores == least
+            keep = (scores > least) | equal & (np.cumsum(equal, axis=1) <= spare)
+            scores, rows = scores[keep].reshape(len(q), k), rows[keep].reshape(len(q), k)
+    return scores, rows
 
 
 def top_k_dense(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", vector: str = "embedding") -> DataFrame:
     """As ``top_k_bm25``, by plain dot product of vectors.
 
-    Queries and corpus are dealt in blocks; a task multiplies two blocks and
-    returns k rows a query, so neither side is broadcast or gathered whole.
+    Queries and corpus are dealt in blocks; a task multiplies two blocks, part by part,
+    and returns k rows a query, so neither side is broadcast or gathered whole.
+
+    Vectors that are null, empty or hold a null take no part, and neither does a query
+    with a vector of another length than a document's.
     """
     if k <= 0:
         return _nothing(queries, corpus, query, key)
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    c_blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    sound = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
+    queries, corpus = queries.filter(sound), corpus.filter(sound)
+    n_queries = queries.count()
+    n, dim = corpus.agg(F.count("*"), F.max(F.size(vector))).first()
+    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    c_blocks = max(1, -(-n * 8 * (dim or 1) // CORPUS_BYTES))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: int, mine: str, theirs: str) -> DataFrame:
-        part = df.select(F.col(own).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).withColumn(mine, F.pmod(F.xxhash64("_key"), F.lit(blocks)))
+        part = df.select(F.col(own).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_dim", F.size("_v"))
+        part = part.withColumn(mine, F.pmod(F.xxhash64("_key"), F.lit(blocks)))
         return part.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>")))
 
     left = dealt(queries, query, q_blocks, c_blocks, "_qb", "_cb")
@@ -180,17 +278,14 @@ def top_k_dense(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "d
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"_query": [], "_doc": [], "score": []})
-        # ascending by key and reversed at the end: larger keys first among equals
-        c = c.sort_values("_key")
-        scores = np.round(np.stack(q["_v"].to_numpy()) @ np.stack(c["_v"].to_numpy()).T, DIGITS)[:, ::-1]
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        docs = c["_key"].to_numpy()[::-1]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        return pd.DataFrame({"_query": q["_key"].to_numpy()[rows], "_doc": docs[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+        c = c.sort_values("_key", ascending=False)
+        scores, found = _k_best(np.stack(q["_v"].to_numpy()), np.stack(c["_v"].to_numpy()), k)
+        rows = np.repeat(np.arange(len(q)), found.shape[1])
+        return pd.DataFrame({"_query": q["_key"].to_numpy()[rows], "_doc": c["_key"].to_numpy()[found.ravel()], "score": scores.ravel()})
 
     kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
-    found = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(best, f"_query {kinds[0]}, _doc {kinds[1]}, score double")
-    return _top(found.withColumnRenamed("_query", query).withColumnRenamed("_doc", key), query, key, k)
+    found = left.groupBy("_dim", "_qb", "_cb").cogroup(right.groupBy("_dim", "_qb", "_cb")).applyInPandas(best, f"_query {kinds[0]}, _doc {kinds[1]}, score double")
+    return first_k(found.withColumnRenamed("_query", query).withColumnRenamed("_doc", key), query, key, k)
 
 
 def examples_of(ranked: DataFrame, corpus: DataFrame, query: str, key: str, source: str = "text_source", target: str = "text_target") -> DataFrame:

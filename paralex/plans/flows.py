@@ -22,13 +22,18 @@ class FewShotOptions:
     vectorizer: str = "bm25"
     num_few_shot: int = 5
     num_workers: int = 8
+    #: Makes the encoder of the dense retriever, once a task; without one, both sides need a column ``embedding``.
+    encoder: Callable[[], models.Encoder] | None = None
+    retries: int = 2
 
 
 def few_shot_prompts(train: DataFrame, test: DataFrame, options: FewShotOptions = FewShotOptions(), key: str = "verse_id") -> DataFrame:
     """``test`` with ``prompt``: each row's nearest training pairs as examples.
 
-    ``vectorizer`` "dense" needs a column ``embedding`` on both sides.
+    ``vectorizer`` "dense" encodes the source texts of both sides, once each.
     """
+    if options.vectorizer == "dense" and options.encoder:
+        train, test = (written(models.encode(rows, options.encoder)) for rows in (train, test))
     corpus = train.withColumnRenamed(key, "_doc")
     if options.vectorizer == "dense":
         ranked = retrieval.top_k_dense(corpus, test, options.num_few_shot, "_doc", key)
@@ -49,15 +54,31 @@ def few_shot(
     Answers are written before they are scored, so no call is made twice.
     """
     asked = few_shot_prompts(train, test, options, key)
-    answered = written(models.generate(asked, make, workers=options.num_workers))
+    answered = written(models.generate(asked, make, workers=options.num_workers, retries=options.retries))
     rows = answered.select(key, "text_source", "text_target", responses.json_field(F.col("response")).alias("prediction"))
     return rows, metrics.evaluate(rows, target="text_target")
 
 
+def answered(rows: DataFrame, make: Callable[[models.Decoding], models.BatchTranslator], decoding: models.Decoding, src: str, tgt: str, chat: bool) -> DataFrame:
+    """``rows`` with ``prediction`` of a local model, asked in batches.
+
+    A chat model is asked with the rendered question and answers after its thoughts; any
+    other gets the source text alone.  An answer that failed is the empty string.
+    """
+    asked = chat_texts(rows, src, tgt, training=False) if chat else rows.withColumn("text", F.col("text_source"))
+    done = written(models.generate_batches(asked, make, "text", decoding))
+    answer = responses.after_thinking(F.col("response")) if chat else F.col("response")
+    return done.withColumn("prediction", F.coalesce(answer, F.lit(""))).select(*rows.columns, "prediction")
+
+
+def chosen(rows: DataFrame, split: str, book: str | None = None) -> DataFrame:
+    """A split, or a book of it."""
+    return books.of_book(splits.select_split(rows, split), book)
+
+
 def evaluate_corpus(rows: DataFrame, split: str = "test", book: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records (``verse_id, prediction, target``) of a split, or a book of it, and their metrics."""
-    chosen = books.of_book(splits.select_split(rows, split), book)
-    records = chosen.select("verse_id", "prediction", F.col("text_target").alias("target"))
+    records = chosen(rows, split, book).select("verse_id", "prediction", F.col("text_target").alias("target"))
     return records, metrics.evaluate(records)
 
 

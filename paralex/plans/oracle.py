@@ -195,7 +195,7 @@ k AS (SELECT step, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS wai
     "topk_dense": """SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS rank FROM (
 SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)) WHERE rank <= 5""",
+FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)) WHERE rank <= 5""",
     "dot_product": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "fewshot_prompts": with_(FEW, f"SELECT verse_id, {text(INTRO)} || coalesce({text(EXAMPLES)} || e, '') || {QUESTION} AS prompt FROM te LEFT JOIN ex ON ex.q = te.verse_id"),
     "zero_shot_prompts": with_(P, f"SELECT verse_id, {text(INTRO)} || {QUESTION} AS prompt FROM p"),
@@ -217,7 +217,7 @@ FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0))
     "char_ngrams": with_(P, gram_counts(6, f"SELECT regexp_replace(text_target, {text(SPACE)}, '', 'g') AS t FROM p", "substring(t, i, n)", "length(t)")),
     "mask_sentinel": with_(P, f"SELECT verse_id, array_to_string(list_transform({ID_LIST}, lambda x: CASE WHEN x = -100 THEN 1 ELSE x END), ',') AS ids FROM p"),
     "truncate_pad": with_(P, f"SELECT verse_id, array_to_string(list_resize({ID_LIST}, 24, 1), ',') AS ids FROM p"),
-    "decode_tokens": with_(P, f"SELECT verse_id, array_to_string({tokens('text_source')}, ' ') AS text FROM p WHERE len({tokens('text_source')}) > 0"),
+    "decode_tokens": with_(P, f"SELECT verse_id, array_to_string({tokens('text_source')}, ' ') AS text FROM p"),
     "corpus_bleu": with_(f"{H}, {metric(H_ROWS)}", "SELECT bleu FROM bleu"),
     "corpus_chrf": with_(f"{H}, {metric(H_ROWS)}", "SELECT chrf FROM chrf"),
     "eval_report": with_(f"{H}, {metric(H_ROWS)}", "SELECT verse_id, prediction, text_target AS target, bleu, chrf FROM h, bleu, chrf"),

@@ -155,32 +155,28 @@ def split_counts(spark, sf_dir):
 # --- statistics
 
 
-def _postings(spark, sf_dir, tokens):
-    return retrieval.postings(docs(spark, sf_dir), "doc_id", tokens(F.col("text")))
-
-
 @query
 def tfidf_idf(spark, sf_dir):
-    n = docs(spark, sf_dir).count()
-    return retrieval.tfidf_idf(_postings(spark, sf_dir, text.tokens_words), n).select("term", "df", r6("idf"))
+    rows = docs(spark, sf_dir)
+    return retrieval.tfidf_idf(rows, text.tokens_words(F.col("text")), rows.count()).select("term", "df", r6("idf"))
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    posts = written(_postings(spark, sf_dir, text.tokens_words))
-    idf = retrieval.tfidf_idf(posts, docs(spark, sf_dir).count())
-    return retrieval.tfidf_weights(posts, idf, "doc_id").select("doc_id", "term", r6("weight"))
+    rows, tokens = docs(spark, sf_dir), text.tokens_words(F.col("text"))
+    idf = written(retrieval.tfidf_idf(rows, tokens, rows.count()))
+    return retrieval.tfidf_weights(retrieval.postings(rows, "doc_id", tokens), idf, "doc_id").select("doc_id", "term", r6("weight"))
 
 
 @query
 def bm25_idf(spark, sf_dir):
-    posts = written(_postings(spark, sf_dir, text.tokens_ws))
-    return retrieval.bm25_idf(posts, docs(spark, sf_dir).count()).select("term", "df", r6("idf"))
+    rows = docs(spark, sf_dir)
+    return retrieval.bm25_idf(rows, text.tokens_ws(F.col("text")), rows.count()).select("term", "df", r6("idf"))
 
 
 @query
 def bm25_corpus_stats(spark, sf_dir):
-    return retrieval.bm25_stats(docs(spark, sf_dir), "doc_id").select("n_docs", "n_tokens", r6("avgdl"), "vocabulary", r6("avg_idf"))
+    return retrieval.bm25_stats(docs(spark, sf_dir)).select("n_docs", "n_tokens", r6("avgdl"), "vocabulary", r6("avg_idf"))
 
 
 @query
@@ -228,7 +224,9 @@ def topk_bm25(spark, sf_dir):
 @query
 def topk_dense(spark, sf_dir):
     corpus, queries = adapters.vectors(spark, sf_dir)
-    return retrieval.top_k_dense(corpus, queries, 5, "vec_id", "query_id")
+    # A query's own row is a candidate like all others; one more is found and it is left out.
+    found = retrieval.top_k_dense(corpus, queries, 6, "vec_id", "query_id").filter("vec_id <> query_id")
+    return retrieval.first_k(found, "query_id", "vec_id", 5)
 
 
 @query

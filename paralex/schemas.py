@@ -1,14 +1,5 @@
-"""Schemas of the corpora and of what the flows return."""
+"""Schemas of the corpora."""
 
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-_TEXTS = ArrayType(StringType())
-
-MULTI_TRANSLATION = StructType([
-    StructField("translation", StructType([StructField("language", _TEXTS), StructField("translation", _TEXTS)])),
-    StructField("ref", _TEXTS),
-])
 TAGGED_VERSE = StructType([StructField(n, StringType()) for n in ("verse_id", "text_source", "text_target")])
-PREDICTIONS = StructType([StructField(n, StringType()) for n in ("text_source", "text_target", "prediction")])
-METRICS = StructType([StructField("bleu", DoubleType()), StructField("chrf", DoubleType())])
-EXAMPLE = StructType([StructField("source", StringType()), StructField("target", StringType())])

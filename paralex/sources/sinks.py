@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,34 @@ def write_report(metrics: DataFrame, results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(f"{path}/results")
 
 
+#: Most records of a report in one file.
+SMALL_REPORT = 10_000
+
+
+def write_json(metrics: DataFrame, results: DataFrame | None, path: str, prefix: str = "") -> bool:
+    """One indented JSON file ``path`` of metrics, next to records where ``results`` are given.
+
+    Names of metrics get ``prefix``.  It is for reports of up to SMALL_REPORT records: with
+    more nothing is written and the result is False.
+    """
+    spark = metrics.sparkSession
+    values = {prefix + k: v for k, v in metrics.first().asDict().items()}
+    report: dict = values
+    if results is not None:
+        records = results.limit(SMALL_REPORT + 1).collect()
+        if len(records) > SMALL_REPORT:
+            return False
+        report = {"eval_metrics": values, "results": [r.asDict(recursive=True) for r in records]}
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sink = system.create(place, True)  # makes the folders on the way
+    try:
+        sink.write(bytearray(json.dumps(report, indent=2, ensure_ascii=False).encode()))
+    finally:
+        sink.close()
+    return True
+
+
 def output_name(model: str, dataset: str | None = None, src: str | None = None, tgt: str | None = None) -> str:
     """Last part of the model's name, then the data set and languages where given."""
     parts = [model.split("/")[-1], dataset.split("/")[-1] if dataset else None, src, tgt]
