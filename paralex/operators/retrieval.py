@@ -46,12 +46,29 @@ def frequencies(texts: DataFrame, tokens: Column) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def frequencies_and_size(texts: DataFrame, tokens: Column) -> tuple[DataFrame, int, int]:
+    """``term, df`` (written), and the numbers of documents and of tokens, from one pass.
+
+    The null term stands for the documents themselves, and none of theirs is null.
+    """
+    listed = texts.select(tokens.alias("_t")).select(F.size("_t").alias("_n"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    own = F.sum(F.when(F.col("term").isNull(), F.col("_n").cast("long")))
+    every = written(listed.groupBy("term").agg(F.count("*").alias("df"), own.alias("tokens")))
+    row = every.filter("term is null").first()
+    n, total = (row["df"], row["tokens"] or 0) if row else (0, 0)
+    return every.filter("term is not null").select("term", "df"), n, total
+
+
 # --- TF-IDF
 
 
 def tfidf_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
     """``term, df, idf`` with smoothed counts."""
-    return frequencies(texts, tokens).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+    return with_smooth_idf(frequencies(texts, tokens), n_docs)
+
+
+def with_smooth_idf(found: DataFrame, n_docs: int) -> DataFrame:
+    return found.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
 def with_idf(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -78,30 +95,28 @@ def tfidf_weights(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 # --- BM25
 
 
-def bm25_raw_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
+def bm25_raw(found: DataFrame, n_docs: int) -> DataFrame:
+    """``term, df, raw`` of ``term, df``."""
     df = F.col("df").cast("double")
-    return frequencies(texts, tokens).withColumn("raw", F.log(n_docs - df + 0.5) - F.log(df + 0.5))
+    return found.withColumn("raw", F.log(n_docs - df + 0.5) - F.log(df + 0.5))
 
 
-def bm25_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
-    """``term, df, idf``; negative ones become a share of the mean over all terms."""
-    raw = written(bm25_raw_idf(texts, tokens, n_docs))  # read for the mean and for the terms
+def _floored(raw: DataFrame) -> DataFrame:
+    """``term, df, idf`` of a written table; negative ones become a share of the mean over all terms."""
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
     return raw.select("term", "df", idf.alias("idf"))
 
 
-def corpus_size(texts: DataFrame, tokens: Column) -> tuple[int, int]:
-    """Documents and tokens."""
-    row = texts.agg(F.count("*").alias("n"), F.sum(F.size(tokens).cast("long")).alias("t")).first()
-    return row["n"], row["t"] or 0
+def bm25_idf(texts: DataFrame, tokens: Column, n_docs: int) -> DataFrame:
+    """``term, df, idf``; negative ones become a share of the mean over all terms."""
+    return _floored(bm25_raw(written(frequencies(texts, tokens)), n_docs))
 
 
 def bm25_stats(texts: DataFrame, tokens: Column | None = None) -> DataFrame:
     """One row: ``n_docs, n_tokens, avgdl, vocabulary, avg_idf``."""
-    tokens = tokens_ws(F.col("text")) if tokens is None else tokens
-    n, total = corpus_size(texts, tokens)
-    return bm25_raw_idf(texts, tokens, n).agg(
+    found, n, total = frequencies_and_size(texts, tokens_ws(F.col("text")) if tokens is None else tokens)
+    return bm25_raw(found, n).agg(
         F.lit(n).cast("long").alias("n_docs"),
         F.lit(total).cast("long").alias("n_tokens"),
         F.lit(total / max(n, 1)).alias("avgdl"),
@@ -120,64 +135,59 @@ def first_k(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return ranked.select(query, "rank", key, "score")
 
 
-def _scores(listed: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
-    """``query, key, score`` of ``listed`` (``key, _terms``: an array of (term, impact), one
-    row a document, dealt by key) and ``asked`` (``query, term, times``, to be broadcast)."""
-    posts = listed.select(key, F.explode("_terms").alias("_p")).select(key, F.col("_p.term").alias("term"), F.col("_p.impact").alias("impact"))
+def _scores(posts: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
+    """``query, key, score`` of ``posts`` (``key, term, impact``, dealt by key) and ``asked``
+    (``query, term, times``, to be broadcast)."""
     parts = posts.join(F.broadcast(asked), "term").select(key, query, (F.col("impact") * F.col("times")).alias("_part"))
     return parts.groupBy(key, query).agg(F.round(F.sum("_part"), DIGITS).alias("score"))
 
 
-def top_k_lexical(listed: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """``query, rank, key, score`` of ``listed`` and ``asked`` as in ``_scores``.
-
-    Queries are taken in blocks, by hash, whose terms are few enough to broadcast.
-    """
-    asked = written(asked)
+def _best(posts: DataFrame, asked: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The first k that match, for ``asked`` (a written table) taken in blocks of queries, by
+    hash, whose terms are few enough to broadcast."""
     blocks = max(1, -(-asked.count() // BLOCK_TERMS))
-    parts = []
-    for b in range(blocks):
-        mine = F.pmod(F.xxhash64(query), F.lit(blocks)) == b
-        parts.append(first_k(_scores(listed, asked.filter(mine), query, key), query, key, k))
-    found = written(reduce(DataFrame.unionByName, parts))
-    return _with_unmatched(found, listed, asked, queries, corpus, query, key, k)
-
-
-def _with_unmatched(found: DataFrame, listed: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """``found`` (the first k that match) with documents that match nothing, of score 0, where
-    a query has fewer than k positive scores.
-
-    Of these only the ones of largest key count.  Nearly always they are among the
-    k + SPARE largest keys of the corpus, whose matches alone are looked up.  A query that
-    matches more of those (its scores must be negative or vanish for that) is scored once
-    more, with a term of no weight that every document holds.
+    if blocks > 1:
+        posts = written(posts).repartition(key)
+    mine = [F.pmod(F.xxhash64(query), F.lit(blocks)) == b if blocks > 1 else F.lit(True) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, (first_k(_scores(posts, asked.filter(m), query, key), query, key, k) for m in mine))
+
+
+def top_k_lexical(posts: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """``query, rank, key, score`` of ``posts`` and ``asked`` (a written table) as in ``_scores``.
+
+    Documents that match nothing have score 0 and compete where a query has fewer than k
+    positive scores.  Of these only the ones of largest key count.  Nearly always they are
+    among the k + SPARE largest keys of the corpus, whose matches alone are looked up.  A
+    query that matches more of those (its scores must be negative or vanish for that) is
+    scored once more, with a term of no weight that every document holds.
     """
+    found = written(_best(posts, asked, query, key, k))
     hits = found.groupBy(query).agg(F.count(F.when(F.col("score") > 0, 1)).alias("_p"))
     needy = queries.select(query).distinct().join(hits, query, "left").filter(F.coalesce("_p", F.lit(0)) < k).select(query)
     needy = written(needy)
     if needy.isEmpty():
         return found
     last = written(corpus.select(key).orderBy(F.desc(key)).limit(k + SPARE))
-    everything = last.count() < k + SPARE
-    near = listed.join(F.broadcast(last), key, "left_semi")
-    matched = _scores(near, asked.join(needy, query, "left_semi"), query, key).select(query, key)
+    near = posts.join(F.broadcast(last), key, "left_semi")
+    matched = _best_pairs(near, written(asked.join(needy, query, "left_semi")), query, key)
     offered = needy.join(F.broadcast(last), F.lit(True)).join(matched, [query, key], "left_anti")
     offered = written(first_k(offered.withColumn("score", F.lit(0.0)), query, key, k))
     plain = first_k(found.unionByName(offered).select(query, key, "score"), query, key, k)
-    if everything:
+    if last.count() < k + SPARE:
         return plain
     enough = offered.groupBy(query).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
     short = written(needy.join(enough, query, "left_anti"))
     if short.isEmpty():
         return plain
-    mark = "\0"
-    every = listed.withColumn("_terms", F.concat("_terms", F.array(F.struct(F.lit(mark).alias("term"), F.lit(0.0).alias("impact")))))
-    whole = asked.join(short, query, "left_semi").unionByName(short.select(query, F.lit(mark).alias("term"), F.lit(0.0).alias("times")))
-    whole = written(whole)
-    blocks = max(1, -(-whole.count() // BLOCK_TERMS))
-    mine = [F.pmod(F.xxhash64(query), F.lit(blocks)) == b for b in range(blocks)]
-    again = reduce(DataFrame.unionByName, (first_k(_scores(every, whole.filter(m), query, key), query, key, k) for m in mine))
-    return plain.join(short, query, "left_anti").unionByName(again)
+    mark = F.lit("\0").alias("term")
+    every = posts.unionByName(corpus.select(key, mark, F.lit(0.0).alias("impact"))).repartition(key)
+    whole = asked.join(short, query, "left_semi").unionByName(short.select(query, mark, F.lit(0.0).alias("times")))
+    return plain.join(short, query, "left_anti").unionByName(_best(every, written(whole), query, key, k))
+
+
+def _best_pairs(posts: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
+    """``query, key`` of all matches of a few documents (k + SPARE of them)."""
+    return posts.select(key, "term").join(asked.select(query, "term"), "term").select(query, key).distinct()
 
 
 def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> DataFrame:
@@ -186,26 +196,21 @@ def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> Dat
     )
 
 
-def _listed(posts: DataFrame, key: str) -> Column:
-    return F.collect_list(F.struct("term", F.col("impact").cast("double").alias("impact"))).alias("_terms")
-
-
 def top_k_bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
     """``query, rank, key, score``: min(k, n) documents of each query; k of 0 gives none."""
     if k <= 0:
         return _nothing(queries, corpus, query, key)
     tokens = tokens_ws(F.col(text))
-    n, total = corpus_size(corpus, tokens)
     asked = queries.select(query, F.explode(tokens_ws(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    terms = asked.select("term").distinct()
-    idf = written(bm25_idf(corpus, tokens, n).join(terms, "term", "left_semi").select("term", "idf"))
+    asked = written(asked)
+    df, n, total = frequencies_and_size(corpus, tokens)
+    idf = written(_floored(bm25_raw(df, n)).join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"))
+    # Tokens that nobody asks for go before they are counted.
+    listed = counted(corpus, key, tokens).select(key, "dl", F.explode("_t").alias("term"))
     tf, dl = F.col("tf").cast("double"), F.col("dl")
     impact = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(total / max(n, 1))))
-    posts = with_idf(postings(corpus, key, tokens), idf, key).withColumn("impact", impact)
-    # A document without any of the terms has a row too: it competes with score 0.
-    listed = posts.groupBy(key).agg(_listed(posts, key))
-    listed = written(corpus.select(key).join(listed, key, "left").withColumn("_terms", F.coalesce("_terms", F.array().cast("array<struct<term:string,impact:double>>"))))
-    return top_k_lexical(listed.repartition(key), asked, queries, corpus, query, key, k)
+    posts = with_idf(listed, idf, key).groupBy(key, "dl", "term", "idf").agg(F.count("*").alias("tf")).select(key, "term", impact.alias("impact"))
+    return top_k_lexical(posts, asked, queries, corpus, query, key, k)
 
 
 def top_k_tfidf(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
@@ -213,17 +218,15 @@ def top_k_tfidf(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "d
     if k <= 0:
         return _nothing(queries, corpus, query, key)
     tokens, asking = tokens_words(F.col(text)), tokens_words(F.col(query_text))
-    n = corpus.count()
-    idf = written(tfidf_idf(corpus, tokens, n).select("term", "idf"))
+    df, n, _ = frequencies_and_size(corpus, tokens)
+    idf = written(with_smooth_idf(df, n).select("term", "idf"))
     asked = written(tfidf_weights(postings(queries, query, asking), idf, query).withColumnRenamed("weight", "times"))
     marked = written(idf.join(asked.select("term").distinct().withColumn("_asked", F.lit(True)), "term", "left"))
     posts = with_idf(postings(corpus, key, tokens), marked, key).withColumn("_w", F.col("tf") * F.col("idf"))
-    held = F.collect_list(F.when(F.col("_asked"), F.struct("term", F.col("_w").alias("impact"))))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
-    listed = posts.groupBy(key).agg(held.alias("_h"), norm.alias("_n"))
-    scaled = F.transform("_h", lambda x: F.struct(x["term"].alias("term"), (x["impact"] / F.col("_n")).alias("impact")))
-    listed = corpus.select(key).join(listed, key, "left").select(key, F.coalesce(scaled, F.array().cast("array<struct<term:string,impact:double>>")).alias("_terms"))
-    return top_k_lexical(written(listed).repartition(key), asked, queries, corpus, query, key, k)
+    held = F.collect_list(F.when(F.col("_asked"), F.struct("term", F.col("_w").alias("w"))))  # terms that are asked for
+    listed = posts.groupBy(key).agg(held.alias("_h"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    scaled = listed.select(key, "_norm", F.explode("_h").alias("_p")).select(key, F.col("_p.term").alias("term"), (F.col("_p.w") / F.col("_norm")).alias("impact"))
+    return top_k_lexical(scaled, asked, queries, corpus, query, key, k)
 
 
 #: Rows of one block of queries, bytes of one block of the corpus, and cells of the
