@@ -14,7 +14,7 @@ import json
 from array import array
 
 from paralex.llm.common import tokenizer_file
-from paralex.llm.pretokens import PieceCache, encode_texts
+from paralex.llm.pretokens import CACHE_WORDS, PieceCache, encode_texts
 
 FILE = "byte_bpe_50k.json"
 
@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[str, str]:
 
 
 class LibraryEncoder:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         place = tokenizer_file(FILE, path)
@@ -49,7 +49,7 @@ class LibraryEncoder:
             and spec["model"]["type"] == "BPE"
         )
         self.alphabet = str.maketrans(byte_alphabet())
-        self.cache = PieceCache(self._matches)
+        self.cache = PieceCache(self._matches, words)
 
     def width(self, *more: int) -> int:
         """Bytes that hold any id of the vocabulary and the ids ``more``: 2 or 4."""
@@ -72,6 +72,6 @@ class LibraryEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> LibraryEncoder:
-    """The encoder of this worker process."""
-    return LibraryEncoder(path)
+def encoder(path: str | None = None, words: int = CACHE_WORDS) -> LibraryEncoder:
+    """The encoder of this worker process, which remembers about twice ``words`` matches."""
+    return LibraryEncoder(path, words)

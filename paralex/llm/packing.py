@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from paralex.llm import hf
 from paralex.llm.common import durable, map_batches
+from paralex.llm.pretokens import CACHE_WORDS
 
 LENGTH = 2048
 END_ID = 1
@@ -97,20 +98,21 @@ def intervals(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 
 
 def pieces(
-    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False
-) -> DataFrame:
+    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False,
+    words: int = CACHE_WORDS,
+) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, ids`` of every piece, in place, with
     ``task, rank``: its number among the pieces of its length that the task has cut.
 
     ``ids`` (little-endian 32-bit; 16-bit if ``narrow`` and the vocabulary and the end id
-    allow) is left out if ``with_ids`` is false.
+    allow) is left out if ``with_ids`` is false.  ``words`` bounds what the encoder remembers.
     """
     end = np.uint32(end_id).tobytes()
 
     def work(batches):
         from pyspark import TaskContext
 
-        coder = hf.encoder(path)
+        coder = hf.encoder(path, words)
         short = narrow and coder.width(end_id) == 2
         task, seen = TaskContext.get().partitionId(), [0] * (length + 1)
         for batch in batches:
@@ -177,10 +179,11 @@ def place(cut: DataFrame, capacity: int = LENGTH) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False
-) -> DataFrame:
+    docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, narrow: bool = False,
+    words: int = CACHE_WORDS,
+) -> DataFrame:
     """Pieces of every document with the sequence and the offset of each."""
-    return place(pieces(docs, length, end_id, path, with_ids, narrow), length)
+    return place(pieces(docs, length, end_id, path, with_ids, narrow, words), length)
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:

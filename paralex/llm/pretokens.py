@@ -10,6 +10,8 @@ computed with numpy over many texts at once; another pattern falls back to the
 from __future__ import annotations
 
 import functools
+from itertools import compress, filterfalse
+from operator import not_
 
 import numpy as np
 
@@ -98,32 +100,39 @@ def split_texts(texts: list[str], pattern: str = PATTERN):
         yield split_group(group)
 
 
+#: Matches that a worker remembers in one generation, at some 160 bytes each.
+CACHE_WORDS = 800_000
+
+
 class PieceCache:
     """Ids (little-endian unsigned 32-bit bytes) of matches, found once each.
 
-    Two generations of at most ``limit`` short matches bound its memory; what is
+    Two generations of about ``limit`` short matches bound its memory; what is
     dropped is computed again when it returns.
     """
 
     LONGEST = 64
 
-    def __init__(self, encode_many, limit: int = 200_000):
+    def __init__(self, encode_many, limit: int = CACHE_WORDS):
         self.encode_many, self.limit = encode_many, limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        out = list(map(self.new.get, words))
+        new, old = self.new, self.old
+        out = list(map(new.get, words))
         if None not in out:
             return out
-        lost = {w for w, v in zip(words, out) if v is None}
-        found = {w: v for w in lost if (v := self.old.get(w)) is not None}
-        todo = [w for w in lost if w not in found]
+        missed = list(compress(range(len(out)), map(not_, out)))  # no ids are empty
+        lost = {words[i] for i in missed}
+        todo = list(filterfalse(old.__contains__, lost))
+        found = {w: old[w] for w in lost.difference(todo)}
         found.update(zip(todo, self.encode_many(todo)))
-        out = [found[w] if v is None else v for w, v in zip(words, out)]
-        if len(self.new) + len(found) > self.limit:
-            self.old, self.new = self.new, {}
-        self.new.update((w, v) for w, v in found.items() if len(w) <= self.LONGEST)
+        for i in missed:
+            out[i] = found[words[i]]
+        new.update((w, v) for w, v in found.items() if len(w) <= self.LONGEST)
+        if len(new) > self.limit:
+            self.old, self.new = new, {}
         return out
 
 
