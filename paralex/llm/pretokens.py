@@ -101,7 +101,7 @@ def split_texts(texts: list[str], pattern: str = PATTERN):
 
 
 #: Matches that a worker remembers in one generation, at some 160 bytes each.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 class PieceCache:
