@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paralex.llm.common import map_batches, tokenizer_file
-from paralex.llm.pretokens import PATTERN, PieceCache, encode_texts
+from paralex.llm.pretokens import PATTERN, PieceEncoder
 
 FILE = "byte_bpe_50k.tiktoken"
+#: Ids that are decoded at once.
+DECODED = 65_536
 
 
 #: Bits of one word of the queue's bitmap.
@@ -117,16 +119,27 @@ class RankEncoder:
         with open(tokenizer_file(FILE, path), "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.pieces: dict[int, bytes] = {v: k for k, v in self.ranks.items()}
-        self.pattern = pattern
-        self.cache = PieceCache(lambda words: [array("I", merge(w.encode(), self.ranks)).tobytes() for w in words])
+        #: Bytes of all pieces one after another, where each id's begin, and how many they are (-1: no such id).
+        self.arena = np.frombuffer(b"".join(self.ranks), np.uint8)
+        sizes = np.fromiter(map(len, self.ranks), np.int64, len(self.ranks))
+        known = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        self.begin, self.size = np.zeros(known.max(initial=-1) + 1, np.int64), np.full(known.max(initial=-1) + 1, -1)
+        self.begin[known], self.size[known] = np.cumsum(sizes) - sizes, sizes
+        self.coder = PieceEncoder(lambda words: [array("I", merge(w.encode(), self.ranks)).tobytes() for w in words], pattern=pattern)
 
     def encode(self, texts: list[str]):
         """Yield the little-endian 32-bit ids of each text, as bytes."""
-        return encode_texts(texts, self.cache, self.pattern)
+        return self.coder.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, array("I", ids)))
+        every, out = np.frombuffer(ids, "<u4"), []
+        for at in range(0, len(every), DECODED):
+            part = every[at : at + DECODED]
+            if part.max() >= len(self.size) or (size := self.size[part]).min() < 0:
+                raise KeyError("an id that the vocabulary doesn't have")
+            before = np.cumsum(size) - size
+            out.append(self.arena[np.repeat(self.begin[part] - before, size) + np.arange(size.sum())].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)

@@ -12,11 +12,15 @@ from __future__ import annotations
 import functools
 import json
 from array import array
+from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 
 from paralex.llm.common import tokenizer_file
-from paralex.llm.pretokens import CACHE_WORDS, PieceCache, encode_texts
+from paralex.llm.pretokens import CACHE_WORDS, PieceEncoder
 
 FILE = "byte_bpe_50k.json"
+#: Matches whose tokens are held at once.
+AT_ONCE = 4096
 
 
 def byte_alphabet() -> dict[str, str]:
@@ -49,7 +53,7 @@ class LibraryEncoder:
             and spec["model"]["type"] == "BPE"
         )
         self.alphabet = str.maketrans(byte_alphabet())
-        self.cache = PieceCache(self._matches, words)
+        self.pieces = PieceEncoder(self._matches, words)
 
     def width(self, *more: int) -> int:
         """Bytes that hold any id of the vocabulary and the ids ``more``: 2 or 4."""
@@ -60,18 +64,24 @@ class LibraryEncoder:
         return [array("I", e.ids).tobytes() for e in done]
 
     def _matches(self, words: list[str]) -> list[bytes]:
-        tokenize, alphabet = self.library.model.tokenize, self.alphabet
-        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in words]
+        tokenize, out = self.library.model.tokenize, []
+        for first in range(0, len(words), AT_ONCE):
+            raw = [w.encode() for w in words[first : first + AT_ONCE]]
+            spelt = b"".join(raw).decode("latin-1").translate(self.alphabet)
+            found = [tokenize(spelt[i:j]) for i, j in pairwise(accumulate(map(len, raw), initial=0))]
+            ids = array("I", map(attrgetter("id"), chain.from_iterable(found))).tobytes()
+            out += [ids[4 * i : 4 * j] for i, j in pairwise(accumulate(map(len, found), initial=0))]
+        return out
 
     def encode(self, texts: list[str]):
         """Yield the little-endian 32-bit ids of each text, as bytes."""
         if not self.apart:
             yield from self._many(texts)
             return
-        yield from encode_texts(texts, self.cache)
+        yield from self.pieces.encode(texts)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None = None, words: int = CACHE_WORDS) -> LibraryEncoder:
-    """The encoder of this worker process, which remembers about twice ``words`` matches."""
+    """The encoder of this worker process, which remembers about ``words`` matches."""
     return LibraryEncoder(path, words)

@@ -10,6 +10,7 @@ computed with numpy over many texts at once; another pattern falls back to the
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from itertools import compress, filterfalse
 from operator import not_
 
@@ -63,8 +64,9 @@ def _starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def split_group(texts: list[str]) -> tuple[list[str], list[int]]:
-    """Matches of all texts in order, and for each text the end of its own."""
+def _spans(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """All texts joined, the code points of that, begin and end of each match, and for each
+    text the end of its own matches."""
     joined = "\n" + "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     kind = classes()[points]
@@ -74,10 +76,29 @@ def split_group(texts: list[str]) -> tuple[list[str], list[int]]:
     ends = np.append(starts[1:], len(points))
     real = kind[starts] != EDGE
     a, b = starts[real], ends[real]
-    bounds = np.searchsorted(a, edges[1:]).tolist()
+    return joined, points, a, b, np.searchsorted(a, edges[1:]).tolist()
+
+
+def split_group(texts: list[str]) -> tuple[list[str], list[int]]:
+    """Matches of all texts in order, and for each text the end of its own."""
+    joined, _, a, b, bounds = _spans(texts)
     return [joined[i:j] for i, j in zip(a.tolist(), b.tolist())], bounds
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in groups of about GROUP_CHARS characters."""
+    group: list[str] = []
+    held = 0
+    for text in texts:
+        if group and held + len(text) > GROUP_CHARS:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
+
+
 def split_texts(texts: list[str], pattern: str = PATTERN):
     """Yield ``(matches, ends)`` for groups of whole texts, in order."""
     if pattern != PATTERN:
@@ -88,20 +109,12 @@ def split_texts(texts: list[str], pattern: str = PATTERN):
             words = find(text)
             yield words, [len(words)]
         return
-    group: list[str] = []
-    held = 0
-    for text in texts:
-        if group and held + len(text) > GROUP_CHARS:
-            yield split_group(group)
-            group, held = [], 0
-        group.append(text)
-        held += len(text)
-    if group:
-        yield split_group(group)
+    yield from map(split_group, groups(texts))
 
 
-#: Matches that a worker remembers in one generation, at some 160 bytes each.
-CACHE_WORDS = 400_000
+#: Matches that a worker remembers: that many places of 33 bytes in a table, and two
+#: generations of an eighth of it in dictionaries, at some 160 bytes each.
+CACHE_WORDS = 1 << 20
 
 
 class PieceCache:
@@ -113,7 +126,7 @@ class PieceCache:
 
     LONGEST = 64
 
-    def __init__(self, encode_many, limit: int = CACHE_WORDS):
+    def __init__(self, encode_many, limit: int = CACHE_WORDS // 8):
         self.encode_many, self.limit = encode_many, limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -136,11 +149,108 @@ class PieceCache:
         return out
 
 
-def encode_texts(texts: list[str], cache: PieceCache, pattern: str = PATTERN):
-    """Yield the id bytes of each text."""
-    for words, ends in split_texts(texts, pattern):
-        values = cache.ids(words)
-        at = 0
-        for end in ends:
-            yield b"".join(values[at:end])
-            at = end
+class PieceTable:
+    """Ids of short matches, looked up for many matches at once.
+
+    A match of up to LONGEST bytes is its own key, so a hit is exact: 15 bytes and their
+    number are two unsigned longs.  Each key has one place, and a later one takes it; what
+    isn't there, or is longer, or has more than MOST ids, is asked of ``cache``.
+    """
+
+    LONGEST, MOST = 15, 4
+    #: What is kept of the first eight bytes, and of the next seven, of a match by its length.
+    FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
+    NEXT = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(16)], np.uint64)
+    #: Odd numbers that mix the bits of a key.
+    MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+    def __init__(self, cache: PieceCache, places: int = CACHE_WORDS):
+        self.cache = cache
+        self.bits = max(4, (places - 1).bit_length())
+        # The key and up to four ids are a row of 32 bytes, so a lookup touches one line of memory.
+        self.rows = np.zeros((1 << self.bits, 4), np.uint64)
+        self.count = np.zeros(1 << self.bits, np.uint8)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Id bytes of each text of one group."""
+        joined, points, a, b, bounds = _spans(texts)
+        raw = joined.encode()
+        at, end = a, b
+        if len(raw) > len(joined):
+            place = np.zeros(len(points) + 1, np.int64)
+            wide = np.flatnonzero(points > 0x7F)
+            more = points[wide]
+            place[wide + 1] = 1 + (more > 0x7FF) + (more > 0xFFFF)
+            place = np.cumsum(place) + np.arange(len(place))
+            at, end = place[a], place[b]
+        ids, ends = self._ids(joined, raw, a, b, at, end - at)
+        start = 0
+        for bound in bounds:
+            stop = int(ends[bound - 1]) if bound else 0
+            yield ids[start:stop].tobytes()
+            start = stop
+
+    def _ids(self, joined: str, raw: bytes, a, b, at, size) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches, and the end of each match's own; ``at, size`` are in bytes."""
+        eight = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
+        short = size <= self.LONGEST
+        known = np.minimum(size, self.LONGEST)
+        first = eight[at] & self.FIRST[known]
+        rest = eight[at + 8] & self.NEXT[known] | known.astype(np.uint64) << np.uint64(56)
+        slot = first * self.MIX[0] ^ rest * self.MIX[1]
+        slot = ((slot ^ slot >> np.uint64(32)) * self.MIX[2] >> np.uint64(64 - self.bits)).astype(np.int64)
+        rows = self.rows.take(slot, axis=0)
+        hit = short & (rows[:, 0] == first) & (rows[:, 1] == rest)
+        count = self.count[slot].astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        values = self.cache.ids([joined[i:j] for i, j in zip(a[missed].tolist(), b[missed].tolist())])
+        found = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        count[missed] = found
+        ends = np.cumsum(count)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        begin = ends - count
+        four = rows.view("<u4")
+        for k in range(self.MOST):
+            here = np.flatnonzero(hit & (count > k))
+            out[begin[here] + k] = four[here, 4 + k]
+        if len(missed):
+            flat = np.frombuffer(b"".join(values), "<u4")
+            own = np.cumsum(found) - found  # where each match's ids begin in flat
+            out[np.repeat(begin[missed] - own, found) + np.arange(len(flat))] = flat
+            self._keep(slot, first, rest, missed[short[missed] & (found <= self.MOST)], out, begin, count)
+        return out, ends
+
+    def _keep(self, slot, first, rest, new, out, begin, count) -> None:
+        """Put the matches ``new`` in their places, one in each."""
+        places, which = np.unique(slot[new], return_index=True)
+        new = new[which]
+        row = np.zeros((len(new), 4), np.uint64)
+        row[:, 0], row[:, 1] = first[new], rest[new]
+        four = row.view("<u4")
+        for k in range(self.MOST):
+            here = np.flatnonzero(count[new] > k)
+            four[here, 4 + k] = out[begin[new[here]] + k]
+        self.rows[places] = row
+        self.count[places] = count[new]
+
+
+class PieceEncoder:
+    """Encodes texts by the ids that ``encode_many`` finds for matches, about ``words`` of which are remembered."""
+
+    def __init__(self, encode_many, words: int = CACHE_WORDS, pattern: str = PATTERN):
+        self.pattern = pattern
+        self.cache = PieceCache(encode_many, max(1, words // 8))
+        self.table = PieceTable(self.cache, words)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Yield the id bytes of each text."""
+        if self.pattern == PATTERN:
+            for group in groups(texts):
+                yield from self.table.encode(group)
+            return
+        for words, ends in split_texts(texts, self.pattern):
+            values = self.cache.ids(words)
+            at = 0
+            for end in ends:
+                yield b"".join(values[at:end])
+                at = end

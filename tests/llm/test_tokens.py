@@ -106,6 +106,31 @@ def test_cache_forgets_without_harm():
     assert len(cache.new) + len(cache.old) <= 60
 
 
+@pytest.mark.parametrize("words", [1, 50, 1 << 12])
+def test_table_of_matches_changes_nothing(words):
+    """Places that many matches share, lengths on both sides of the table's longest, NUL
+    characters, matches of many ids, and every width of UTF-8."""
+    rng = random.Random(words)
+    kinds = ["a" * n for n in range(1, 20)] + ["a\0", "a\0\0", "\0", "é" * 7, "é" * 8, "日本語日本", "日本語日本語", "😀😀😀", "😀" * 4, "1234", "x", " x", "!" * 9]
+    texts = [" ".join(rng.choices(kinds, k=rng.randint(0, 12))) for _ in range(400)] + ["", " ", "\n"]
+    asked = []
+
+    def ids_of(found):
+        asked.extend(found)
+        return [np.array([*w.encode(), len(w)], "<u4")[-(1 + len(w) % 6) :].tobytes() for w in found]
+
+    coder = pretokens.PieceEncoder(ids_of, words)
+    find = regex.compile(public.PATTERN).findall
+    for _ in range(2):
+        for at in range(0, len(texts), 20):
+            some = texts[at : at + 20]
+            want = [b"".join(ids_of(find(t))) for t in some]
+            asked.clear()
+            assert list(coder.encode(some)) == want
+    if words > len(kinds) * 8:
+        assert len(asked) <= 2  # remembered
+
+
 @pytest.mark.parametrize("histogram", [{}, {5: 3}, {2048: 7}, {1: 5000}, {2047: 3, 1: 5}, {1500: 4, 600: 9, 548: 2, 3: 1000}])
 def test_plan_places_all(histogram):
     patterns = packing.plan(histogram)
