@@ -1,5 +1,6 @@
 """Tokenising, packing and token files."""
 
+import functools
 import hashlib
 import io
 import random
@@ -84,12 +85,17 @@ def test_encode_decode_as_the_library(docs, reference):
     assert bpe.round_trip_digests(docs.limit(0)).count() == 0
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def library_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_library_encoder():
