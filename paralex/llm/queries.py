@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import bpe, langid, media, neighbours, packing, quality, ring, simhash, sstable, urls
+from paralex.llm import bpe, centroids, langid, media, neighbours, packing, quality, ring, simhash, sstable, urls
 from paralex.llm.common import table
 
 
@@ -91,9 +91,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after ten rounds.
+
+    Vectors that are null, of another length or not finite take no part; repeated rows count each; ties go to the smaller centroid; an empty table gives no rows.
+    """
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_byte_bpe, op2_packing, op3_neighbours, op4_sharding, op5_simhash, op6_quality, op7_language, op8_token_files, op9_urls, op10_media,
+        op13_centroids,
     )
     return {f.__name__: f for f in every}
 
