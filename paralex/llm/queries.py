@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import bpe, centroids, langid, media, neighbours, packing, quality, ring, simhash, sstable, urls
+from paralex.llm import bpe, centroids, langid, media, neighbours, packing, quality, repeats, ring, simhash, sstable, urls
 from paralex.llm.common import table
 
 
@@ -91,6 +91,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the 200-byte strings that occur again.
+
+    A null text is empty; shorter texts stay whole; repeated rows are copies and lose all of 200 bytes and more; an empty table gives no rows.
+    """
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), bodies=False).drop("spans")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every vector after ten rounds.
 
@@ -102,7 +110,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_byte_bpe, op2_packing, op3_neighbours, op4_sharding, op5_simhash, op6_quality, op7_language, op8_token_files, op9_urls, op10_media,
-        op13_centroids,
+        op11_suffix_repeats, op13_centroids,
     )
     return {f.__name__: f for f in every}
 
