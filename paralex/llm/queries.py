@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import bpe, centroids, langid, media, neighbours, packing, quality, repeats, ring, simhash, sstable, urls
+from paralex.llm import bpe, centroids, langid, media, neighbours, packing, prefixes, quality, repeats, ring, simhash, sstable, urls
 from paralex.llm.common import table
 
 
@@ -99,6 +99,14 @@ def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), bodies=False).drop("spans")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations.
+
+    Null roles and texts are empty, null turns come first, rows without conv_id take no part; repeated rows are repeated turns; an empty table gives no rows.
+    """
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every vector after ten rounds.
 
@@ -110,7 +118,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_byte_bpe, op2_packing, op3_neighbours, op4_sharding, op5_simhash, op6_quality, op7_language, op8_token_files, op9_urls, op10_media,
-        op11_suffix_repeats, op13_centroids,
+        op11_suffix_repeats, op12_prefix_trie, op13_centroids,
     )
     return {f.__name__: f for f in every}
 
