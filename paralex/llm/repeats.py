@@ -9,7 +9,8 @@
    right, and the same of the bytes before the anchor, gives the windows that repeat, exactly.
 4. A core in more than GROUP segments is cut anew: its segments into blocks of STEPS windows,
    whose core is all that the windows of a block have in common, down to single windows.
-   So no group outgrows a task, whatever the data.
+   So no group outgrows a task, whatever the data.  Cores that a sample shows to be common
+   are dealt over many tasks from the start.
 
 Texts are known by two hashes (128 bits), so equal ones are worked on once.
 """
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from paralex.llm.anchors import CORE, core_hashes, segments
 from paralex.llm.common import durable, join_spread, map_batches, quoted
-from paralex.llm.merging import common, merge, write_run
+from paralex.llm.merging import common as shared_bytes
+from paralex.llm.merging import merge, write_run
 
 #: Different segments of one core that one task compares.
 GROUP = 4_096
@@ -37,6 +39,9 @@ STEPS = (16, 1)
 #: Bytes of segments of one part, and of one task's runs at a time.
 PART_BYTES, RUN_BYTES = 8 << 20, 16 << 20
 
+#: Share of the rows that tell which cores are common, and how common.
+SAMPLE, HOT = 1 / 64, 1 / 1024
+
 PLACE = "k1 long, k2 long, at long, shape int"
 KEY = ["k1", "k2"]
 
@@ -92,14 +97,46 @@ def found_segments(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(docs.select("k1", "k2", "_b"), work, f"h long, s long, {PLACE}, n int")
 
 
-def judged(rows: DataFrame) -> DataFrame:
+def frequent(sample: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Cores ``h`` with more than HOT of a sample's segments, and segments as common as that.
+
+    These are at most 1 / HOT each.  They only decide how rows are dealt: whatever the sample
+    misses costs time and changes no result.
+    """
+    place = F.struct(*[c for c in sample.columns if c not in ("h", "s", "n")]).alias("place")
+    counted = durable(sample.groupBy("h", "s").agg(F.sum("n").alias("m"), F.min(place).alias("place")))
+    least = max(16, int((counted.agg(F.sum("m")).first()[0] or 0) * HOT))
+    cores = durable(counted.groupBy("h").agg(F.sum("m").alias("m")).filter(F.col("m") > least).select("h"))
+    if cores.isEmpty():
+        return None
+    return cores, durable(counted.filter(F.col("m") > least).select("h", "s", "place.*"))
+
+
+def judged(rows: DataFrame, common: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The segments whose core occurs again.  ``twice``: the whole segment does; ``witness``:
-    the first of its kind, where the core is in ``kinds`` different ones (more than one)."""
-    core, whole = Window.partitionBy("h"), Window.partitionBy("h", "s")
-    out = rows.repartition("h").withColumn("_first", F.row_number().over(whole.orderBy("k1", "k2", "at", "shape")) == 1)
-    out = out.withColumn("twice", F.sum("n").over(whole) > 1)
-    out = out.withColumns({"kinds": F.sum(F.col("_first").cast("int")).over(core), "_n": F.sum("n").over(core)}).filter("_n > 1")
-    return out.withColumn("witness", F.col("_first") & (F.col("kinds") > 1)).drop("_first", "_n", "n")
+    the first of its kind, where the core is in ``kinds`` different ones (more than one).
+
+    Of ``frequent`` segments it is known that they do, so their rows are dealt by place, and
+    one of each stands for them; the other segments of frequent cores are dealt by segment,
+    and count as more than GROUP kinds.
+    """
+    if common:
+        cores, pairs = common
+        known = pairs.withColumns({"n": F.lit(2), "_sure": F.lit(False), "_often": F.lit(True)})
+        often, sure = (F.broadcast(d.withColumn(n, F.lit(True))) for d, n in ((cores, "_often"), (pairs.select("h", "s"), "_sure")))
+        flags = {n: F.coalesce(n, F.lit(False)) for n in ("_sure", "_often")}
+        rows = rows.join(often, "h", "left").join(sure, ["h", "s"], "left").withColumns(flags).unionByName(known)
+        apart = F.when(F.col("_sure"), -1 - F.pmod(F.xxhash64("k1", "at"), F.lit(4_096))).when(F.col("_often"), 1 + F.pmod(F.col("s"), F.lit(4_096)))
+        rows = rows.withColumn("_salt", F.coalesce(apart, F.lit(0)))
+    else:
+        rows = rows.withColumns({"_sure": F.lit(False), "_often": F.lit(False), "_salt": F.lit(0)})
+    core, whole = Window.partitionBy("h", "_salt"), Window.partitionBy("h", "_salt", "s")
+    first = (F.row_number().over(whole.orderBy("k1", "k2", "at", "shape")) == 1) & ~F.col("_sure")
+    out = rows.repartition("h", "_salt").withColumn("_first", first)
+    out = out.withColumn("twice", F.col("_sure") | (F.sum("n").over(whole) > 1))
+    kinds = F.when(F.col("_often"), GROUP + 1).otherwise(F.sum(F.col("_first").cast("long")).over(core))
+    out = out.withColumns({"kinds": kinds, "_n": F.sum("n").over(core)}).filter("_n > 1 or _often")
+    return out.withColumn("witness", F.col("_first") & (F.col("kinds") > 1)).drop("_first", "_n", "n", "_sure", "_often", "_salt")
 
 
 def witnesses(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
@@ -210,7 +247,7 @@ def _windows_of_part(runs: list[bytes], length: int) -> pa.RecordBatch:
     shared = np.array(shared)
     group = np.cumsum(shared < CORE)  # segments of another core share less
     order = sorted(range(len(lefts)), key=lambda i: (group[i], lefts[i]))
-    shared_left = np.array([-1] + [common(lefts[a], lefts[b]) if group[a] == group[b] else -1 for a, b in zip(order, order[1:])])
+    shared_left = np.array([-1] + [shared_bytes(lefts[a], lefts[b]) if group[a] == group[b] else -1 for a, b in zip(order, order[1:])])
     k1, k2, at, shape = np.frombuffer(b"".join(wheres), "<i8").reshape(-1, 4).T
     left, span = shape >> 16, shape & 0xFFFF
     found = repeated(shared, left, span, np.array(order), shared_left, length)
@@ -247,16 +284,16 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
 
 def repeats(texts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """``k1, k2, runs``: all (``at``, ``n``) of every text that has windows which repeat (written)."""
-    marked = durable(judged(found_segments(docs, length)))
+    marked = durable(judged(found_segments(docs, length), frequent(found_segments(docs.sample(SAMPLE, 1), length))))
     whole = lambda m: m.filter("twice").select(*KEY, "at", F.col("shape").bitwiseAND(0xFFFF).cast("long").alias("n"))
     found = [whole(marked)]
     rows = durable(witnesses(texts, marked, length))
-    for step in (*STEPS, None):
+    for step in STEPS:  # of single windows, those with one core are equal as a whole
         found.append(compared(rows.filter(F.col("kinds") <= GROUP), length))
         hot = rows.filter(F.col("kinds") > GROUP)
         if hot.isEmpty():
             break
-        marked = durable(judged(finer(hot, length, step)))
+        marked = durable(judged(finer(hot, length, step), frequent(finer(hot.sample(SAMPLE, 1), length, step))))
         found.append(whole(marked))
         rows = marked.filter("witness")
     every = reduce(DataFrame.unionByName, found)
