@@ -1,15 +1,14 @@
 """Top-k retrieval: TF-IDF cosine, BM25 and dense vectors.
 
-Lexical scores are summed where a document is: texts are dealt by key once, their terms
-meet those of a block of queries that is broadcast up to a checked size, and a task keeps
-k documents a query.  No table of (query, document) scores is written or shuffled.  A
-document that shares no term has score 0 and still competes.  Ranks use scores rounded to
-six digits, then the larger document key.
+Lexical scores are weights of a query's terms times impacts of a document's; which sums are
+made is decided by bounds (``pruning``).  Texts are counted for one call, or once and for all
+in an ``index``.  A document that shares no term has score 0 and still competes.  Ranks use
+scores rounded to six digits, then the larger document key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paralex.functions.text import tokens_words, tokens_ws
+from paralex.operators import index, pruning
 from paralex.session import written
 
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
-#: Most rows of a table of terms that is broadcast: (query, term) rows of one block of
-#: queries, and (term, idf) rows, beyond which terms are joined through a shuffle.
+#: Most rows of a table of terms that is broadcast, (query, term) and (term, idf); larger
+#: ones are joined through a shuffle.
 BLOCK_TERMS, BROADCAST_TERMS = 500_000, 1_000_000
 #: Documents of largest key that are offered to a query beside the k it needs.
 SPARE = 100
@@ -136,24 +136,14 @@ def first_k(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
 
 
 def _scores(posts: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
-    """``query, key, score`` of ``posts`` (``key, term, impact``, dealt by key) and ``asked``
-    (``query, term, times``, to be broadcast)."""
-    parts = posts.join(F.broadcast(asked), "term").select(key, query, (F.col("impact") * F.col("times")).alias("_part"))
+    """``query, key, score`` of ``posts`` (``key, term, impact``) and ``asked`` (``query, term, times``)."""
+    few = asked.count() <= BLOCK_TERMS
+    parts = posts.join(F.broadcast(asked) if few else asked, "term").select(key, query, (F.col("impact") * F.col("times")).alias("_part"))
     return parts.groupBy(key, query).agg(F.round(F.sum("_part"), DIGITS).alias("score"))
 
 
-def _best(posts: DataFrame, asked: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """The first k that match, for ``asked`` (a written table) taken in blocks of queries, by
-    hash, whose terms are few enough to broadcast."""
-    blocks = max(1, -(-asked.count() // BLOCK_TERMS))
-    if blocks > 1:
-        posts = written(posts).repartition(key)
-    mine = [F.pmod(F.xxhash64(query), F.lit(blocks)) == b if blocks > 1 else F.lit(True) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, (first_k(_scores(posts, asked.filter(m), query, key), query, key, k) for m in mine))
-
-
-def top_k_lexical(posts: DataFrame, asked: DataFrame, queries: DataFrame, corpus: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """``query, rank, key, score`` of ``posts`` and ``asked`` (a written table) as in ``_scores``.
+def top_k_lexical(made: Weighted, asked: DataFrame, queries: DataFrame, keys: DataFrame, query: str, key: str, k: int, tally: dict | None = None) -> DataFrame:
+    """``query, rank, key, score`` of ``asked`` (``query, term, times``, a written table) among ``keys``.
 
     Documents that match nothing have score 0 and compete where a query has fewer than k
     positive scores.  Of these only the ones of largest key count.  Nearly always they are
@@ -161,13 +151,16 @@ def top_k_lexical(posts: DataFrame, asked: DataFrame, queries: DataFrame, corpus
     query that matches more of those (its scores must be negative or vanish for that) is
     scored once more, with a term of no weight that every document holds.
     """
-    found = written(_best(posts, asked, query, key, k))
+    matches = pruning.best_matches(made.impacts, made.blocks, asked, query, key, k, tally)
+    found = written(first_k(matches.withColumn("score", F.round("score", DIGITS)), query, key, k))
     hits = found.groupBy(query).agg(F.count(F.when(F.col("score") > 0, 1)).alias("_p"))
     needy = queries.select(query).distinct().join(hits, query, "left").filter(F.coalesce("_p", F.lit(0)) < k).select(query)
     needy = written(needy)
     if needy.isEmpty():
         return found
-    last = written(corpus.select(key).orderBy(F.desc(key)).limit(k + SPARE))
+    posts = made.impacts.select(F.col("key").alias(key), F.explode(F.arrays_zip("terms", "parts")).alias("_e"))
+    posts = posts.select(key, F.col("_e.terms").alias("term"), F.col("_e.parts").alias("impact"))
+    last = written(keys.select(key).orderBy(F.desc(key)).limit(k + SPARE))
     near = posts.join(F.broadcast(last), key, "left_semi")
     matched = _best_pairs(near, written(asked.join(needy, query, "left_semi")), query, key)
     offered = needy.join(F.broadcast(last), F.lit(True)).join(matched, [query, key], "left_anti")
@@ -180,9 +173,10 @@ def top_k_lexical(posts: DataFrame, asked: DataFrame, queries: DataFrame, corpus
     if short.isEmpty():
         return plain
     mark = F.lit("\0").alias("term")
-    every = posts.unionByName(corpus.select(key, mark, F.lit(0.0).alias("impact"))).repartition(key)
+    every = posts.unionByName(keys.select(key, mark, F.lit(0.0).alias("impact")))
     whole = asked.join(short, query, "left_semi").unionByName(short.select(query, mark, F.lit(0.0).alias("times")))
-    return plain.join(short, query, "left_anti").unionByName(_best(every, written(whole), query, key, k))
+    again = first_k(_scores(every, written(whole), query, key), query, key, k)
+    return plain.join(short, query, "left_anti").unionByName(again)
 
 
 def _best_pairs(posts: DataFrame, asked: DataFrame, query: str, key: str) -> DataFrame:
@@ -196,37 +190,79 @@ def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> Dat
     )
 
 
-def top_k_bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
-    """``query, rank, key, score``: min(k, n) documents of each query; k of 0 gives none."""
+@dataclass
+class Weighted:
+    """Impacts (``key, terms, parts``), their blocks, and ``term, idf``; all written."""
+
+    impacts: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+
+
+def bm25_impacts(corpus: index.Corpus, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``key, terms, parts`` and ``term, idf``; only terms of ``asked``, if given."""
+    rows = index.asked_only(corpus.rows, asked) if asked is not None else corpus.rows
+    length = K1 * (1 - B + B * F.col("dl") / F.lit(corpus.tokens / max(corpus.documents, 1)))
+    parts = F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + length))
+    return rows.select("key", "terms", parts.alias("parts")), _floored(bm25_raw(corpus.terms, corpus.documents)).select("term", "idf")
+
+
+def tfidf_impacts(corpus: index.Corpus, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same for TF-IDF: frequencies over the norm of the document's weights."""
+    idf = written(with_smooth_idf(corpus.terms, corpus.documents).select("term", "idf"))
+    posts = corpus.rows.select("key", F.explode(F.arrays_zip("terms", "tfs")).alias("_e")).select("key", F.col("_e.terms").alias("term"), F.col("_e.tfs").alias("tf"))
+    near = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
+    square = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
+    norms = posts.join(near, "term").groupBy("key").agg(F.sqrt(F.sum(square)).alias("_norm"))
+    rows = index.asked_only(corpus.rows, asked) if asked is not None else corpus.rows
+    parts = F.transform("tfs", lambda tf: tf / F.col("_norm"))
+    return rows.join(norms, "key").select("key", "terms", parts.alias("parts")), idf
+
+
+def _asked(queries: DataFrame, query: str, tokens: Column) -> DataFrame:
+    """``query, term, tf`` (written)."""
+    return written(queries.select(query, F.explode(tokens).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("tf")))
+
+
+def _weighted(name: str, make, corpus: DataFrame, held: index.Index | None, asked: DataFrame, key: str, tokens: Column) -> tuple[Weighted, DataFrame]:
+    """Impacts for ``asked``, and all keys: of an index that is kept, or of the texts for this call alone."""
+    if held is not None:
+        return Weighted(*held.weighted(name, make)), held.corpus().rows.select(F.col("key").alias(key))
+    impacts, terms = make(index.corpus_of(corpus, key, tokens), asked)
+    some = written(terms.join(asked.select("term").distinct(), "term", "left_semi"))
+    return Weighted(*index.stored(impacts), some), corpus.select(key)
+
+
+def top_k_bm25(
+    corpus: DataFrame | None, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text",
+    held: index.Index | None = None, tally: dict | None = None,
+) -> DataFrame:
+    """``query, rank, key, score``: min(k, n) documents of each query; k of 0 gives none.
+
+    Keys are different in all rows.  With ``held``, an index made with ``tokens_ws``, its
+    documents are searched and ``corpus`` isn't read.
+    """
     if k <= 0:
-        return _nothing(queries, corpus, query, key)
-    tokens = tokens_ws(F.col(text))
-    asked = queries.select(query, F.explode(tokens_ws(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    asked = written(asked)
-    df, n, total = frequencies_and_size(corpus, tokens)
-    idf = written(_floored(bm25_raw(df, n)).join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"))
-    # Tokens that nobody asks for go before they are counted.
-    listed = counted(corpus, key, tokens).select(key, "dl", F.explode("_t").alias("term"))
-    tf, dl = F.col("tf").cast("double"), F.col("dl")
-    impact = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(total / max(n, 1))))
-    posts = with_idf(listed, idf, key).groupBy(key, "dl", "term", "idf").agg(F.count("*").alias("tf")).select(key, "term", impact.alias("impact"))
-    return top_k_lexical(posts, asked, queries, corpus, query, key, k)
-
-
-def top_k_tfidf(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
-    """As ``top_k_bm25``, by cosine of TF-IDF weights; unknown query terms vanish first."""
+        return _nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
+    asked = _asked(queries, query, tokens_ws(F.col(query_text)))
+    made, keys = _weighted("bm25", bm25_impacts, corpus, held, asked, key, tokens_ws(F.col(text)))
+    times = written(asked.join(made.terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("times")))
+    return top_k_lexical(made, times, queries, keys, query, key, k, tally)
+
+
+def top_k_tfidf(
+    corpus: DataFrame | None, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text",
+    held: index.Index | None = None, tally: dict | None = None,
+) -> DataFrame:
+    """As ``top_k_bm25``, by cosine of TF-IDF weights; unknown query terms vanish first.  ``held`` is made with ``tokens_words``."""
     if k <= 0:
-        return _nothing(queries, corpus, query, key)
-    tokens, asking = tokens_words(F.col(text)), tokens_words(F.col(query_text))
-    df, n, _ = frequencies_and_size(corpus, tokens)
-    idf = written(with_smooth_idf(df, n).select("term", "idf"))
-    asked = written(tfidf_weights(postings(queries, query, asking), idf, query).withColumnRenamed("weight", "times"))
-    marked = written(idf.join(asked.select("term").distinct().withColumn("_asked", F.lit(True)), "term", "left"))
-    posts = with_idf(postings(corpus, key, tokens), marked, key).withColumn("_w", F.col("tf") * F.col("idf"))
-    held = F.collect_list(F.when(F.col("_asked"), F.struct("term", F.col("_w").alias("w"))))  # terms that are asked for
-    listed = posts.groupBy(key).agg(held.alias("_h"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    scaled = listed.select(key, "_norm", F.explode("_h").alias("_p")).select(key, F.col("_p.term").alias("term"), (F.col("_p.w") / F.col("_norm")).alias("impact"))
-    return top_k_lexical(scaled, asked, queries, corpus, query, key, k)
+        return _nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
+    asked = _asked(queries, query, tokens_words(F.col(query_text)))
+    made, keys = _weighted("tfidf", tfidf_impacts, corpus, held, asked, key, tokens_words(F.col(text)))
+    raw = asked.join(made.terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(query)))
+    times = written(raw.select(query, "term", (F.col("_w") / norm * F.col("idf")).alias("times")))
+    return top_k_lexical(made, times, queries, keys, query, key, k, tally)
 
 
 #: Rows of one block of queries, bytes of one block of the corpus, and cells of the
