@@ -41,6 +41,12 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, dealt by ``key`` over all cores if they come in fewer parts than there are cores (few large row groups)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
 def counted(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key, dl, terms, tfs`` of each text; a null text has no tokens.  Nothing is shuffled."""
     kind = texts.schema[key].dataType.simpleString()
@@ -80,7 +86,7 @@ class Corpus:
 
 def corpus_of(texts: DataFrame, key: str, tokens: Column) -> Corpus:
     """The same for texts that are asked once; both tables are written."""
-    rows = written(counted(texts, key, tokens))
+    rows = written(counted(spread(texts, key), key, tokens))
     n, total = rows.agg(F.count("*"), F.sum("dl")).first()
     return Corpus(rows, written(term_counts(rows)), n, total or 0)
 
@@ -106,7 +112,7 @@ class Index:
         """Count the texts of documents that the index doesn't hold yet."""
         name = uuid.uuid4().hex
         place = f"{self.path}/generations/{name}"
-        counted(texts, key, self.tokens(F.col(text))).write.parquet(f"{place}/counted")
+        counted(spread(texts.select(key, text), key), key, self.tokens(F.col(text))).write.parquet(f"{place}/counted")
         rows = self.spark.read.parquet(f"{place}/counted")
         term_counts(rows).write.parquet(f"{place}/terms")
         n, total = rows.agg(F.count("*"), F.sum("dl")).first()

@@ -24,7 +24,7 @@ from paralex.session import written
 #: terms left out may reach; and what rounding may change.
 PROBED, SHARE, MARGIN = 80, 0.8, 1e-5
 #: Rows of (query, term) and of (query, document) in one group, and keys that are sent along.
-QUERY_TERMS, PAIRS, SMALL = 500_000, 20_000, 1_000_000
+QUERY_TERMS, PAIRS, SMALL = 500_000, 8_000, 1_000_000
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
@@ -65,6 +65,8 @@ def scored(pairs: DataFrame, impacts: DataFrame, asked: DataFrame, query: str, k
         schema = weights.schema.field(query).type, docs.schema.field(key).type, pa.float64()
         return pa.table({n: pa.array(v, t) for n, v, t in zip((query, key, "score"), out, schema)})
 
+    # A number of partitions that is asked for isn't made smaller because the rows are few: each is much work.
+    left, right = (side.repartition(min(blocks * parts, 4_096), "_b", "_p") for side in (left, right))
     return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(work, f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, score double")
 
 
