@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from paralex.functions.responses import after_thinking
 from paralex.operators import models, splits
 from paralex.plans import flows
-from paralex.session import build_session
+from paralex.session import build_session, written
 from paralex.sources import readers, sinks
 
 #: Options of each flow with their defaults; the model's name and the target language come first.
@@ -49,6 +49,9 @@ def arguments(given: list[str] | None = None) -> Namespace:
             p.add_argument("--num_few_shot", type=int, default=5)
             p.add_argument("--num_workers", type=int, default=8)
             p.add_argument("--retries", type=int, default=2)
+            p.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again")
+            p.add_argument("--ledger", default=None, help="folder that keeps answers between runs")
+            p.add_argument("--strict", action="store_true", help="end with an error if a call failed, after all is written")
             p.add_argument("--base_url", default=None, help="another place that speaks the chat completion protocol")
             p.add_argument("--encoder", default=None, help="module:callable that makes the dense retriever's encoder")
             continue
@@ -91,21 +94,22 @@ def predicted(spark: SparkSession, args: Namespace, rows: DataFrame, make=None)
     return flows.answered(rows, make, decoding(args), args.src_lang_name, args.tgt_lang_name, chat) if make else None
 
 
-def _report(metrics: DataFrame, records: DataFrame | None, path: str, prefix: str = "") -> None:
-    """One indented file of a small report, else metrics and JSON lines of any number."""
-    if not sinks.write_json(metrics, records, f"{path}/results.json", prefix):
-        sinks.write_report(metrics, records, path)
-
-
 def few_shot(spark: SparkSession, args: Namespace, make=None) -> DataFrame:
     rows = readers.load(spark, args.dataset, args.path, args.src_lang, args.tgt_lang)
     make = make or models.translator(args.model, args.base_url)
     encoder = named(args.encoder) if args.encoder else models.HashEncoder if args.vectorizer == "dense" and "embedding" not in rows.columns else None
-    options = flows.FewShotOptions(args.src_lang_name, args.tgt_lang_name, args.vectorizer, args.num_few_shot, args.num_workers, encoder, args.retries)
+    ledger = models.Ledger(spark, args.ledger, args.model) if args.ledger else None
+    options = flows.FewShotOptions(args.src_lang_name, args.tgt_lang_name, args.vectorizer, args.num_few_shot, args.num_workers, encoder, args.retries, args.wait, ledger)
     found, metrics = flows.few_shot(splits.select_split(rows, "train"), splits.select_split(rows, "test"), make, options)
     run = f"{args.output}/{sinks.output_name(args.model)}"
     sinks.write_csv(found.select("text_source", "text_target", "prediction"), f"{run}/{args.src_lang}_{args.tgt_lang}_{args.vectorizer}_predictions.csv")
-    _report(metrics, None, run)
+    metrics = written(metrics)
+    sinks.write_json(metrics, None, f"{run}/results.json")
+    failed = metrics.first()["failed"]
+    if failed:
+        sinks.write_csv(found.filter("error is not null").select("verse_id", "error"), f"{run}/{args.src_lang}_{args.tgt_lang}_{args.vectorizer}_errors.csv")
+        if args.strict:
+            raise SystemExit(f"{failed} calls failed")
     return metrics
 
 
@@ -116,7 +120,7 @@ def evaluate(spark: SparkSession, args: Namespace, make=None) -> DataFrame:
     if answered is None:
         raise SystemExit("give --predictions or --model_factory")
     records, metrics = flows.evaluate_corpus(answered, args.split, args.book)
-    _report(metrics, records, f"{args.output}/{sinks.output_name(args.model)}")
+    sinks.write_json(metrics, records, f"{args.output}/{sinks.output_name(args.model)}/results.json")
     return metrics
 
 
@@ -135,7 +139,7 @@ def prepare(spark: SparkSession, args: Namespace, make=None) -> DataFrame | None
     if answered is None:
         return None
     _, metrics = flows.evaluate_corpus(answered, "test")
-    _report(metrics, None, run, "test_")
+    sinks.write_json(metrics, None, f"{run}/results.json", "test_")
     return metrics
 
 

@@ -18,9 +18,11 @@ from functools import partial
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paralex.session import written
+
 
 class Translator(Protocol):
     def generate(self, prompt: str) -> str:
@@ -86,6 +88,12 @@ class ChatTranslator:
     timeout: float = 120.0
     temperature: float = TEMPERATURE
     max_tokens: int = MAX_TOKENS
+    #: Variable of the environment that holds the key where the model runs, so that the key itself isn't sent.
+    key_variable: str | None = None
+
+    def __post_init__(self):
+        if self.key is None and self.key_variable:
+            self.key = os.environ.get(self.key_variable)
 
     def body(self, prompt: str) -> dict:
         return {
@@ -114,10 +122,13 @@ def answer_text(response: dict) -> str:
 
 def translator(model: str, base_url: str | None = None) -> Callable[[], Translator]:
     """What makes the translator for a model's name: one provider needs a key, the other may
-    do without; ``base_url`` names another place that speaks the same protocol."""
+    do without; ``base_url`` names another place that speaks the same protocol.
+
+    Tasks read the key from the environment of their executor; only the variable's name travels.
+    """
     name = provider_of(model)
-    key = credential(name, required=name == "gpt" and base_url is None)
-    return partial(ChatTranslator, model, base_url or BASE_URLS[name], key)
+    credential(name, required=name == "gpt" and base_url is None)
+    return partial(ChatTranslator, model, base_url or BASE_URLS[name], key_variable=KEY_VARIABLES[name])
 
 
 def provider(model: Column) -> Column:
@@ -137,25 +148,47 @@ def _with_answers(rows: DataFrame, work) -> DataFrame:
     return rows.mapInPandas(work, ", ".join([*fields, "response string", "error string"]))
 
 
+#: Answers of a server that the same call may not get again, and the longest wait.
+PASSING = {408, 409, 425, 429, 500, 502, 503, 504}
+LONGEST_WAIT = 300.0
+
+
+def _pause(error: Exception, wait: float, tries: int) -> float | None:
+    """Seconds until the next try: what the server says, else twice as long each time.  None: no other try helps."""
+    said = None
+    if isinstance(error, urllib.error.HTTPError):
+        if error.code not in PASSING:
+            return None
+        said = (error.headers or {}).get("Retry-After")
+    try:
+        return min(LONGEST_WAIT, max(0.0, float(said)))
+    except (TypeError, ValueError):  # nothing is said, or a date
+        return min(LONGEST_WAIT, wait * 2**tries)
+
+
 def _tried(call: Callable, retries: int, wait: float):
-    """``(result, None)``, or ``(None, error)`` when every try failed; waits grow between tries."""
-    for left in range(retries, -1, -1):
+    """``(result, None)``, or ``(None, error)`` when every try failed."""
+    for tries in range(retries + 1):
         try:
             return call(), None
         except Exception as e:  # noqa: BLE001
-            if not left:
+            pause = _pause(e, wait, tries)
+            if tries == retries or pause is None:
                 return None, repr(e)
-            time.sleep(wait * 2 ** (retries - left))
+            time.sleep(pause)
 
 
 def generate(
-    rows: DataFrame, make: Callable[[], Translator], prompt: str = "prompt", workers: int = 8, retries: int = 2, wait: float = 0.0
+    rows: DataFrame, make: Callable[[], Translator], prompt: str = "prompt", workers: int = 8, retries: int = 2, wait: float = 1.0, ledger: Ledger | None = None
 ) -> DataFrame:
     """``rows`` with ``response`` and ``error``.
 
     ``make`` runs once a task; calls run on ``workers`` threads, since they wait.
-    A row whose calls all fail has an error instead of stopping the job.
+    A row whose calls all fail has an error instead of stopping the job.  With a ``ledger``
+    each different prompt is asked once, and not at all if it holds the answer.
     """
+    if ledger:
+        return ledger.generate(rows, lambda some: generate(some, make, prompt, workers, retries, wait), prompt, workers)
 
     def work(frames):
         model = make()
@@ -167,6 +200,48 @@ def generate(
     return _with_answers(rows, work)
 
 
+class Ledger:
+    """Answers of one model, kept in a folder by prompt.
+
+    Answers are asked for by small tasks, and what a task wrote stays when it ends, even if
+    the run is stopped before its other tasks do.  So the next run asks only what has no
+    answer yet: what failed, and what the tasks that were cut off had asked.
+    """
+
+    #: Prompts of one task for each thread.
+    ROUNDS = 4
+    SCHEMA = "key string, model string, prompt string, response string, error string, at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, model: str):
+        self.spark, self.path, self.model = spark, path.rstrip("/"), model
+
+    def _key(self, prompt: str) -> Column:
+        return F.sha2(F.concat(F.lit(self.model), F.lit("\0"), F.coalesce(F.col(prompt), F.lit(""))), 256)
+
+    def entries(self) -> DataFrame:
+        """``key, response, error`` of each prompt: its answer, or the error of its last try."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], "key string, response string, error string")
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        last = F.max(F.struct(F.col("error").isNull().alias("good"), "at", "response", "error")).alias("e")
+        return rows.filter(F.col("model") == self.model).groupBy("key").agg(last).select("key", "e.response", "e.error")
+
+    def generate(self, rows: DataFrame, ask: Callable[[DataFrame], DataFrame], prompt: str, workers: int) -> DataFrame:
+        known = self.entries().filter("error is null").select(F.col("key").alias("_key"))
+        wanted = rows.select(self._key(prompt).alias("_key"), F.col(prompt)).dropDuplicates(["_key"])
+        missing = written(wanted.join(known, "_key", "left_anti"))
+        n = missing.count()
+        if n:
+            tasks = -(-n // (self.ROUNDS * workers))
+            got = ask(missing.repartition(tasks, "_key"))
+            out = got.select(F.col("_key").alias("key"), F.lit(self.model).alias("model"), F.col(prompt).alias("prompt"), "response", "error", F.current_timestamp().alias("at"))
+            # What a task writes is in its place when the task ends, not when the whole job does.
+            out.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.path)
+        held = written(self.entries()).withColumnRenamed("key", "_key")
+        return rows.withColumn("_key", self._key(prompt)).join(held, "_key", "left").drop("_key")
+
+
 def generate_batches(
     rows: DataFrame, make: Callable[[Decoding], BatchTranslator], prompt: str = "prompt", decoding: Decoding = Decoding(), retries: int = 0
 ) -> DataFrame:

@@ -25,6 +25,10 @@ class FewShotOptions:
     #: Makes the encoder of the dense retriever, once a task; without one, both sides need a column ``embedding``.
     encoder: Callable[[], models.Encoder] | None = None
     retries: int = 2
+    #: Seconds before the second try of a call that failed; later ones wait twice as long each, or as the server says.
+    wait: float = 1.0
+    #: Keeps answers between runs.
+    ledger: models.Ledger | None = None
 
 
 def few_shot_prompts(train: DataFrame, test: DataFrame, options: FewShotOptions = FewShotOptions(), key: str = "verse_id") -> DataFrame:
@@ -49,14 +53,20 @@ def few_shot(
     train: DataFrame, test: DataFrame, make: Callable[[], models.Translator] = models.EchoTranslator,
     options: FewShotOptions = FewShotOptions(), key: str = "verse_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """Predictions (``text_source, text_target, prediction`` with the key) and metrics.
+    """Predictions (``text_source, text_target, prediction, error`` with the key) and metrics.
 
-    Answers are written before they are scored, so no call is made twice.
+    Answers are written before they are scored, so no call is made twice.  A row whose calls
+    failed has its error and an empty prediction; ``failed`` in the metrics counts these.
     """
     asked = few_shot_prompts(train, test, options, key)
-    answered = written(models.generate(asked, make, workers=options.num_workers, retries=options.retries))
-    rows = answered.select(key, "text_source", "text_target", responses.json_field(F.col("response")).alias("prediction"))
-    return rows, metrics.evaluate(rows, target="text_target")
+    answered = written(models.generate(asked, make, "prompt", options.num_workers, options.retries, options.wait, options.ledger))
+    rows = answered.select(key, "text_source", "text_target", responses.json_field(F.col("response")).alias("prediction"), "error")
+    return rows, with_failures(metrics.evaluate(rows, target="text_target"), rows)
+
+
+def with_failures(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """``scores`` (one row) with ``failed``, the number of ``rows`` that have an error."""
+    return scores.join(rows.agg(F.count("error").alias("failed")), F.lit(True))
 
 
 def answered(rows: DataFrame, make: Callable[[models.Decoding], models.BatchTranslator], decoding: models.Decoding, src: str, tgt: str, chat: bool) -> DataFrame:

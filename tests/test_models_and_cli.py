@@ -184,7 +184,7 @@ def test_few_shot_command(spark, server, corpus, tmp_path, vectorizer):
     given = ["fewshot", "--dataset", "org/tagged-verse", "--path", corpus, "--output", str(tmp_path), "--model", "x/gemini-y", "--vectorizer", vectorizer, "--base_url", url]
     cli.main(given)
     report = json.loads((tmp_path / "gemini-y" / "results.json").read_text())
-    assert report == {"bleu": 100.0, "chrf": 100.0}
+    assert report == {"bleu": 100.0, "chrf": 100.0, "failed": 0}
     found = sinks.read_csv(spark, f"{tmp_path}/gemini-y/ind_ptu_{vectorizer}_predictions.csv", "text_source string, text_target string, prediction string")
     assert found.count() == 5
 
@@ -217,19 +217,91 @@ def test_preparing_commands(spark, corpus, tmp_path, shouting):
     assert texts.columns == ["text"] and "<|assistant|>\none two" in texts.first()["text"]
 
 
-def test_a_large_report_is_not_one_file(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "SMALL_REPORT", 2)
-    metrics, rows = spark.createDataFrame([(1.0,)], "bleu double"), spark.range(3)
-    assert not sinks.write_json(metrics, rows, f"{tmp_path}/r.json") and sinks.write_json(metrics, rows.limit(2), f"{tmp_path}/é/r.json")
-    assert (tmp_path / "é" / "r.json").read_text() == json.dumps({"eval_metrics": {"bleu": 1.0}, "results": [{"id": i} for i in range(2)]}, indent=2)
+@pytest.mark.parametrize("n", [0, 1, 2, 40_000])
+def test_a_report_is_one_file_at_every_size(spark, tmp_path, n):
+    metrics, rows = spark.createDataFrame([(1.0,)], "bleu double"), spark.range(0, n, 1, 7).select("id", F.lit('a"\n,]é').alias("text"))
+    for _ in range(2):  # the second replaces the first
+        sinks.write_json(metrics, rows, f"{tmp_path}/é/r.json")
+    want = {"eval_metrics": {"bleu": 1.0}, "results": [{"id": i, "text": 'a"\n,]é'} for i in range(n)]}
+    assert (tmp_path / "é" / "r.json").read_text() == json.dumps(want, indent=2, ensure_ascii=False)
+    sinks.write_json(metrics, None, f"{tmp_path}/m.json", "test_")
+    assert (tmp_path / "m.json").read_text() == json.dumps({"test_bleu": 1.0}, indent=2)
 
 
-def test_written_tables_are_cleared(spark, tmp_path):
+def test_failures_are_counted(spark, server, tmp_path):
+    url, _ = server
+    train = spark.createDataFrame([("a", "x", "y")], "verse_id string, text_source string, text_target string")
+    test = spark.createDataFrame([("b", "always fails", "y"), ("c", "satu dua", "satu dua")], train.schema)
+    options = flows.FewShotOptions(num_few_shot=0, retries=1, wait=0.01)
+    rows, scores = flows.few_shot(train, test, models.translator("gemini", url), options)
+    got = {r["verse_id"]: r for r in rows.collect()}
+    assert got["b"]["prediction"] == "" and "500" in got["b"]["error"] and got["c"]["error"] is None
+    assert scores.first()["failed"] == 1
+
+
+def test_waits_grow_and_honour_the_server(monkeypatch):
+    import urllib.error
+
+    waits = []
+    monkeypatch.setattr(models.time, "sleep", waits.append)
+
+    def failing(code, said=None):
+        def call():
+            raise urllib.error.HTTPError("u", code, "no", {"Retry-After": said} if said else {}, None)
+
+        return call
+
+    assert "500" in models._tried(failing(500), 3, 1.0)[1] and waits == [1.0, 2.0, 4.0]
+    waits.clear()
+    models._tried(failing(429, "7"), 2, 1.0)
+    assert waits == [7.0, 7.0]
+    waits.clear()
+    assert models._tried(failing(401), 5, 1.0)[0] is None and waits == []
+    models._tried(failing(503, "999999"), 1, 1.0)
+    assert waits == [models.LONGEST_WAIT]
+
+
+def test_a_ledger_asks_only_what_has_no_answer(spark, server, tmp_path):
+    url, seen = server
+    make = models.translator("gemini", url)
+    ledger = models.Ledger(spark, f"file://{tmp_path}/ledger", "gemini")
+    rows = spark.createDataFrame([(i, f"t\n\nX: p{i % 3}\nY:") for i in range(6)] + [(6, "always fails"), (7, None)], "id int, prompt string")
+    ask = lambda some: {r["id"]: r for r in models.generate(some, make, retries=0, ledger=ledger).collect()}
+    seen.clear()
+    got = ask(rows.filter("id < 4"))  # a run that came half way
+    assert len(seen) == 3 and json.loads(got[3]["response"]) == {"translation": "p0"}
+    got = ask(rows.filter("id < 7"))
+    assert len(seen) == 4 and len(got) == 7 and "500" in got[6]["error"] and got[5]["error"] is None
+    got = ask(rows.filter("id < 7"))  # what failed is asked again
+    assert len(seen) == 5 and got[6]["response"] is None
+    assert models.Ledger(spark, ledger.path, "other").entries().count() == 0
+    assert ask(rows)[7]["id"] == 7
+
+
+def test_the_key_is_not_sent(monkeypatch):
+    from pyspark import cloudpickle
+
+    monkeypatch.setenv(models.KEY_VARIABLES["gpt"], "very-secret")
+    assert b"very-secret" not in cloudpickle.dumps(models.translator("gpt-4o"))
+
+
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
     from paralex import session
 
-    since = session.written_so_far()
-    first, second = session.written(spark.range(3)), session.written(spark.range(4))
-    session.clear_written(spark, since, keep=second)
-    assert second.count() == 4 and session.written_so_far() == since + 1
+    made = {}
+
+    def other():
+        made["theirs"] = session.written(spark.range(5))
+
+    with session.scope() as held:
+        first, second = session.written(spark.range(3)), session.written(spark.range(4))
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+    assert len(held) == 2
+    session.clear_written(spark, held, keep=second)
+    assert second.count() == 4 and made["theirs"].count() == 5 and len(held) == 1
     with pytest.raises(Exception):
         first.collect()

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paralex.functions import arrays
-from paralex.operators import checkpoints, metrics, models, retrieval
+from paralex.functions.text import tokens_words, tokens_ws
+from paralex.operators import checkpoints, index, metrics, models, retrieval
 from paralex.plans import flows
 
 
@@ -100,3 +101,77 @@ def test_few_shot_flow(spark):
     assert scores.count() == 1
     shown = flows.chat_texts(test, "S", "T", training=False).filter(F.col("text").endswith("<|assistant|>\n"))
     assert shown.columns == ["verse_id", "text_source", "text_target", "text"] and shown.count() == 1
+
+
+
+def plain_bm25(texts, asked, k):
+    import math
+    from collections import Counter
+
+    tf = {i: Counter(t.split()) for i, t in texts}
+    df = Counter(t for c in tf.values() for t in c)
+    n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    idf = {t: floor if v < 0 else v for t, v in raw.items()}
+    out = {}
+    for q, text in asked:
+        scores = []
+        for i, c in tf.items():
+            dl = sum(c.values())
+            scores.append((round(sum(idf[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * dl / mean)) for t in text.split() if t in c), 6), i))
+        out[q] = [(i, s) for s, i in sorted(scores, reverse=True)[:k]]
+    return out
+
+
+def random_texts(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    return [(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 40)))) for i in range(n)]
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["item_id"], r["rank"])):
+        out.setdefault(r["item_id"], []).append((r["doc_id"], r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("block,probed,share", [(128, 80, 0.8), (2, 1, 0.5), (1, 2, 1.0)])
+def test_pruned_search_equals_all_sums(spark, monkeypatch, block, probed, share):
+    from paralex.operators import pruning
+
+    monkeypatch.setattr(index, "BLOCK", block)
+    monkeypatch.setattr(pruning, "PROBED", probed)
+    monkeypatch.setattr(pruning, "SHARE", share)
+    monkeypatch.setattr(pruning, "PAIRS", 50)
+    corpus, asked = random_texts(200, 1), random_texts(12, 2)
+    tally = {}
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = found(retrieval.top_k_bm25(df(corpus, "doc_id"), df(asked, "item_id"), 3, tally=tally))
+    want = plain_bm25(corpus, asked, 3)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 2e-6 for q in got for (_, a), (_, b) in zip(got[q], want[q]))
+    if block == 2:
+        assert tally["sums"] < 0.5 * 12 * 200
+
+
+def test_a_kept_index(spark, tmp_path, monkeypatch):
+    corpus, asked = random_texts(120, 3), spark.createDataFrame(random_texts(6, 4), "item_id long, text string")
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for name, find, tokens in (("b", retrieval.top_k_bm25, tokens_ws), ("t", retrieval.top_k_tfidf, tokens_words)):
+        held = index.Index(spark, f"file://{tmp_path}/{name}", tokens)
+        with pytest.raises(ValueError):
+            held.corpus()
+        held.append(df(corpus[:70]))
+        assert found(find(None, asked, 4, held=held)) == found(find(df(corpus[:70]), asked, 4))
+        held.append(df(corpus[70:]))
+        want = found(find(df(corpus), asked, 4))
+        assert found(find(None, asked, 4, held=held)) == want
+        with monkeypatch.context() as m:  # the second time nothing is counted or weighted again
+            m.setattr(index, "counted", None)
+            m.setattr(index, "blocks_of", None)
+            assert found(find(None, asked, 4, held=held)) == want
