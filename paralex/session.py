@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths made by ``fresh_path`` since the session began or ``clear_written`` ran.
+#: Paths that ``fresh_path`` made outside of any scope, since the session began or ``clear_written`` ran.
 _made: list[str] = []
+#: The paths of the scope that this thread is in.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -44,10 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
     path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    _made.append(path)
+    held = _scope.get()
+    (_made if held is None else held).append(path)
     return path
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths that this thread makes in the block, for ``clear_written``.
+
+    What other threads make meanwhile isn't among them, so whoever clears a scope deletes
+    its own tables only.
+    """
+    held: list[str] = []
+    token = _scope.set(held)
+    try:
+        yield held
+    finally:
+        _scope.reset(token)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe
     from lost executors."""
@@ -64,18 +85,14 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def clear_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete what was written below the shared folder, from the ``since``-th path of
-    this session on; the files that ``keep`` reads stay.
+def clear_written(spark: SparkSession, held: list[str] | None = None, keep: DataFrame | None = None) -> None:
+    """Delete what was written below the shared folder: the paths ``held`` of a scope, else
+    those made outside of any; the files that ``keep`` reads stay.
 
     Results that still read the rest must have been stored before.
     """
-    held = " ".join(keep.inputFiles()) if keep is not None else ""
-    gone = [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in held]
+    paths = _made if held is None else held
+    needed = " ".join(keep.inputFiles()) if keep is not None else ""
+    gone = [p for p in list(paths) if p.rsplit("/", 1)[-1] not in needed]
     _remove(spark, gone)
-    _made[:] = [p for p in _made if p not in gone]
-
-
-def written_so_far() -> int:
-    """How many paths this session has written and not deleted."""
-    return len(_made)
+    paths[:] = [p for p in paths if p not in gone]
