@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -32,19 +33,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_lock = threading.Lock()
+_inside: dict[int, tuple[int, str | None]] = {}
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run in the block send batches of BATCH_BYTES; the session's setting is put back after it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_BYTES))
+    """Jobs run in the block send batches of BATCH_BYTES.
+
+    The session's setting is put back when the last block of all threads ends, so none
+    takes another's for the user's own.
+    """
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", id(spark._jsparkSession)
+    with _lock:
+        blocks, before = _inside.get(own, (0, None))
+        if not blocks:
+            before = spark.conf.get(key, None)
+            spark.conf.set(key, str(BATCH_BYTES))
+        _inside[own] = blocks + 1, before
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _lock:
+            blocks, before = _inside.pop(own)
+            if blocks > 1:
+                _inside[own] = blocks - 1, before
+            elif before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
 
 
 def durable(df: DataFrame) -> DataFrame:

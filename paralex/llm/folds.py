@@ -16,6 +16,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def sampled(key: Column, share: float, seed: int) -> Column:
+def sampled(key: Column, share: float | Column, seed: int) -> Column:
     """About ``share`` of the keys, the same ones however the rows are dealt."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_MARKS)) < int(min(1.0, share) * _MARKS) + 1
+    least = (F.least(F.lit(1.0), share) * _MARKS).cast("long") + 1 if isinstance(share, Column) else int(min(1.0, share) * _MARKS) + 1
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_MARKS)) < least

@@ -9,13 +9,15 @@ of two layers, in numpy, gives a logit, and one temperature, fitted on a part
 held back, makes it a probability.  Words of over ``LONG_WORD`` characters are cut
 into pieces of that length, every one of which counts.
 
-Learning takes about ``LEARN_ROWS`` different labelled texts, fewer where they would
-hold more than ``LEARN_TOTAL`` bytes in expectation, never of the held-out fold.  They
-are drawn by a hash of id and text whose share follows from the numbers and sizes of
-all different labelled texts, so the sample is the same however rows are ordered,
-dealt or repeated, and a text of any length can be in it, whole.  One task learns from
-it, part by part, and only the finished model (bounded by ``MOST_WORDS``) reaches the
-driver.  Scoring takes all documents and whole texts.
+Learning takes passages of up to ``PASSAGE`` characters, so that long texts can be learned
+from and none outweighs the others: ``PER_TEXT`` of a text at most (in expectation), about
+``LEARN_ROWS`` of all, fewer where they would hold more than ``LEARN_TOTAL`` bytes, but
+``LEAST_OF_CLASS`` of each class (or all), which then weigh less each.  They are drawn by a
+hash of id, text and place, with shares that follow from all different labelled texts that
+aren't held out, so the sample is the same however rows are ordered, dealt or repeated.  Any
+sample of both classes is learned from, however small.  One task learns, part by part, and
+only the finished model (bounded by ``MOST_WORDS``) reaches the driver.  Scoring takes all
+documents and whole texts.
 
 Defined results: texts without words score the share of good ones among the
 learned; an id labelled more than once has its mean label; without labels the
@@ -41,6 +43,9 @@ from paralex.llm.common import apart, from_text, map_batches, quoted, small_batc
 from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEARN_TOTAL = 6_000, 32 << 20
+PASSAGE, PER_TEXT, LEAST_OF_CLASS = 8_192, 8, 200
+#: Passages that the temperature is fitted on at least; with fewer it is one.
+LEAST_BACK = 20
 DIMS, NONZERO, BUCKETS = 48, 6, 4_096
 WINDOW, LEAST_COUNT, MOST_WORDS = 2, 5, 20_000
 HIDDEN, EPOCHS, SEED = 24, 250, 6
@@ -189,9 +194,9 @@ class Pooler:
 class Network:
     """inputs -> tanh -> logit / temperature."""
 
-    def __init__(self, inputs: np.ndarray, labels: np.ndarray, back: np.ndarray):
-        x, y = inputs[~back], labels[~back]
-        self.share = float(labels.mean())
+    def __init__(self, inputs: np.ndarray, labels: np.ndarray, back: np.ndarray, weights: np.ndarray):
+        x, y, weight = inputs[~back], labels[~back], weights[~back] / weights[~back].sum()
+        self.share = float(np.average(labels, weights=weights))
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         x = self._scaled(x)
         rng = np.random.default_rng(SEED)
@@ -200,7 +205,7 @@ class Network:
         for step in range(1, EPOCHS + 1):
             h = np.tanh(x @ self.w[0] + self.w[1])
             z = h @ self.w[2] + self.w[3]
-            d = (1 / (1 + np.exp(-z)) - y) / len(y)
+            d = (1 / (1 + np.exp(-z)) - y) * weight
             dh = np.outer(d, self.w[2]) * (1 - h * h)
             grads = [x.T @ dh + 1e-4 * self.w[0], dh.sum(axis=0), h.T @ d + 1e-4 * self.w[2], d.sum(keepdims=True)]
             for i, g in enumerate(grads):  # Adam
@@ -208,10 +213,10 @@ class Network:
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 self.w[i] = self.w[i] - 0.02 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
         self.temperature = 1.0
-        if back.any():
+        if back.sum() >= LEAST_BACK:
             z, y = self.logits(inputs[back]), labels[back]
             trial = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-            loss = [np.logaddexp(0, np.where(y > 0.5, -z, z) / t).mean() for t in trial]
+            loss = [np.average(np.logaddexp(0, np.where(y > 0.5, -z, z) / t), weights=weights[back]) for t in trial]
             self.temperature = float(trial[int(np.argmin(loss))])
 
     def _scaled(self, inputs: np.ndarray) -> np.ndarray:
@@ -225,32 +230,41 @@ class Network:
         return np.where(inputs[:, -1] > 0, self.share, out)  # no words: nothing but the share of good ones
 
 
-def fit(texts: list[str], good: list[bool]) -> tuple[WordSpace, Network] | float:
+def fit(texts: list[str], good: list[bool], weights: list[float] | None = None) -> tuple[WordSpace, Network] | float:
     """The word space and network, or a constant score if there is nothing to tell apart."""
     y = np.array(good, np.float64)
-    if len(y) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
     space = WordSpace()
     space.learn(texts)
     pool = Pooler(space)
     x = np.array([pool.vector(t) for t in texts])
     back = np.random.default_rng(SEED).random(len(y)) < 0.2
-    if not 0 < y[~back].mean() < 1:
+    if back.sum() < LEAST_BACK or not 0 < y[~back].mean() < 1:
         back[:] = False
-    return space, Network(x, y, back)
+    return space, Network(x, y, back, np.ones(len(y)) if weights is None else np.array(weights))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, good`` of the labelled texts to learn from, each once."""
+    """``doc_id, text, good, weight`` of the passages to learn from, each once."""
     usable = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     rated = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
+    own = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
+    passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / PASSAGE)).cast("int")
+    part = F.least(F.lit(1.0), PER_TEXT / F.col("passages"))
     # Texts are known by a hash here, so that narrow rows move.
-    each = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    sums = each.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(rated, "doc_id", "left_semi")
-    n, total = (x or 0 for x in sums.agg(F.sum("n"), F.sum("size")).first())
-    share = min(1.0, LEARN_ROWS / max(1, n), LEARN_TOTAL / max(1, total))
-    drawn = docs.select("doc_id", "text").filter(sampled(F.struct("doc_id", F.xxhash64("text")), share, SEED) & ~held_out(F.col("doc_id")))
-    return drawn.distinct().join(rated, "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    each = own.select("doc_id", F.xxhash64("text").alias("mark"), passages.alias("passages"), size).distinct().join(rated, "doc_id")
+    sums = each.groupBy("good").agg(F.sum(F.col("passages") * part).alias("n"), F.sum(F.col("size") * part).alias("size")).collect()
+    n, total = (max(1.0, float(sum(r[c] for r in sums))) for c in ("n", "size"))
+    share = min(1.0, LEARN_ROWS / n, LEARN_TOTAL / total)
+    of_class = {r["good"]: min(1.0, max(share, LEAST_OF_CLASS / float(r["n"]))) for r in sums}
+    mine = F.when(F.col("good"), of_class.get(True, 1.0)).otherwise(of_class.get(False, 1.0))
+    rows = own.join(rated, "doc_id").withColumn("passages", passages)
+    place = lambda j: F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"), j.alias("j"))
+    drawn = F.filter(F.sequence(F.lit(0), F.col("passages") - 1), lambda j: sampled(place(j), part * mine, SEED))
+    rows = rows.select("doc_id", "text", "good", (F.lit(share) / mine).alias("weight"), F.explode(drawn).alias("j"))
+    return rows.withColumn("text", F.substring("text", F.col("j") * PASSAGE + 1, F.lit(PASSAGE))).distinct().drop("j")
 
 
 def learn(docs: DataFrame, labels: DataFrame):
@@ -258,14 +272,15 @@ def learn(docs: DataFrame, labels: DataFrame):
     drawn = sample(docs, labels).repartition(1).sortWithinPartitions("doc_id", "text")
 
     def work(batches):
-        texts, good = [], []
+        texts, good, weights = [], [], []
         for batch in batches:
             texts += batch.column("text").to_pylist()
             good += batch.column("good").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([apart(lambda: pickle.dumps(fit(texts, good)))], pa.binary())], names=["model"])
+            weights += batch.column("weight").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([apart(lambda: pickle.dumps(fit(texts, good, weights)))], pa.binary())], names=["model"])
 
     with small_batches(docs.sparkSession):
-        made = map_batches(drawn.select("text", "good"), work, "model binary").collect()  # one row
+        made = map_batches(drawn.select("text", "good", "weight"), work, "model binary").collect()  # one row
     return pickle.loads(made[0]["model"]) if made else 0.5
 
 

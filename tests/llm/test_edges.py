@@ -113,6 +113,51 @@ def test_long_labelled_texts_are_learned_from(spark):
     assert all(r["predicted"] == r["doc_id"] % 2 for r in quality.classify(docs, labels).collect())
 
 
+def test_a_sample_has_passages_of_long_texts_and_both_classes(spark, monkeypatch):
+    """The bounds at a hundredth of their size: 120 labelled texts of 50 kB against 320 kB, one of them of the rare class."""
+    for name, value in (("LEARN_TOTAL", 320 << 10), ("PASSAGE", 500), ("LEAST_OF_CLASS", 4)):
+        monkeypatch.setattr(quality, name, value)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["the", "house", "stands"] if i % 60 else ["BUY!!", "x$$$"], k=9_000))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 60 > 0)) for i in range(120)], "doc_id long, quality int")
+    got = quality.sample(docs, labels).collect()
+    assert len({r["doc_id"] for r in got}) > 60 and sum(len(r["text"]) for r in got) < 2 * (320 << 10)
+    assert {r["good"] for r in got} == {True, False} and max(len(r["text"]) for r in got) == 500
+    assert len({r["weight"] for r in got}) == 2
+    out = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert all(out[i]["predicted"] == int(i % 60 > 0) for i in range(120))
+
+
+def test_few_labels_of_both_classes_are_learned_from(spark):
+    texts = ["the house stands near the water"] * 5 + ["BUY!! NOW!! x$$$"] * 6 + [None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(11)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(docs, labels).collect()}
+    assert all(got[i] == int(i < 5) for i in range(11))
+
+
+def test_batches_of_threads_leave_the_setting(spark):
+    import threading
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, first, second = spark.conf.get(key, None), threading.Event(), threading.Event()
+
+    def outer():
+        with common.small_batches(spark):
+            first.set()
+            second.wait(20)
+
+    thread = threading.Thread(target=outer)
+    thread.start()
+    first.wait(20)
+    with common.small_batches(spark):
+        second.set()
+        thread.join()
+        assert spark.conf.get(key) == str(common.BATCH_BYTES)
+    assert spark.conf.get(key, None) == before
+
+
 def test_words_of_any_length_count(monkeypatch):
     assert [w for part in quality.words_of("ab " + "c" * 130 + "\nd") for w in part] == ["ab", "c" * 64, "c" * 64, "cc", "d"]
     text = "The house, 12 trees " * 400
