@@ -32,6 +32,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from paralex.llm.folds import held_out, sampled
 
 LEARN_ROWS, LEARN_TOTAL = 6_000, 32 << 20
 PASSAGE, PER_TEXT, LEAST_OF_CLASS = 8_192, 8, 200
+#: Most ids of a class that are sent to the texts.
+NEAR_IDS = 100_000
 #: Passages that the temperature is fitted on at least; with fewer it is one.
 LEAST_BACK = 20
 DIMS, NONZERO, BUCKETS = 48, 6, 4_096
@@ -255,16 +258,23 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Texts are known by a hash here, so that narrow rows move.
     size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
     each = own.select("doc_id", F.xxhash64("text").alias("mark"), passages.alias("passages"), size).distinct().join(rated, "doc_id")
-    sums = each.groupBy("good").agg(F.sum(F.col("passages") * part).alias("n"), F.sum(F.col("size") * part).alias("size")).collect()
+    sums = each.groupBy("good").agg(F.sum(F.col("passages") * part).alias("n"), F.sum(F.col("size") * part).alias("size"), F.count_distinct("doc_id").alias("ids")).collect()
     n, total = (max(1.0, float(sum(r[c] for r in sums))) for c in ("n", "size"))
     share = min(1.0, LEARN_ROWS / n, LEARN_TOTAL / total)
-    of_class = {r["good"]: min(1.0, max(share, LEAST_OF_CLASS / float(r["n"]))) for r in sums}
-    mine = F.when(F.col("good"), of_class.get(True, 1.0)).otherwise(of_class.get(False, 1.0))
-    rows = own.join(rated, "doc_id").withColumn("passages", passages)
     place = lambda j: F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"), j.alias("j"))
-    drawn = F.filter(F.sequence(F.lit(0), F.col("passages") - 1), lambda j: sampled(place(j), part * mine, SEED))
-    rows = rows.select("doc_id", "text", "good", (F.lit(share) / mine).alias("weight"), F.explode(drawn).alias("j"))
-    return rows.withColumn("text", F.substring("text", F.col("j") * PASSAGE + 1, F.lit(PASSAGE))).distinct().drop("j")
+    found = []
+    for r in sums:
+        mine = min(1.0, max(share, LEAST_OF_CLASS / float(r["n"])))
+        of_class, own_rows = rated.filter(F.col("good") == r["good"]), own.withColumn("passages", passages)
+        drawn = F.filter(F.sequence(F.lit(0), F.col("passages") - 1), lambda j: sampled(place(j), part * mine, SEED))  # noqa: B023
+        # Texts don't move: few ids are sent to them, and of many ids' texts few are drawn.
+        if r["ids"] <= NEAR_IDS:
+            of_class = F.broadcast(of_class)
+        rows = own_rows.withColumn("drawn", drawn).filter(F.size("drawn") > 0).join(of_class, "doc_id")
+        rows = rows.select("doc_id", "text", "good", F.lit(share / mine).alias("weight"), F.explode("drawn").alias("j"))
+        found.append(rows.withColumn("text", F.substring("text", F.col("j") * PASSAGE + 1, F.lit(PASSAGE))))
+    none = own.select("doc_id", "text", F.lit(True).alias("good"), F.lit(1.0).alias("weight"), F.lit(0).alias("j")).limit(0)
+    return reduce(DataFrame.unionByName, found or [none]).distinct().drop("j")
 
 
 def learn(docs: DataFrame, labels: DataFrame):

@@ -89,6 +89,7 @@ def test_from_text_keeps_rows_in_order(spark):
 
 def test_the_quality_sample_is_of_rows_alone(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEARN_TOTAL", 200_000)
+    monkeypatch.setattr(quality, "LEAST_OF_CLASS", 20)
     rng = random.Random(4)
     good = [" ".join(rng.choices(["the", "house", "near", "water"], k=400)) for _ in range(300)]
     bad = [" ".join(rng.choices(["BUY!!", "x$$$", "cheap*"], k=400)) for _ in range(300)]
