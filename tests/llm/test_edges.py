@@ -116,7 +116,7 @@ def test_long_labelled_texts_are_learned_from(spark):
 
 def test_a_sample_has_passages_of_long_texts_and_both_classes(spark, monkeypatch):
     """The bounds at a hundredth of their size: 120 labelled texts of 50 kB against 320 kB, one of them of the rare class."""
-    for name, value in (("LEARN_TOTAL", 320 << 10), ("PASSAGE", 500), ("LEAST_OF_CLASS", 4)):
+    for name, value in (("LEARN_TOTAL", 320 << 10), ("PASSAGE", 500), ("LEAST_OF_CLASS", 20)):
         monkeypatch.setattr(quality, name, value)
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["the", "house", "stands"] if i % 60 else ["BUY!!", "x$$$"], k=9_000))) for i in range(120)]
