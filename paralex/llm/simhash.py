@@ -13,8 +13,10 @@ parent, and drops a whole node once the sum exceeds the distance, or if all it
 holds is already linked to the searcher.  Only a spanning forest leaves a group.
 
 A group over ``GROUP_ROWS`` fingerprints is dealt anew by five blocks of the
-bits that its key leaves open; pairs within the distance still meet in one of
-them.  Nothing is capped or dropped.
+bits that its key leaves open, and so are groups of those, until every one fits;
+pairs within the distance still meet in one of them.  Each time a fifth of the open
+bits is settled, so at most seven rounds leave 14 bits, which 16,384 fingerprints
+fill.  Nothing is capped or dropped.
 
 ``one_of_similar`` links by the similarity of the texts' sets of shingles instead of
 by a few bits; see there.
@@ -27,7 +29,7 @@ unchanged whatever their names.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -141,6 +143,12 @@ def block_masks(bits: list[int], blocks: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(parts, agree)]
 
 
+def _inner(mask: int, distance: int) -> list[int]:
+    """Blocks of the bits that a mask leaves open; two fingerprints of its group agree on one at least."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    return block_masks(bits, distance + 1, 1)
+
+
 def choices(nodes: int, distance: int = DISTANCE) -> list[int]:
     """Masks that any two fingerprints within the distance agree on at least one of.
 
@@ -155,33 +163,43 @@ def choices(nodes: int, distance: int = DISTANCE) -> list[int]:
 
 def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``a, b``: forest links between distinct fingerprints (column ``fp``)."""
+
+    def keyed(rows: DataFrame, masks: Column) -> DataFrame:
+        spread = rows.select("fp", F.explode(masks).alias("mask"))
+        return spread.select("fp", F.struct("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).alias("group"))
+
     masks = choices(nodes.count(), distance)
-    keyed = nodes.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("choice", "key")
-    )
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    # Groups of one have nothing to link; large ones are dealt anew.
-    keyed = keyed.join(sizes, ["choice", "key"])
-    finer = F.lit(None).cast("array<bigint>")
-    for i, mask in enumerate(masks):
-        inner = block_masks([b for b in range(64) if not mask >> b & 1], distance + 1, 1)
-        finer = F.when(F.col("choice") == i, F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in inner))).otherwise(finer)
-    finer = F.when(F.col("n") > GROUP_ROWS, finer).otherwise(F.array(F.lit(0).cast("bigint")))
-    rows = keyed.select("choice", "key", "fp", F.posexplode(finer).alias("part", "sub"))
-    dealt = rows.repartition("choice", "key", "part", "sub").sortWithinPartitions("choice", "key", "part", "sub")
+    most = max(GROUP_ROWS, 1 << distance)  # a larger group leaves over ``distance`` bits open
+    rows = keyed(nodes, F.array(*(F.lit(_signed(m)) for m in masks)))
+    fitting = []
+    while True:
+        sizes = durable(rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("rows", F.col("n")))
+        # Groups of one have nothing to link; large ones are dealt anew, until all fit.
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sized = join_spread(rows, sizes, "group", "rows", total)
+        fitting.append(sized.filter(F.col("n") <= most).select("fp", "group"))
+        # Masks, not groups: their number follows from the choices and the depth alone.
+        large = [r[0] for r in sizes.filter(F.col("n") > most).select("group.mask").distinct().collect()]
+        if not large:
+            break
+        finer = [(m, [_signed(m % (1 << 64) | block) for block in _inner(m, distance)]) for m in large]
+        finer = F.broadcast(nodes.sparkSession.createDataFrame(finer, "of long, finer array<long>"))
+        again = sized.filter(F.col("n") > most).select("fp", F.col("group.mask").alias("of")).join(finer, "of")
+        rows = durable(keyed(again, F.col("finer")).distinct())
+    dealt = reduce(DataFrame.unionByName, fitting).select("group.mask", "group.key", "fp")
+    dealt = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
 
     def work(batches):
-        key, fps = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
-
         def links(k, f):
             a, b = block_forest(k, f, distance)
+            a, b = a[a != b], b[a != b]  # a group may come from two rounds
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "key", "part", "sub")])
+            k = np.column_stack([batch.column(c).to_numpy() for c in ("mask", "key")])
             f = batch.column("fp").to_numpy().view(np.uint64)
             held.append((k, f))
             if (k[0] == k[-1]).all() and (held[0][0][0] == k[0]).all():

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -74,6 +75,33 @@ def test_links_as_over_all_pairs(spark, monkeypatch, group_rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in got.values()})
 
 
+def test_a_ball_of_fingerprints_is_dealt_until_groups_fit(spark, monkeypatch):
+    """All within four bits of one centre, so that every first group is far too large."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 400)
+    rng = np.random.default_rng(9)
+    ball = np.full(6_000, 0x9E3779B97F4A7C15, np.uint64)
+    for _ in range(4):
+        ball ^= np.uint64(1) << rng.integers(0, 64, len(ball), dtype=np.uint64)
+    far = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    fps = np.unique(np.r_[ball, far])
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    plain = simhash.block_forest
+
+    def small_only(key, fps, distance):
+        sizes = np.diff(np.r_[simhash._starts(key), len(fps)])
+        assert (sizes <= 400).all(), sizes.max()
+        return plain(key, fps, distance)
+
+    monkeypatch.setattr(simhash, "block_forest", small_only)
+    roots = {r["node"]: r["root"] for r in components.components(simhash.near_links(nodes)).collect()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    want = simhash.forest(len(fps), *np.nonzero(np.triu(near, 1)))
+    groups = {}
+    for f, w in zip(fps.view(np.int64).tolist(), want.tolist()):
+        groups.setdefault(w, set()).add(roots.get(f, f))
+    assert all(len(g) == 1 for g in groups.values()) and len(set(map(tuple, groups.values()))) == len(groups)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e"), (9, "a b c d e"), (None, "other words here now"), (5, "five five"), (5, "five five"), (5, "not so five at all")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
