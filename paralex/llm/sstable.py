@@ -12,7 +12,8 @@ all numbers little-endian.  Ids take 2 bytes if the vocabulary and the end id al
 4; an id that doesn't fit is an error.
 A lookup tests the filter, searches the index by halves and reads one block.
 
-Shards are dealt by range, so the order of shards is the order of documents.
+Texts are dealt by range to tasks, whose number follows the bytes of all texts, and a
+task begins a new shard when one is full; the order of shards is the order of documents.
 Writers name files after the attempt, and the manifest lists those of the
 attempts that succeeded: a lost executor or a repeated task leaves no wrong file.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +45,9 @@ from paralex.session import fresh_path
 END_ID = 2
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: A task that has written so much goes on in a new shard, so what a writer holds until it
+#: closes (16 bytes a record, 45 a block) is bounded; tasks get so many bytes of text.
+SHARD_BYTES, SHARD_RECORDS, TASK_BYTES = 256 << 20, 1 << 21, 1 << 30
 FOOTER = struct.Struct("<QQQQQQIII8s")
 MAGIC = b"PXSSTAB1"
 
@@ -97,7 +102,7 @@ class ShardWriter:
         self.sink, self.width, self.block_bytes = sink, width, block_bytes
         self.at = self.records = self.ids = 0
         self.index: list[bytes] = []
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = array("Q")  # two of each record
         self.digest = 0
         self._open()
 
@@ -118,7 +123,7 @@ class ShardWriter:
         self.block.append(record)
         self.held += len(record)
         self.last = key
-        self.hashes.append((xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1))
+        self.hashes.extend((xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1))
         self.records += 1
         self.ids += len(ids)
         if self.held >= self.block_bytes:
@@ -144,11 +149,13 @@ class ShardWriter:
         bits = max(64, BLOOM_BITS * self.records)
         bloom = np.zeros(-(-bits // 8), np.uint8)
         if self.hashes:
-            a, b = np.array(self.hashes, np.uint64).T
-            for i in range(BLOOM_HASHES):
-                # as in _probes, with the sum not cut to 64 bits
-                spot = (a % np.uint64(bits) + np.uint64(i) * (b % np.uint64(bits))) % np.uint64(bits)
-                np.bitwise_or.at(bloom, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+            pairs = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+            for at in range(0, len(pairs), 65_536):
+                a, b = pairs[at : at + 65_536].T
+                for i in range(BLOOM_HASHES):
+                    # as in _probes, with the sum not cut to 64 bits
+                    spot = (a % np.uint64(bits) + np.uint64(i) * (b % np.uint64(bits))) % np.uint64(bits)
+                    np.bitwise_or.at(bloom, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
         bloom_at = self.at
         self._put(bloom.tobytes())
         check = zlib.crc32(bloom.tobytes(), zlib.crc32(index))
@@ -227,42 +234,62 @@ class Shard:
 
 
 def write_shards(
-    docs: DataFrame, folder: str | None = None, shards: int | None = None, end_id: int = END_ID, path: str | None = None, width: int | None = None
+    docs: DataFrame,
+    folder: str | None = None,
+    tasks: int | None = None,
+    end_id: int = END_ID,
+    path: str | None = None,
+    width: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
+    shard_records: int = SHARD_RECORDS,
 ) -> list[Shard]:
     """Tokenise every whole text and write the shards; the manifest, in order.
 
     The texts, not the ids, are dealt by range: they are smaller on the wire, and
-    finding the ranges doesn't tokenise anything.
+    finding the ranges doesn't tokenise anything.  Small tables take as many tasks as
+    the session shuffles to, larger ones one for each TASK_BYTES of text.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "sstable")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not tasks:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    dealt = rows.repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
+    dealt = rows.repartitionByRange(tasks, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
 
     def work(batches):
         from pyspark import TaskContext
 
         coder = hf.encoder(path)
-        number = TaskContext.get().partitionId()
-        name = f"shard-{number:06d}-{uuid.uuid4().hex}.sst"
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = filesystem(folder)
-        with fs.open_output_stream(f"{root}/{name}.tmp") as sink:
-            writer = ShardWriter(sink, width or coder.width(end_id))
+
+        def records():
             for batch in batches:
                 ids_of = coder.encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of):
-                    writer.add(key_of(doc_id), np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
-            writer.close()
-        fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
-        yield pa.RecordBatch.from_pylist([{"number": number, "uri": f"{folder}/{name}", "records": writer.records, "ids": writer.ids}])
-
-    made = map_batches(dealt.select("doc_id", "text"), work, "number long, uri string, records long, ids long")
+                    yield key_of(doc_id), np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+
+        coming, part = records(), 0
+        record = next(coming, None)
+        while record or not part:
+            name = f"shard-{task:06d}-{part:06d}-{attempt}.sst"
+            with fs.open_output_stream(f"{root}/{name}.tmp") as sink:
+                writer = ShardWriter(sink, width or coder.width(end_id))
+                while record and writer.at + writer.held < shard_bytes and writer.records < shard_records:
+                    writer.add(*record)
+                    record = next(coming, None)
+                writer.close()
+            fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
+            yield pa.RecordBatch.from_pylist([{"task": task, "part": part, "uri": f"{folder}/{name}", "records": writer.records, "ids": writer.ids}])
+            part += 1
+
+    made = map_batches(dealt.select("doc_id", "text"), work, "task long, part long, uri string, records long, ids long")
     out, start = [], 0
-    for r in sorted(made.collect(), key=lambda r: r["number"]):  # one row a shard
-        out.append(Shard(r["number"], r["uri"], r["records"], r["ids"], start))
+    for r in sorted(made.collect(), key=lambda r: (r["task"], r["part"])):  # one row a shard
+        out.append(Shard(len(out), r["uri"], r["records"], r["ids"], start))
         start += r["ids"]
     return out
 

@@ -163,7 +163,7 @@ def test_packing(docs):
 
 
 def test_shard_files(spark, docs):
-    manifest = sstable.write_shards(docs, shards=3)
+    manifest = sstable.write_shards(docs, tasks=3)
     got = sorted(sstable.read_shards(spark, manifest).collect(), key=lambda r: r["start"])
     at = 0
     keys = []
@@ -176,7 +176,17 @@ def test_shard_files(spark, docs):
     for r in docs.collect():
         texts.setdefault(r["doc_id"], []).append(zlib.crc32(np.array([*library_ids(r["text"]), 2], "<u4").tobytes()))
     assert all(r["ids_crc32"] in texts[r["doc_id"]] for r in got)
-    assert sstable.read_shards(spark, sstable.write_shards(docs.limit(0), shards=2)).count() == 0
+    assert sstable.read_shards(spark, sstable.write_shards(docs.limit(0), tasks=2)).count() == 0
+
+
+def test_shards_begin_anew_when_full(spark, docs):
+    """One task, many records: files follow the data, not the session's partitions."""
+    got = sstable.read_shards(spark, sstable.write_shards(docs, tasks=1)).orderBy("start").collect()
+    manifest = sstable.write_shards(docs, tasks=1, shard_records=7)
+    assert [s.records for s in manifest[:-1]] == [7] * (len(manifest) - 1) and len(manifest) == -(-len(got) // 7)
+    assert sstable.read_shards(spark, manifest).orderBy("start").collect() == got
+    by_size = sstable.write_shards(docs, tasks=1, shard_bytes=3_000)
+    assert len(by_size) > 1 and sstable.read_shards(spark, by_size).orderBy("start").collect() == got
 
 
 def test_lookup_and_damage():
