@@ -6,11 +6,13 @@ directions: a projected squared distance is the true one times a chi-square
 variable of ``DIMS`` degrees.  A kd-tree over projections, fitted on a bounded
 sample, deals all vectors into cells; each cell holds a kd-tree of its own.
 
-A query verifies the true cosine of vectors by growing projected distance, first of
-the ``SEEDS`` nearest, then of the others.  The chi-square test says from which
-projected distance on a vector nearer than the k-th best would have been met already
-with probability ``CONFIDENCE``: leaves beyond it are left out, and so are, one by one,
-the vectors beyond it in other leaves.  The column ``verified`` counts the rest.  A
+A query goes through the tree by growing projected distance: the ``NEAR_LEAVES``
+nearest leaves give its first ``SEEDS`` vectors, whose true cosines are verified, then
+come the other leaves that are still open, their ``SEEDS`` nearest vectors, and the
+rest.  The chi-square test says from which projected distance on a vector nearer than
+the k-th best would have been met already with probability ``CONFIDENCE``: leaves
+beyond it are left out, and so are, one by one, the vectors beyond it in other leaves.
+The columns ``compared`` and ``verified`` count the projections and the cosines.  A
 query first searches its own cell, then the cells that the test leaves open.
 
 Equal vectors are one entry with their k + 1 smallest different ids, each at most k
@@ -40,13 +42,14 @@ from paralex.llm.common import durable
 from paralex.llm.folds import sampled
 
 DIMS, SEED = 32, 20_14
-CONFIDENCE = 0.93
+CONFIDENCE = 0.97
 #: Vectors of the sample that cells are fitted on, and vectors a cell should hold.
 SAMPLE_ROWS, CELL_ROWS = 16_384, 8_192
 #: Queries of one block and bytes of its vectors.
-LEAF_ROWS, BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 64, 2_048, 16 << 20, 256
-#: Nearest projections that a query verifies before the rest are tested.
-SEEDS = 128
+LEAF_ROWS, BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 16, 2_048, 16 << 20, 256
+#: Leaves that a query opens without a bound, and the nearest projections that it
+#: verifies before the rest are tested.
+NEAR_LEAVES, SEEDS = 16, 128
 
 
 def chi_square_quantile(p: float, degrees: int = DIMS) -> float:
@@ -158,47 +161,60 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bo
 
     ``bound`` is a squared distance that the k-th best is known not to exceed.
     Returns arrays (query x k) of scores and rows (-1 where there is none), and how many
-    vectors each query verified.
+    vectors each query compared by projection and verified.
     """
     spots = project(vectors)
     tree = Leaves(spots)
     size = (spots * spots).sum(axis=1)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     scores, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-    verified = np.zeros(len(queries), np.int64)
+    compared, verified = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
     pairs = max(1, BLOCK_BYTES // (8 * vectors.shape[1]))
     at_once = max(1, min(STEP_ROWS, BLOCK_BYTES // (8 * len(vectors))))
     for at in range(0, len(queries), at_once):
         q = queries[at : at + at_once]
         own, place = np.sqrt((q * q).sum(axis=1)), project(q)
-        worst = bound[at : at + at_once].copy()
-        leaf_open = box_gaps(place, tree.low, tree.high) <= limit * worst[:, None]
-        here = tree.rows[leaf_open.any(axis=0)].ravel()
-        here = np.sort(here[here >= 0])
-        if not len(here):
-            continue
-        apart = (place * place).sum(axis=1)[:, None] + size[here] - 2 * place @ spots[here].T
-
-        def verify(i: np.ndarray, r: np.ndarray) -> np.ndarray:
+        worst, length = bound[at : at + at_once].copy(), (place * place).sum(axis=1)
+        best, rows = scores[at : at + at_once], found[at : at + at_once]
+        apart = np.full((len(q), len(vectors)), np.inf)  # projections compared and not verified
+        gaps = box_gaps(place, tree.low, tree.high)
+
+        def reach() -> np.ndarray:
+            return np.minimum(limit * worst, np.finfo(float).max)[:, None]
+
+        def compare(leaves: np.ndarray) -> None:
+            for leaf in np.flatnonzero(leaves.any(axis=0)):
+                who, here = np.flatnonzero(leaves[:, leaf]), tree.rows[leaf]
+                here = here[here >= 0]
+                apart[np.ix_(who, here)] = length[who, None] + size[here] - 2 * place[who] @ spots[here].T
+                compared[at + who] += len(here)
+
+        def verify(i: np.ndarray, r: np.ndarray) -> None:
             parts = [np.einsum("ij,ij->i", vectors[r[x : x + pairs]], q[i[x : x + pairs]]) for x in range(0, len(i), pairs)]
             np.add.at(verified, at + i, 1)
-            return np.concatenate([np.zeros(0), *parts]) / (norms[r] * own[i])
-
-        # The nearest projections of each query first; what they leave open then.
-        near = np.argpartition(apart, SEEDS - 1, axis=1)[:, :SEEDS] if len(here) > SEEDS else np.tile(np.arange(len(here)), (len(q), 1))
-        i, c = np.nonzero(np.take_along_axis(apart, near, 1) <= limit * worst[:, None])
-        c = near[i, c]
-        apart[i, c] = np.inf
-        score = verify(i, here[c])
-        top, _ = _best(i, here[c], score, ids, k, len(q))
-        last = top[:, k - 1]
-        worst = np.minimum(worst, np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
-        j, d = np.nonzero(apart <= np.minimum(limit * worst, np.finfo(float).max)[:, None])
-        more = verify(j, here[d])
-        good = more >= last[j]
-        who, row, both = np.r_[i, j[good]], here[np.r_[c, d[good]]], np.r_[score, more[good]]
-        scores[at : at + len(q)], found[at : at + len(q)] = _best(who, row, both, ids, k, len(q))
-    return scores, found, verified
+            apart[i, r] = np.inf
+            score = np.concatenate([np.zeros(0), *parts]) / (norms[r] * own[i])
+            good = score >= best[i, k - 1]
+            j, x = np.nonzero(rows >= 0)
+            best[:], rows[:] = _best(np.r_[j, i[good]], np.r_[rows[j, x], r[good]], np.r_[best[j, x], score[good]], ids, k, len(q))
+            last = best[:, k - 1]
+            worst[:] = np.minimum(worst, np.where(np.isneginf(last), np.inf, np.maximum(0, 2 - 2 * last)))
+
+        def seeds() -> None:
+            n = min(SEEDS, len(vectors))
+            near = np.argpartition(apart, n - 1, axis=1)[:, :n]
+            i, c = np.nonzero(np.take_along_axis(apart, near, 1) <= reach())
+            verify(i, near[i, c])
+
+        near = np.zeros(gaps.shape, bool)
+        np.put_along_axis(near, np.argsort(gaps, axis=1, kind="stable")[:, :NEAR_LEAVES], True, 1)
+        near &= gaps <= reach()
+        compare(near)
+        seeds()
+        compare(~near & (gaps <= reach()))
+        seeds()
+        verify(*np.nonzero(apart <= reach()))
+    return scores, found, compared, verified
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -220,8 +236,8 @@ def _stack(frame: pd.DataFrame) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENCE) -> DataFrame:
-    """``query_id, rank, vec_id, score, verified``: the k nearest of each query row, and how
-    many different vectors had their cosine verified for it.
+    """``query_id, rank, vec_id, score, compared, verified``: the k nearest of each query row,
+    and how many different vectors had their projection compared and their cosine verified for it.
 
     ``is_query`` is a condition on ``vec_id``.
     """
@@ -234,7 +250,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     base = durable(base.withColumn("least", F.element_at("ids", 1)).withColumn("uid", F.xxhash64("vec")))
     sizes = {r[0]: r[1] for r in base.groupBy("dim").count().collect()}
     total = sum(sizes.values())
-    schema = "query_id long, rank int, vec_id long, score double, verified long"
+    schema = "query_id long, rank int, vec_id long, score double, compared long, verified long"
     if not total:
         return spark.createDataFrame([], schema)
     share = min(1.0, SAMPLE_ROWS / total)
@@ -265,19 +281,19 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     wanted = asked.select("vec", "dim").distinct()
     queries = durable(wanted.join(indexed, ["vec", "dim"]).select("uid", "vec", "dim", "cell"))
 
-    found_schema = "uid long, score double, least long, ids array<long>, verified long"
+    found_schema = "uid long, score double, least long, ids array<long>, compared long, verified long"
 
     def answer(key, left, right):
         if not len(left) or not len(right):
-            return pd.DataFrame({"uid": [], "score": [], "least": [], "ids": [], "verified": []})
+            return pd.DataFrame({"uid": [], "score": [], "least": [], "ids": [], "compared": [], "verified": []})
         q, c, least = _stack(left), _stack(right), right["least"].to_numpy()
         bound = left["bound"].to_numpy() if "bound" in left else np.full(len(q), np.inf)
-        score, row, verified = search(q, c, least, depth, bound, limit)
+        score, row, compared, verified = search(q, c, least, depth, bound, limit)
         i, j = np.nonzero(row >= 0)
         r = row[i, j]
         return pd.DataFrame({
             "uid": left["uid"].to_numpy()[i], "score": score[i, j], "least": least[r], "ids": right["ids"].to_numpy()[r],
-            "verified": np.where(j == 0, verified[i], 0),
+            "compared": np.where(j == 0, compared[i], 0), "verified": np.where(j == 0, verified[i], 0),
         })
 
     #: Rows of each cell, and the blocks that they are dealt in.
@@ -319,11 +335,11 @@ def nearest(rows: DataFrame, is_query, k: int = 5, confidence: float = CONFIDENC
     more = durable(run(reach))
     best = near.unionByName(more).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth)
     lists = best.groupBy("uid").agg(F.collect_list(F.struct("score", "ids")).alias("best"))
-    spent = near.unionByName(more).groupBy("uid").agg(F.sum("verified").alias("verified"))
+    spent = near.unionByName(more).groupBy("uid").agg(F.sum("compared").alias("compared"), F.sum("verified").alias("verified"))
     lists = lists.join(spent, "uid")
     each = asked.join(queries.select("uid", "vec", "dim"), ["vec", "dim"]).select(F.col("vec_id").alias("query_id"), "uid").join(lists, "uid")
     flat = F.flatten(F.transform("best", lambda b: F.transform(b["ids"], lambda i: F.struct((-b["score"]).alias("s"), i.alias("i")))))
     ranked = F.slice(F.array_sort(F.filter(flat, lambda x: x["i"] != F.col("query_id"))), 1, k)
-    return each.select("query_id", "verified", F.posexplode(ranked).alias("p", "x")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"), "verified"
+    return each.select("query_id", "compared", "verified", F.posexplode(ranked).alias("p", "x")).select(
+        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"), "compared", "verified"
     )

@@ -312,7 +312,7 @@ def test_ids_beyond_two_bytes_are_not_cut(spark):
         writer.add(b"\0", np.array([70_000]))
     assert hf.encoder().width(2) == 2 and hf.encoder().width(70_000) == 4
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in sstable.read_shards(spark, sstable.write_shards(docs, shards=2, end_id=70_000)).collect()}
+    got = {r["doc_id"]: r for r in sstable.read_shards(spark, sstable.write_shards(docs, tasks=2, end_id=70_000)).collect()}
     coder = hf.encoder()
     for doc_id, text in ((1, "some text"), (2, "")):
         data = next(iter(coder.encode([text]))) + np.uint32(70_000).tobytes()
@@ -460,11 +460,12 @@ def test_projections_leave_vectors_unverified():
     v = centres[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 64))
     limit = neighbours.chi_square_quantile(neighbours.CONFIDENCE, neighbours.DIMS)
     ids = np.arange(4000)
-    scores, rows, verified = neighbours.search(v[:100], v, ids, 6, np.full(100, np.inf), limit)
+    scores, rows, compared, verified = neighbours.search(v[:100], v, ids, 6, np.full(100, np.inf), limit)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = np.argsort(-(unit[:100] @ unit.T), axis=1)[:, :6]
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(rows, want)]) >= 0.9
     assert verified.mean() < 0.15 * 4000 and (verified >= 6).all()
+    assert compared.mean() < 0.7 * 4000 and (compared >= verified).all()
     assert np.allclose(scores, np.take_along_axis(unit[:100] @ unit.T, rows, 1))
 
 
@@ -478,6 +479,7 @@ def test_the_verified_share_is_a_column(spark, monkeypatch):
     out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
     got = out.groupBy("query_id").agg(F.first("verified").alias("v"), F.countDistinct("verified").alias("n"), F.count("*").alias("k")).collect()
     assert len(got) == 40 and all(r["n"] == 1 and r["k"] == 5 and r["v"] >= 5 for r in got)
+    assert out.filter("compared < verified or compared > 2000").count() == 0
 
 
 @pytest.mark.parametrize("n", [3000, 16_000])
