@@ -159,6 +159,7 @@ SQL: dict[str, str] = {
     "filter_in_books": with_(B, f"SELECT verse_id, book FROM b WHERE book IN ({NT})"),
     "filter_not_in_books": with_(B, f"SELECT verse_id, book FROM b WHERE book NOT IN ({NT})"),
     "filter_book": with_(B, "SELECT verse_id, book FROM b WHERE book = 'ROM'"),
+    "filter_laid_out": with_(SPLIT, "SELECT verse_id, text_source, split, book FROM s WHERE split = 'train' AND book = 'ROM'"),
     "filter_book_optional": with_(B, "SELECT 'None' AS given, count(*) AS n FROM b UNION ALL SELECT '', count(*) FROM b UNION ALL SELECT 'MRK', count(*) FROM b WHERE book = 'MRK'"),
     "dispatch_model": "SELECT doc_id, (['gemini-x', 'gpt-x', 'gpt-gemini-x'])[doc_id % 3 + 1] AS model, (['gemini', 'gpt', 'gemini'])[doc_id % 3 + 1] AS provider FROM documents",
     "missing_tokens": f"SELECT token FROM (VALUES ('the'), ('of'), ('ind_Latn'), ('ptu_Latn'), ('und')) v(token) WHERE token NOT IN (SELECT unnest({tokens('text')}) FROM documents)",

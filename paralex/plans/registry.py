@@ -11,7 +11,7 @@ from paralex.functions import arrays, prompts, responses, text
 from paralex.operators import books, checkpoints, metrics, models, retrieval, splits
 from paralex.plans import flows
 from paralex.session import fresh_path, written
-from paralex.sources import adapters, readers, sinks
+from paralex.sources import adapters, layout, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +120,13 @@ def filter_book_optional(spark, sf_dir):
     return readers.union_splits(counts)
 
 
+@query
+def filter_laid_out(spark, sf_dir):
+    path = fresh_path(spark, "layout")
+    schema = layout.lay_out(splits.assign_splits(adapters.pairs(spark, sf_dir)).select("verse_id", "text_source", "split", "book"), path)
+    return layout.read_laid_out(spark, path, schema, "train", "ROM").select("verse_id", "text_source", "split", "book")
+
+
 @query
 def dispatch_model(spark, sf_dir):
     name = F.element_at(F.array(F.lit("gemini-x"), F.lit("gpt-x"), F.lit("gpt-gemini-x")), (F.col("doc_id") % 3 + 1).cast("int"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from paralex.functions import arrays, prompts, responses, text
 from paralex.operators import books, models, splits
-from paralex.sources import readers, sinks
+from paralex.sources import layout, readers, sinks
 
 
 def rows(spark, values, schema="v string"):
@@ -130,3 +130,18 @@ def test_corpora_are_read_by_pair(spark, tmp_path):
     out = readers.load(spark, "multi-translation", str(tmp_path / "multi"), "x", "y").collect()
     assert [tuple(r) for r in out] == [("test", "MAT 1:1", "MAT", "a", "b")]
     assert sinks.output_name("org/model", "org/data", "x", "y") == "model-data-x-y"
+
+
+def test_a_book_is_read_from_its_folder_alone(spark, tmp_path):
+    values = [("train", "007", "a", i) for i in range(50)] + [("train", "ROM", None, 2), ("test", None, "c", 3), (None, "ROM", "d", 4)]
+    df = spark.createDataFrame(values, "split string, book string, text string, extra int")
+    schema = layout.lay_out(df, f"{tmp_path}/all", file_rows=10)
+    back = layout.read_laid_out(spark, f"{tmp_path}/all", schema)
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    one = layout.read_laid_out(spark, f"{tmp_path}/all", schema, "train", "007")
+    assert one.count() == 50 and len(one.inputFiles()) >= 5
+    assert all("split=train/book=007" in f for f in one.select("text", F.input_file_name().alias("f")).toPandas()["f"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(book" in plan.split("PartitionFilters")[1].split("]")[0]
+    empty = layout.lay_out(df.limit(0), f"{tmp_path}/none")
+    assert layout.read_laid_out(spark, f"{tmp_path}/none", empty, "train", "ROM").count() == 0
