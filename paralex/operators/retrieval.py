@@ -1,4 +1,4 @@
-"""Top-k retrieval: TF-IDF cosine, BM25 and dense vectors.
+"""Top-k retrieval by TF-IDF cosine and BM25 (``dense`` has vectors).
 
 Lexical scores are weights of a query's terms times impacts of a document's; which sums are
 made is decided by bounds (``pruning``).  Texts are counted for one call, or once and for all
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,7 +182,7 @@ def _best_pairs(posts: DataFrame, asked: DataFrame, query: str, key: str) -> Dat
     return posts.select(key, "term").join(asked.select(query, "term"), "term").select(query, key).distinct()
 
 
-def _nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> DataFrame:
+def nothing(queries: DataFrame, corpus: DataFrame, query: str, key: str) -> DataFrame:
     return queries.select(query).limit(0).join(corpus.select(key).limit(0), F.lit(True)).select(
         query, F.lit(0).alias("rank"), key, F.lit(0.0).alias("score")
     )
@@ -243,7 +241,7 @@ def top_k_bm25(
     documents are searched and ``corpus`` isn't read.
     """
     if k <= 0:
-        return _nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
+        return nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
     asked = _asked(queries, query, tokens_ws(F.col(query_text)))
     made, keys = _weighted("bm25", bm25_impacts, corpus, held, asked, key, tokens_ws(F.col(text)))
     times = written(asked.join(made.terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("times")))
@@ -256,7 +254,7 @@ def top_k_tfidf(
 ) -> DataFrame:
     """As ``top_k_bm25``, by cosine of TF-IDF weights; unknown query terms vanish first.  ``held`` is made with ``tokens_words``."""
     if k <= 0:
-        return _nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
+        return nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
     asked = _asked(queries, query, tokens_words(F.col(query_text)))
     made, keys = _weighted("tfidf", tfidf_impacts, corpus, held, asked, key, tokens_words(F.col(text)))
     raw = asked.join(made.terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
@@ -265,68 +263,6 @@ def top_k_tfidf(
     return top_k_lexical(made, times, queries, keys, query, key, k, tally)
 
 
-#: Rows of one block of queries, bytes of one block of the corpus, and cells of the
-#: matrix of products that a task holds at a time.
-QUERY_BLOCK, CORPUS_BYTES, CELLS = 1_024, 16 << 20, 1 << 20
-
-
-def _k_best(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and rows of ``c`` (in descending order of key) of the k best of each of ``q``."""
-    scores, rows = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
-    step = max(1, CELLS // max(1, len(q)))
-    for at in range(0, len(c), step):
-        part = np.round(q @ c[at : at + step].T, DIGITS)
-        scores = np.concatenate([scores, part], axis=1)
-        rows = np.concatenate([rows, np.broadcast_to(np.arange(at, at + part.shape[1]), part.shape)], axis=1)
-        if scores.shape[1] > k:
-            # All above the k-th score, then equal ones by larger key, that is by smaller row.
-            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
-            spare = k - (scores > least).sum(axis=1, keepdims=True)
-            equal = scores == least
-            keep = (scores > least) | equal & (np.cumsum(equal, axis=1) <= spare)
-            scores, rows = scores[keep].reshape(len(q), k), rows[keep].reshape(len(q), k)
-    return scores, rows
-
-
-def top_k_dense(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", query: str = "item_id", vector: str = "embedding") -> DataFrame:
-    """As ``top_k_bm25``, by plain dot product of vectors.
-
-    Queries and corpus are dealt in blocks; a task multiplies two blocks, part by part,
-    and returns k rows a query, so neither side is broadcast or gathered whole.
-
-    Vectors that are null, empty or hold a null take no part, and neither does a query
-    with a vector of another length than a document's.
-    """
-    if k <= 0:
-        return _nothing(queries, corpus, query, key)
-    sound = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
-    queries, corpus = queries.filter(sound), corpus.filter(sound)
-    n_queries = queries.count()
-    n, dim = corpus.agg(F.count("*"), F.max(F.size(vector))).first()
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    c_blocks = max(1, -(-n * 8 * (dim or 1) // CORPUS_BYTES))
-
-    def dealt(df: DataFrame, own: str, blocks: int, other: int, mine: str, theirs: str) -> DataFrame:
-        part = df.select(F.col(own).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_dim", F.size("_v"))
-        part = part.withColumn(mine, F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-        return part.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>")))
-
-    left = dealt(queries, query, q_blocks, c_blocks, "_qb", "_cb")
-    right = dealt(corpus, key, c_blocks, q_blocks, "_cb", "_qb")
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"_query": [], "_doc": [], "score": []})
-        c = c.sort_values("_key", ascending=False)
-        scores, found = _k_best(np.stack(q["_v"].to_numpy()), np.stack(c["_v"].to_numpy()), k)
-        rows = np.repeat(np.arange(len(q)), found.shape[1])
-        return pd.DataFrame({"_query": q["_key"].to_numpy()[rows], "_doc": c["_key"].to_numpy()[found.ravel()], "score": scores.ravel()})
-
-    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
-    found = left.groupBy("_dim", "_qb", "_cb").cogroup(right.groupBy("_dim", "_qb", "_cb")).applyInPandas(best, f"_query {kinds[0]}, _doc {kinds[1]}, score double")
-    return first_k(found.withColumnRenamed("_query", query).withColumnRenamed("_doc", key), query, key, k)
-
-
 def examples_of(ranked: DataFrame, corpus: DataFrame, query: str, key: str, source: str = "text_source", target: str = "text_target") -> DataFrame:
     """``query, examples``: structs (source, target), best first."""
     texts = ranked.join(corpus.select(key, F.col(source).alias("source"), F.col(target).alias("target")), key)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paralex.functions import prompts, responses
-from paralex.operators import books, metrics, models, retrieval, splits
+from paralex.operators import books, dense, metrics, models, retrieval, splits
 from paralex.session import written
 
 RETRIEVERS = {"bm25": retrieval.top_k_bm25, "tfidf": retrieval.top_k_tfidf}
@@ -40,7 +40,7 @@ def few_shot_prompts(train: DataFrame, test: DataFrame, options: FewShotOptions
         train, test = (written(models.encode(rows, options.encoder)) for rows in (train, test))
     corpus = train.withColumnRenamed(key, "_doc")
     if options.vectorizer == "dense":
-        ranked = retrieval.top_k_dense(corpus, test, options.num_few_shot, "_doc", key)
+        ranked = dense.top_k_dense(corpus, test, options.num_few_shot, "_doc", key)
     else:
         find = RETRIEVERS[options.vectorizer]
         ranked = find(corpus, test, options.num_few_shot, "_doc", key, "text_source", "text_source")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import arrays, prompts, responses, text
-from paralex.operators import books, checkpoints, metrics, models, retrieval, splits
+from paralex.operators import books, checkpoints, dense, metrics, models, retrieval, splits
 from paralex.plans import flows
 from paralex.session import fresh_path, written
 from paralex.sources import adapters, layout, readers, sinks
@@ -232,7 +232,7 @@ def topk_bm25(spark, sf_dir):
 def topk_dense(spark, sf_dir):
     corpus, queries = adapters.vectors(spark, sf_dir)
     # A query's own row is a candidate like all others; one more is found and it is left out.
-    found = retrieval.top_k_dense(corpus, queries, 6, "vec_id", "query_id").filter("vec_id <> query_id")
+    found = dense.top_k_dense(corpus, queries, 6, "vec_id", "query_id").filter("vec_id <> query_id")
     return retrieval.first_k(found, "query_id", "vec_id", 5)
 
 

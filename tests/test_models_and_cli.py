@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paralex import cli
 from paralex.functions import arrays
-from paralex.operators import models, retrieval
+from paralex.operators import dense, models, retrieval
 from paralex.plans import flows
 from paralex.sources import sinks
 
@@ -126,21 +126,21 @@ def test_encoder_and_dense_flow(spark):
 
 
 def test_dense_leaves_out_odd_vectors(spark):
-    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [0.5, 0.5]), (6, [1.0])], "doc_id long, embedding array<double>")
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [0.5, 0.5]), (6, [1.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0])], "doc_id long, embedding array<double>")
     asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "item_id long, embedding array<double>")
-    got = [(r["item_id"], r["rank"], r["doc_id"]) for r in retrieval.top_k_dense(corpus, asked, 4).orderBy("rank").collect()]
+    got = [(r["item_id"], r["rank"], r["doc_id"]) for r in dense.top_k_dense(corpus, asked, 4).orderBy("rank").collect()]
     assert got == [(7, 1, 1), (7, 2, 5)]
-    assert retrieval.top_k_dense(corpus.limit(0), asked, 4).count() == 0
+    assert dense.top_k_dense(corpus.limit(0), asked, 4).count() == 0
 
 
 @pytest.mark.parametrize("cells", [1, 7, 1 << 20])
 def test_k_best_in_parts(monkeypatch, cells):
     import numpy as np
 
-    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(dense, "CELLS", cells)
     rng = np.random.default_rng(1)
     q, c = rng.integers(-2, 3, (6, 3)).astype(float), rng.integers(-2, 3, (40, 3)).astype(float)
-    scores, rows = retrieval._k_best(q, c, 5)
+    scores, rows = dense._k_best(q, c, 5)
     for i in range(6):
         want = sorted(range(40), key=lambda j: (-(q[i] @ c[j]), j))[:5]
         assert sorted(rows[i].tolist()) == sorted(want) and sorted(scores[i]) == sorted(q[i] @ c[j] for j in want)

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paralex.functions import arrays
 from paralex.functions.text import tokens_words, tokens_ws
-from paralex.operators import checkpoints, index, metrics, models, retrieval
+from paralex.operators import checkpoints, dense, index, metrics, models, retrieval
 from paralex.plans import flows
 
 
@@ -37,7 +38,33 @@ def test_tfidf(spark):
 def test_dense_ties_take_larger_keys(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "doc_id long, embedding array<double>")
     asked = spark.createDataFrame([(7, [2.0, 0.0])], "item_id long, embedding array<double>")
-    assert ranked(retrieval.top_k_dense(corpus, asked, 2)) == [(2, 2.0), (1, 2.0)]
+    assert ranked(dense.top_k_dense(corpus, asked, 2)) == [(2, 2.0), (1, 2.0)]
+
+
+def vectors_of(kind, n, rng):
+    if kind == "clustered":
+        return rng.normal(size=(12, 8))[rng.integers(0, 12, n)] * 4 + rng.normal(size=(n, 8)) * 0.05
+    if kind == "copies":  # a third of the rows are one vector, the others few
+        return np.where(np.arange(n)[:, None] % 3 == 0, 1.0, rng.integers(-1, 2, (n, 8)))
+    return rng.normal(size=(n, 8))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "copies", "independent"])
+@pytest.mark.parametrize("small", [False, True])
+def test_dense_equals_all_products(spark, monkeypatch, kind, small):
+    rng = np.random.default_rng(5)
+    corpus, asked = vectors_of(kind, 400, rng), vectors_of(kind, 30, np.random.default_rng(5))
+    if small:  # many parts and blocks
+        monkeypatch.setattr(dense, "QUERY_BLOCK", 8)
+        monkeypatch.setattr(dense, "CORPUS_BYTES", 1_000)
+    df = lambda rows, key: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], f"{key} long, embedding array<double>")
+    tally = {}
+    got = found(dense.top_k_dense(df(corpus, "doc_id"), df(asked, "item_id"), 5, tally=tally))
+    scores = np.round(asked @ corpus.T, 6)
+    for q, row in enumerate(scores):
+        want = sorted(((s, i) for i, s in enumerate(row)), reverse=True)[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [s for s, _ in want], atol=2e-6)
+    assert tally["pairs"] == 12_000 and tally["products"] <= (3_000 if kind == "clustered" else 12_000)
 
 
 GOLDENS = [
