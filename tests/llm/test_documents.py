@@ -249,3 +249,14 @@ def test_pipeline(spark):
     texts = [r["text"] for r in seen.collect()]
     fps = [plain_fingerprint(t) for t in texts]
     assert plain_components(fps) == list(range(len(fps)))
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, "", "en", "s", 0)]])
+def test_pipeline_of_no_rows_and_of_null_rows(spark, tmp_path, rows):
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "doc_id" in out.columns
