@@ -31,6 +31,8 @@ from paralex.session import written
 BLOCK = 128
 #: Documents whose postings a task sorts at a time.
 AT_ONCE = 4_096
+#: Texts that a task counts at a time.
+COUNTED = 512
 #: Most terms that are sent along to leave out all others while blocks are made.
 KNOWN_TERMS = 200_000
 
@@ -52,7 +54,7 @@ def counted(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
             lists = batch.column(1)
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten().dictionary_encode()

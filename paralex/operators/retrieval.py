@@ -1,20 +1,21 @@
 """Top-k retrieval by TF-IDF cosine and BM25 (``dense`` has vectors).
 
-Lexical scores are weights of a query's terms times impacts of a document's; which sums are
-made is decided by bounds (``pruning``).  Texts are counted for one call, or once and for all
-in an ``index``.  A document that shares no term has score 0 and still competes.  Ranks use
-scores rounded to six digits, then the larger document key.
+Lexical scores are weights of a query's terms times impacts of a document's.  Texts are counted
+for one call, whose sums are made tile by tile (``tiles``), or once and for all in an ``index``,
+where bounds decide which sums are made (``pruning``).  A document that shares no term has score
+0 and still competes.  Ranks use scores rounded to six digits, then the larger document key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paralex.functions.text import tokens_words, tokens_ws
-from paralex.operators import index, pruning
+from paralex.operators import index, pruning, tiles
 from paralex.session import written
 
 #: Fixed values of the ranking function.
@@ -222,13 +223,25 @@ def _asked(queries: DataFrame, query: str, tokens: Column) -> DataFrame:
     return written(queries.select(query, F.explode(tokens).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("tf")))
 
 
-def _weighted(name: str, make, corpus: DataFrame, held: index.Index | None, asked: DataFrame, key: str, tokens: Column) -> tuple[Weighted, DataFrame]:
-    """Impacts for ``asked``, and all keys: of an index that is kept, or of the texts for this call alone."""
+def _weighted(
+    name: str, make, corpus: DataFrame, held: index.Index | None, asked: DataFrame, queries: DataFrame, query: str, key: str, k: int, tokens: Column, tally: dict | None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``term, idf`` of what is asked, and a search that is given the weights ``times`` of ``query, term`` (written).
+
+    An index that is kept, or a call that wants a ``tally``, is searched by bounds, and
+    texts of this call alone by tiles.
+    """
     if held is not None:
-        return Weighted(*held.weighted(name, make)), held.corpus().rows.select(F.col("key").alias(key))
-    impacts, terms = make(index.corpus_of(corpus, key, tokens), asked)
+        made, keys = Weighted(*held.weighted(name, make)), held.corpus().rows.select(F.col("key").alias(key))
+        return made.terms, lambda times: top_k_lexical(made, times, queries, keys, query, key, k, tally)
+    counts = index.corpus_of(corpus, key, tokens)
+    impacts, terms = make(counts, asked)
     some = written(terms.join(asked.select("term").distinct(), "term", "left_semi"))
-    return Weighted(*index.stored(impacts), some), corpus.select(key)
+    if tally is not None:
+        made = Weighted(*index.stored(impacts), some)
+        return some, lambda times: top_k_lexical(made, times, queries, corpus.select(key), query, key, k, tally)
+    posts = counts.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return some, lambda times: first_k(tiles.best_matches(impacts, times, queries, query, key, k, counts.documents, posts), query, key, k)
 
 
 def top_k_bm25(
@@ -238,14 +251,14 @@ def top_k_bm25(
     """``query, rank, key, score``: min(k, n) documents of each query; k of 0 gives none.
 
     Keys are different in all rows.  With ``held``, an index made with ``tokens_ws``, its
-    documents are searched and ``corpus`` isn't read.
+    documents are searched and ``corpus`` isn't read.  A ``tally`` gets the numbers of sums
+    of a search by bounds, which is made then.
     """
     if k <= 0:
         return nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
     asked = _asked(queries, query, tokens_ws(F.col(query_text)))
-    made, keys = _weighted("bm25", bm25_impacts, corpus, held, asked, key, tokens_ws(F.col(text)))
-    times = written(asked.join(made.terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("times")))
-    return top_k_lexical(made, times, queries, keys, query, key, k, tally)
+    terms, search = _weighted("bm25", bm25_impacts, corpus, held, asked, queries, query, key, k, tokens_ws(F.col(text)), tally)
+    return search(written(asked.join(terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("times"))))
 
 
 def top_k_tfidf(
@@ -256,11 +269,10 @@ def top_k_tfidf(
     if k <= 0:
         return nothing(queries, corpus if held is None else held.corpus().rows.withColumnRenamed("key", key), query, key)
     asked = _asked(queries, query, tokens_words(F.col(query_text)))
-    made, keys = _weighted("tfidf", tfidf_impacts, corpus, held, asked, key, tokens_words(F.col(text)))
-    raw = asked.join(made.terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    terms, search = _weighted("tfidf", tfidf_impacts, corpus, held, asked, queries, query, key, k, tokens_words(F.col(text)), tally)
+    raw = asked.join(terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(query)))
-    times = written(raw.select(query, "term", (F.col("_w") / norm * F.col("idf")).alias("times")))
-    return top_k_lexical(made, times, queries, keys, query, key, k, tally)
+    return search(written(raw.select(query, "term", (F.col("_w") / norm * F.col("idf")).alias("times"))))
 
 
 def examples_of(ranked: DataFrame, corpus: DataFrame, query: str, key: str, source: str = "text_source", target: str = "text_target") -> DataFrame:
