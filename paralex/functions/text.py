@@ -51,6 +51,15 @@ def char_grams(text: Column, n: int) -> Column:
     return F.when(count > 0, each).otherwise(F.array().cast("array<string>"))
 
 
+def char_windows(text: Column, n: int) -> Column:
+    """The substring of n characters from each place on; those at the end are shorter.
+
+    Their prefixes of m characters are the text's m-grams.  The text is walked through once,
+    while a substring by its place is counted from the start each time.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{n}}}))."), F.lit(1))
+
+
 #: Replacements of the 13a tokenizer, in order.
 _13A = (
     (r"<skipped>", ""),
