@@ -319,11 +319,18 @@ class HashEncoder:
         return out
 
 
+#: Most wanted tokens that are sent along.
+SENT_TOKENS = 1_000_000
+
+
 def missing_tokens(wanted: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
     """Wanted tokens that the vocabulary lacks.
 
-    The vocabulary may be a whole corpus: it is cut to the wanted tokens first, so
-    that only these are moved.
+    The vocabulary may be a whole corpus.  Up to ``SENT_TOKENS`` wanted tokens are sent to
+    where it is, so that only what is met of these is moved; more meet its different tokens.
     """
-    met = vocabulary.select(token).join(wanted.select(token), token, "left_semi").distinct()
-    return wanted.join(met, token, "left_anti")
+    known, some = vocabulary.select(token), wanted.select(token)
+    if some.count() <= SENT_TOKENS:
+        met = known.join(F.broadcast(some), token, "left_semi").distinct()
+        return wanted.join(F.broadcast(met), token, "left_anti")
+    return wanted.join(known.distinct().join(some, token, "left_semi"), token, "left_anti")
