@@ -70,23 +70,46 @@ def with_smooth_idf(found: DataFrame, n_docs: int) -> DataFrame:
     return found.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
-def with_idf(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``posts`` with the other columns of ``idf`` (a written table, one row a term).
+def split_idf(idf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term, idf`` of the most frequent terms, BROADCAST_TERMS at most, and of the others.
 
-    A vocabulary of checked size is broadcast, so that postings stay dealt by key; a
-    larger one meets them by term, and they are dealt by key again.
+    The driver gets the different values only, of which there are as many as different
+    frequencies.  The others have few postings, each of them fewer than any frequent one.
+    """
+    idf = idf.select("term", "idf")
+    left, bar = BROADCAST_TERMS, None
+    for value, n in sorted(tuple(r) for r in idf.groupBy("idf").count().collect()):
+        left -= n
+        if left < 0:
+            break
+        bar = value
+    few = F.lit(False) if bar is None else F.col("idf") <= bar
+    return idf.filter(few), idf.filter(~few)
+
+
+def with_idf(posts: DataFrame, idf: DataFrame, key: str, listed: DataFrame | None = None) -> DataFrame:
+    """``posts`` with ``idf`` (of a written table, one row a term).
+
+    A vocabulary of checked size is broadcast.  Of a larger one the frequent terms are, and
+    the few postings of the others meet it by term and come back by key, so that all
+    postings stay dealt by key.  ``listed`` has ``key, term`` of the same postings before
+    they were dealt, so that these aren't dealt a second time.
     """
     if idf.count() <= BROADCAST_TERMS:
-        return posts.join(F.broadcast(idf), "term")
-    return posts.join(idf, "term").repartition(key)
+        return posts.join(F.broadcast(idf.select("term", "idf")), "term")
+    near, rest = split_idf(idf)
+    far = (posts if listed is None else listed).select(key, "term").join(F.broadcast(near), "term", "left_anti").join(rest, "term")
+    far = far.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "idf"))).alias("_far"))
+    both = posts.join(F.broadcast(near), "term", "left").join(far.hint("shuffle_hash"), key, "left")
+    return both.withColumn("idf", F.coalesce("idf", F.col("_far")[F.col("term")])).drop("_far")
 
 
-def tfidf_weights(posts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+def tfidf_weights(posts: DataFrame, idf: DataFrame, key: str, listed: DataFrame | None = None) -> DataFrame:
     """``key, term, weight``; the weights of a document have norm one.
 
     ``posts`` are dealt by ``key``, so the norm is found where they are.
     """
-    raw = with_idf(posts, idf.select("term", "idf"), key).withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = with_idf(posts, idf, key, listed).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
@@ -210,9 +233,14 @@ def tfidf_impacts(corpus: index.Corpus, asked: DataFrame | None = None) -> tuple
     """The same for TF-IDF: frequencies over the norm of the document's weights."""
     idf = written(with_smooth_idf(corpus.terms, corpus.documents).select("term", "idf"))
     posts = corpus.rows.select("key", F.explode(F.arrays_zip("terms", "tfs")).alias("_e")).select("key", F.col("_e.terms").alias("term"), F.col("_e.tfs").alias("tf"))
-    near = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
-    square = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
-    norms = posts.join(near, "term").groupBy("key").agg(F.sqrt(F.sum(square)).alias("_norm"))
+    square = (F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")).alias("_s")
+    if idf.count() <= BROADCAST_TERMS:
+        squares = posts.join(F.broadcast(idf), "term").select("key", square)
+    else:  # postings of frequent terms stay where they are
+        near, rest = split_idf(idf)
+        far = posts.join(F.broadcast(near), "term", "left_anti").join(rest, "term")
+        squares = posts.join(F.broadcast(near), "term").select("key", square).unionByName(far.select("key", square))
+    norms = squares.groupBy("key").agg(F.sqrt(F.sum("_s")).alias("_norm"))
     rows = index.asked_only(corpus.rows, asked) if asked is not None else corpus.rows
     parts = F.transform("tfs", lambda tf: tf / F.col("_norm"))
     return rows.join(norms, "key").select("key", "terms", parts.alias("parts")), idf

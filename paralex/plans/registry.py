@@ -172,7 +172,8 @@ def tfidf_idf(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     rows, tokens = docs(spark, sf_dir), text.tokens_words(F.col("text"))
     idf = written(retrieval.tfidf_idf(rows, tokens, rows.count()))
-    return retrieval.tfidf_weights(retrieval.postings(rows, "doc_id", tokens), idf, "doc_id").select("doc_id", "term", r6("weight"))
+    listed = rows.select("doc_id", F.explode(F.array_distinct(tokens)).alias("term"))
+    return retrieval.tfidf_weights(retrieval.postings(rows, "doc_id", tokens), idf, "doc_id", listed).select("doc_id", "term", r6("weight"))
 
 
 @query

@@ -44,7 +44,8 @@ def test_weights_with_a_large_vocabulary(spark, monkeypatch, limit):
 
     def weights():
         idf = retrieval.tfidf_idf(rows, tokens, len(texts))
-        found = retrieval.tfidf_weights(retrieval.postings(rows, "doc_id", tokens), idf.localCheckpoint(), "doc_id")
+        listed = rows.select("doc_id", F.explode(F.array_distinct(tokens)).alias("term"))
+        found = retrieval.tfidf_weights(retrieval.postings(rows, "doc_id", tokens), idf.localCheckpoint(), "doc_id", listed)
         return found, {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in found.collect()}
 
     def best():
