@@ -2,12 +2,14 @@
 
 A text is lower-cased and cut into words as the operator does, and is the set of its
 shingles of five words (one shingle if it has fewer), held as 48-bit hashes.  Equal
-sets are one node, whose SimHash fingerprint is that of the set.  Groups are the nodes
-that agree on one of ``BANDS`` bands of ``ROWS`` MinHash values; a pair at 0.8 agrees on
-none with probability 3e-6, nearer pairs with less.  In a group only nodes whose
-fingerprints are within ``RADIUS`` bits are compared (a pair at 0.8 is farther with
-probability 1e-6, unlike ones in four of five cases), and every link is verified on the
-whole sets.
+sets are one node, whose SimHash fingerprint is that of the set.  Groups come first from
+the operator's own links of fingerprints (``simhash.near_groups``): the nodes that chains
+of a few bits join, in which every pair within those bits meets.  Other groups, for what
+is farther apart, are the nodes that agree on one of ``BANDS`` bands of ``ROWS`` MinHash
+values; a pair at 0.8 agrees on none with probability 3e-6, nearer pairs with less.  In
+those only nodes whose fingerprints are within ``RADIUS`` bits are compared (a pair at 0.8
+is farther with probability 1e-6, unlike ones in four of five cases).  Every link is
+verified on the whole sets.
 
 Nodes of a group are first compared with the least of them, one distinct pair at a
 time.  Groups whose nodes are not all in one component by then are searched through
@@ -93,9 +95,9 @@ def similar(both, a, b):
     return UNDER * both >= OVER * (a + b - both)
 
 
-def set_links(sets: list[np.ndarray], label: np.ndarray, sims: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_links(sets: list[np.ndarray], label: np.ndarray, sims: np.ndarray, asks: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Forest links that join the labels of ``sets`` wherever one that ``asks`` is near
-    enough to another; ``sims`` are their fingerprints."""
+    enough to another; ``sims`` are their fingerprints, compared within ``radius`` bits."""
     order = np.argsort(gray_rank(sims), kind="stable")
     index = GrayIndex(sims[order])
     _, label = np.unique(label[order], return_inverse=True)
@@ -104,7 +106,7 @@ def set_links(sets: list[np.ndarray], label: np.ndarray, sims: np.ndarray, asks:
     same = index.uniform(label)
     a, b = [], []
     for i in np.flatnonzero(asks[order]):
-        _, other = index.search(np.array([i]), RADIUS, label, same, later=False)
+        _, other = index.search(np.array([i]), radius, label, same, later=False)
         other = other[(UNDER * size[other] >= OVER * size[i]) & (UNDER * size[i] >= OVER * size[other])]
         joined = False
         for j in other:  # one of each component that is met
@@ -161,22 +163,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(beside(near, "members").select("a", "b", "a_members", "b_members"), work, "a long, b long")
 
 
-def _frequent(nodes: DataFrame) -> DataFrame:
-    """Keys that many nodes may have, by a sample of ``SAMPLE_ROWS`` nodes; this decides only
-    how rows are dealt.  There are at most SAMPLE_ROWS x BANDS / OFTEN of them."""
-    share = SAMPLE_ROWS / max(1, nodes.count())
-    drawn = nodes.filter(sampled(F.col("fp"), share, SEED)).select(F.explode("keys").alias("key"))
+def _frequent(keyed: DataFrame, nodes: int) -> DataFrame:
+    """Keys that many of the nodes may have, by a sample of ``SAMPLE_ROWS`` nodes; this decides
+    only how rows are dealt.  There are at most SAMPLE_ROWS x (BANDS + 1) / OFTEN of them."""
+    drawn = keyed.filter(sampled(F.col("fp"), SAMPLE_ROWS / max(1, nodes), SEED))
     return drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key")
 
 
-def similar_links(prints: DataFrame) -> DataFrame:
-    """``a, b``: links between nodes that span all components; ``prints`` is a written table."""
-    nodes = durable(prints.select("fp", "keys").dropDuplicates(["fp"]))
-    keyed = nodes.select("fp", F.explode("keys").alias("key"))
-    hot = durable(_frequent(nodes))
+def nodes_of(prints: DataFrame) -> DataFrame:
+    """``fp, sim, keys`` of each set that has members."""
+    return prints.select("fp", "sim", "keys").filter(F.size("keys") > 0).dropDuplicates(["fp"])
+
+
+def similar_links(prints: DataFrame, nodes: DataFrame, groups: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: links between nodes that span all components.
+
+    ``groups`` has ``fp, key`` of every node: groups in which nodes within ``bits`` bits meet.
+    Two groups with one key would only be searched as one.  All three are written tables.
+    """
+    keyed = nodes.select("fp", F.explode("keys").alias("key"), F.lit(RADIUS).alias("bits"))
+    keyed = keyed.unionByName(groups.select("fp", "key", F.lit(bits).alias("bits")))
+    hot = durable(_frequent(keyed, nodes.count()))
     cold = keyed.join(F.broadcast(hot), "key", "left_anti").repartition("key")
     few = keyed.join(F.broadcast(hot), "key", "left_semi")
-    band = (F.count("*").alias("size"), F.min("fp").alias("least"))
+    band = (F.count("*").alias("size"), F.min("fp").alias("least"), F.max("bits").alias("radius"))
     # The rows of a frequent key stay where they are.
     met = [cold.join(cold.groupBy("key").agg(*band).filter("size > 1"), "key"), few.join(F.broadcast(durable(few.groupBy("key").agg(*band).filter("size > 1"))), "key")]
     met = durable(met[0].unionByName(met[1]))
@@ -185,8 +195,8 @@ def similar_links(prints: DataFrame) -> DataFrame:
     pairs = met.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     first = durable(verified(durable(pairs), sets))
     roots = components(first).withColumnRenamed("node", "fp")
-    named = met.filter("size > 2").select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = durable(named.select("key", "fp", "root"))
+    named = met.filter("size > 2").select("key", "fp", "radius").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = durable(named.select("key", "fp", "radius", "root"))
     # Of a group in several components, all but the members of the largest ask all.
     each = named.groupBy("key", "root").agg(F.count("*").alias("c"))
     torn = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1")
@@ -195,8 +205,8 @@ def similar_links(prints: DataFrame) -> DataFrame:
     rows = durable(join_spread(named, durable(torn), "key", "n", named.count()))
     own = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
     each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asked = rows.select("key", own("all").alias("j"), each_of("some").alias("i"), "fp", "root", F.lit(False).alias("asks"))
-    asking = rows.filter("root <> major").select("key", own("some").alias("i"), each_of("all").alias("j"), "fp", "root", F.lit(True).alias("asks"))
+    asked = rows.select("key", own("all").alias("j"), each_of("some").alias("i"), "fp", "radius", "root", F.lit(False).alias("asks"))
+    asking = rows.filter("root <> major").select("key", own("some").alias("i"), each_of("all").alias("j"), "fp", "radius", "root", F.lit(True).alias("asks"))
     rows = asked.unionByName(asking).join(sets, "fp")
     keys = ["key", "i", "j"]
 
@@ -208,12 +218,12 @@ def similar_links(prints: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(held)
         key = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in keys])
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        fp, root, sim, asks = (table.column(c).to_numpy() for c in ("fp", "root", "sim", "asks"))
+        fp, root, sim, asks, radius = (table.column(c).to_numpy() for c in ("fp", "root", "sim", "asks", "radius"))
         for lo, hi in zip(starts, np.r_[starts[1:], len(key)]):
             if (root[lo:hi] == root[lo]).all():
                 continue
             sets = [unpack(x) for x in table.column("members").slice(lo, hi - lo).to_pylist()]
-            a, b = set_links(sets, root[lo:hi], sim[lo:hi].view(np.uint64), asks[lo:hi])
+            a, b = set_links(sets, root[lo:hi], sim[lo:hi].view(np.uint64), asks[lo:hi], int(radius[lo]))
             out_a.append(fp[lo:hi][a])
             out_b.append(fp[lo:hi][b])
         both = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (out_a, out_b)]

@@ -18,8 +18,8 @@ pairs within the distance still meet in one of them.  Each time a fifth of the o
 bits is settled, so at most seven rounds leave 14 bits, which 16,384 fingerprints
 fill.  Nothing is capped or dropped.
 
-``one_of_similar`` links by the similarity of the texts' sets of shingles instead of
-by a few bits; see there.
+``one_of_similar`` takes these links as groups, adds others for what is farther apart,
+and verifies the similarity of the texts' sets of shingles; see there.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; null ids take part in links, and a component of null ids alone has a
@@ -256,17 +256,32 @@ def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
     return first_of_each(docs, prints, components(near_links(durable(prints.select("fp").distinct()), distance)))
 
 
+def near_groups(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, key`` of ``fp, sim``: the component of links within ``distance`` bits that the
+    fingerprint ``sim`` is in, so that all nodes within that distance meet.
+
+    ``nodes`` is a written table.
+    """
+    sims = durable(nodes.groupBy("sim").agg(F.count("*").alias("rows")))
+    roots = components(near_links(sims.select(F.col("sim").alias("fp")), distance))
+    known = durable(sims.join(roots.withColumnRenamed("node", "sim"), "sim", "left").select("sim", "rows", F.coalesce("root", "sim").alias("key")))
+    return durable(join_spread(nodes.select("fp", "sim"), known, "sim", "rows", nodes.count()).select("fp", "key"))
+
+
 def one_of_similar(docs: DataFrame) -> DataFrame:
     """As ``one_of_each``, where texts are linked if their sets of five-word shingles have a
     Jaccard similarity of 0.8 or more.
 
-    Fingerprints of two sets at 0.8 differ in 9.7 bits of 64 in the mean and in up to 28,
-    far beyond what blocks of equal bits can find, so groups are dealt by MinHash bands
-    instead.  Inside a group the Gray index finds those within ``shingles.RADIUS`` bits,
-    and each of these is verified on the whole sets.
+    Groups are dealt by blocks of fingerprints and searched through the Gray index as in
+    ``near_duplicates``.  Fingerprints of two sets at 0.8 differ in 9.7 bits of 64 in the mean
+    and in up to 28, far beyond what blocks of equal bits can find, so MinHash bands deal
+    more groups, in which the Gray index finds those within ``shingles.RADIUS`` bits.  Each
+    pair that either finds is verified on the whole sets.
     """
     prints = durable(shingles.prints_of(docs.select("doc_id", _row_hash(docs).alias("row"), "text")))
-    return first_of_each(docs, prints.select("doc_id", "row", "fp"), components(shingles.similar_links(prints)))
+    nodes = durable(shingles.nodes_of(prints))
+    links = shingles.similar_links(prints, nodes, near_groups(nodes), DISTANCE)
+    return first_of_each(docs, prints.select("doc_id", "row", "fp"), components(links))
 
 
 def first_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
